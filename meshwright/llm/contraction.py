@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from meshwright.planning.lineage import discard, materialise
@@ -66,9 +67,11 @@ def _forest(table: pa.Table) -> pa.Table:
     rank_of = np.zeros(n, np.int64)
     rank_of[code] = order
     # positions by (hash, name): the name decides only where hashes collide
-    by_name = np.empty(n, np.int64)
-    by_name[pa.compute.array_sort_indices(names).to_numpy()] = np.arange(n)
-    place = np.lexsort((by_name, rank_of))
+    place = np.argsort(rank_of, kind="stable")
+    if (np.diff(rank_of[place]) == 0).any():
+        by_name = np.empty(n, np.int64)
+        by_name[pc.array_sort_indices(names).to_numpy()] = np.arange(n)
+        place = np.lexsort((by_name, rank_of))
     position = np.empty(n, np.int64)
     position[place] = np.arange(n)
     at = position[code]

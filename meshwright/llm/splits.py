@@ -80,8 +80,8 @@ def fill_splits(sizes: list[tuple[int, int]], shares=SHARES) -> list[tuple[int,
 
     ``sizes`` holds ``(size, number of groups)``. Equal groups are interchangeable, so a size
     is one run of decisions, given as ``(size, first rank, end rank, split)``. Ties go to the
-    split named first. Long runs of equal groups are settled in cycles: while the splits'
-    shortfalls differ by less than a group, the next groups follow their shares.
+    split named first. Many equal groups are handed out at once, down to the common shortfall
+    at which greedy would arrive, and the last few one by one.
     """
     total = sum(s * n for s, n in sizes)
     lack = {name: share * total for name, share in shares}
@@ -99,19 +99,14 @@ def fill_splits(sizes: list[tuple[int, int]], shares=SHARES) -> list[tuple[int,
 
     for size, count in sorted(sizes, reverse=True):
         at = 0
+        if count > len(names):
+            # greedy hands equal groups out until all shortfalls it touches are level: go there at once
+            order = sorted(lack.values(), reverse=True)
+            level = max((sum(order[:k]) - count * size) / k for k in range(1, len(order) + 1))
+            for m in names:
+                at = give(size, at, min(count - at, max(0, math.floor((lack[m] - level) / size))), m)
         while at < count:
-            best = max(names, key=lambda m: (lack[m], -names.index(m)))
-            rest = [lack[m] for m in names if m != best]
-            run = max(1, math.floor((lack[best] - max(rest)) / size)) if rest else count - at
-            if run == 1 and count - at > 64 * len(names):
-                # level: hand out a block to all splits down to one common shortfall
-                floor_ = max(0.0, (sum(lack.values()) - (count - at) * size) / len(names))
-                block = {m: max(0, math.floor((lack[m] - floor_) / size)) for m in names}
-                if 0 < sum(block.values()) <= count - at:
-                    for m in names:
-                        at = give(size, at, block[m], m)
-                    continue
-            at = give(size, at, min(run, count - at), best)
+            at = give(size, at, 1, max(names, key=lambda m: (lack[m], -names.index(m))))
     return plan
 
 
