@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshwright.llm import bpe, groups, leakage, splits, topn
+from meshwright.llm import bpe, groups, leakage, packing, residue, splits, topn
 from meshwright.sources.tables import table
 
 LEAK_M = 75.0
@@ -45,21 +45,53 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 P7_SQL = """
-WITH n AS (SELECT stem, id, max_by(bc, (exported_at, coalesce(bc, -1.0))) FILTER (TRUE) AS bc0,
-             arg_max_null(bc, exported_at) AS bc FROM web_nodes WHERE stem IS NOT NULL AND id IS NOT NULL GROUP BY stem, id)
+WITH ranked AS (SELECT stem, id, bc, row_number() OVER (PARTITION BY stem, id ORDER BY exported_at DESC NULLS LAST, coalesce(bc, -1.0) DESC) AS k
+  FROM web_nodes WHERE stem IS NOT NULL AND id IS NOT NULL)
 SELECT stem, id, CAST(rnk AS INTEGER) AS rnk FROM (
-  SELECT stem, id, row_number() OVER (PARTITION BY stem ORDER BY bc DESC, id) AS rnk FROM n
-  WHERE bc IS NOT NULL AND NOT isnan(bc) AND bc BETWEEN 0 AND 1 AND stem IN (SELECT stem FROM manifest WHERE stem IS NOT NULL))
+  SELECT stem, id, row_number() OVER (PARTITION BY stem ORDER BY bc DESC, id) AS rnk FROM ranked
+  WHERE k = 1 AND bc IS NOT NULL AND NOT isnan(bc) AND bc BETWEEN 0 AND 1 AND stem IN (SELECT stem FROM manifest WHERE stem IS NOT NULL))
 WHERE rnk <= 10
 """
 
+#: Distances by the same haversine; the places of val and test sites against those of train sites.
+P6_SQL = """
+WITH s AS (SELECT DISTINCT site_key, lat, lon, CASE WHEN n IN ('train', 'training', 'trn', 'tr') THEN 'train'
+    WHEN n IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN n IN ('test', 'testing', 'tst', 'eval') THEN 'test' END AS side
+  FROM (SELECT *, trim(lower(split)) AS n FROM dataset_sites)
+  WHERE site_key IS NOT NULL AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0))
+SELECT DISTINCT least(a.site_key, b.site_key) AS key_a, greatest(a.site_key, b.site_key) AS key_b
+FROM s a JOIN s b ON a.side = 'train' AND b.side IN ('val', 'test') AND a.site_key <> b.site_key AND abs(a.lat - b.lat) < 0.001
+WHERE 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
+  + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 75
+"""
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    marked = residue.mark_residue(table(spark, folder, "documents"), "doc_id", "text")
+    return marked.filter("residue").select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
+    marked = residue.mark_residue(table(spark, folder, "documents"), "doc_id", "text")
+    return marked.filter("not residue").select("doc_id").distinct()
+
+
+def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = residue.validate(table(spark, folder, "documents"), "doc_id", "text", "applicant")
+    schema = "fold int, texts long, units long, residue long, recall double, precision double, accuracy double"
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+
+
 QUERIES = {
     "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_report": p6_report,
-    "p7_found": p7_found, "p8_ids": p8_ids,
+    "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p10_validation": p10_validation,
 }
-SQL = {"p7_found": P7_SQL}
+SQL = {"p6_found": P6_SQL, "p7_found": P7_SQL}
