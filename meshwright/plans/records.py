@@ -54,9 +54,9 @@ SELECT DISTINCT * FROM (
   UNION ALL
   SELECT 'export_web_geo', doc_key, 'edges', CAST(i AS VARCHAR) FROM e
   WHERE x.u IS NOT NULL OR x.v IS NOT NULL OR x.bc IS NOT NULL OR x.w IS NOT NULL OR x.healed IS NOT NULL OR x.hk IS NOT NULL OR x.conf IS NOT NULL
-     OR len(list_filter(flatten(x.pts), q -> q IS NOT NULL)) > 0 OR len(list_filter(flatten(x.ll), q -> q IS NOT NULL)) > 0
+     OR len(list_filter(flatten(x.pts), lambda q: q IS NOT NULL)) > 0 OR len(list_filter(flatten(x.ll), lambda q: q IS NOT NULL)) > 0
   UNION ALL
-  SELECT 'export_web_geo', doc_key, 'll', i || '.' || j FROM l WHERE len(list_filter(p, q -> q IS NOT NULL)) > 0)
+  SELECT 'export_web_geo', doc_key, 'll', i || '.' || j FROM l WHERE len(list_filter(p, lambda q: q IS NOT NULL)) > 0)
 """
 
 
