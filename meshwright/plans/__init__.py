@@ -1,3 +1,3 @@
 """Queries by topic; each module has QUERIES and, where SQL can express them, SQL."""
 
-CORE_MODULES = ["meshwright.plans.records"]
+CORE_MODULES = ["meshwright.plans.records", "meshwright.plans.scalar_queries"]
