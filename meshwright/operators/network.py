@@ -42,7 +42,7 @@ def _own(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def per_source_block(nodes: DataFrame, edges: DataFrame, run, schema: str, block: int = BLOCK) -> DataFrame:
+def per_source_block(nodes: DataFrame, edges: DataFrame, run, schema: str, block: int | None = None) -> DataFrame:
     """``run(tile, sources, ids, edges)`` for every block of a tile's sources.
 
     The block count follows from the tile's node count; each block gets the tile's edges. A
@@ -50,7 +50,7 @@ def per_source_block(nodes: DataFrame, edges: DataFrame, run, schema: str, block
     """
     base = nodes if "active" in nodes.columns else nodes.withColumn("active", F.lit(True))
     order = F.row_number().over(W.partitionBy("tile").orderBy("id")) - 1
-    ranked = base.select("tile", "id", "active").withColumn("home", F.floor(order / block))
+    ranked = base.select("tile", "id", "active").withColumn("home", F.floor(order / (block or BLOCK)))
     blocks = ranked.groupBy("tile").agg((F.max("home") + 1).alias("n"))
     copies = lambda df: _own(df.join(blocks, "tile").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
 

@@ -259,7 +259,8 @@ def _cells(spark, folder):
     return probability(spark, folder).join(t, ["tile", "y", "x"], "full").select("tile", "y", "x", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("g", F.lit(False)).alias("g"))
 
 
-def _counts(on, g=F.col("g")):
+def _counts(on):
+    g = F.col("g")
     return F.count_if(on & g).alias("tp"), F.count_if(on & ~g).alias("fp"), F.count_if(~on & g).alias("fn")
 
 
