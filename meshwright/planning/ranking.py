@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Rows that one task should rank.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = 64) -> int:
+    """Buckets a group so that even a group of all rows gives each task its share."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def spread_rank(df: DataFrame, by: list[str], key: str, out: str = "rank0", buckets: int = 64) -> DataFrame:
     """Add ``out``: the 0-based position of a row among the rows with equal ``by`` columns.
 
