@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from meshwright.planning.lineage import discard, materialise
+from meshwright.planning.skew import look_up
 
 #: Links that one cell is sized for. The grid of a round follows from the links it has.
 CELL_LINKS = 250_000
@@ -149,7 +150,5 @@ def contract(
     known = parents[-1].select(F.col("v").alias("vertex"), F.col("p").alias("root"))
     for step in reversed(parents[:-1]):
         later = known.select(F.col("vertex").alias("p"), "root")
-        known = step.join(later, "p", "left").select(
-            F.col("v").alias("vertex"), F.coalesce("root", "p").alias("root")
-        )
+        known = look_up(step, later, "p", "v").select(F.col("v").alias("vertex"), F.coalesce("root", "p").alias("root"))
     return known

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from meshwright.llm.contraction import CELL_LINKS, contract
+from meshwright.planning.lineage import materialise
+from meshwright.planning.skew import look_up
 
 
 def _grid(cell_links: int):
@@ -43,10 +45,9 @@ def match_groups(
         F.col(scope).cast("string").alias("s"), F.col(left).cast("long").alias("l"), F.col(right).cast("long").alias("r")
     ).filter("s is not null and l is not null and r is not null and l <> r")
     links = clean.select(name("l").alias("u"), name("r").alias("v"))
-    grouped = contract(links, _grid(cell_links), "groups", cell_links).select(
-        F.substring_index("vertex", "|", 1).cast("long").alias("node_id"),
-        F.expr("substring(vertex, instr(vertex, '|') + 1)").alias(scope),
-        "root",
+    rooted = materialise(contract(links, _grid(cell_links), "groups", cell_links), "groups-rooted")
+    node = F.substring_index("vertex", "|", 1).cast("long")
+    least = rooted.groupBy("root").agg(F.min(node).alias("group_id"))
+    return look_up(rooted, least, "root", "vertex").select(
+        F.expr("substring(vertex, instr(vertex, '|') + 1)").alias(scope), node.alias("node_id"), "group_id"
     )
-    least = grouped.groupBy("root").agg(F.min("node_id").alias("group_id"))
-    return grouped.join(least, "root").select(scope, "node_id", "group_id")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meshwright.llm.bpe import DEFAULT_TOKENIZER, encode_column
 from meshwright.planning.lineage import materialise
-from meshwright.planning.ranking import spread_rank
+from meshwright.planning.ranking import buckets_for, spread_rank
 
 CAPACITY = 2048
 
@@ -99,6 +99,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     pieces = whole.select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("piece"))
     pieces = pieces.select(key, "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long").alias("piece_size"))
     counts = {r["piece_size"]: r["count"] for r in pieces.groupBy("piece_size").count().collect()}
+    buckets = buckets_for(sum(counts.values()))
     counts.pop(0, None)
     starts, each, first = _intervals(plan_containers(counts, capacity))
     table = items.sparkSession.sparkContext.broadcast((starts, each, first))
@@ -115,7 +116,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(out)]
             yield pa.RecordBatch.from_arrays(columns, ["k", "piece", "piece_size", "container_id"])
 
-    ranked = spread_rank(pieces.withColumn("unit", F.struct(key, "piece")), ["piece_size"], "unit")
+    ranked = spread_rank(pieces.withColumn("unit", F.struct(key, "piece")), ["piece_size"], "unit", buckets=buckets)
     kind = items.schema[key].dataType.simpleString()
     return (
         ranked.select(F.col(key).alias("k"), "piece", "piece_size", "rank0")

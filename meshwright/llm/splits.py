@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwright.llm.contraction import CELL_LINKS, contract
 from meshwright.planning.lineage import materialise
-from meshwright.planning.ranking import spread_rank
+from meshwright.planning.ranking import buckets_for, spread_rank
+from meshwright.planning.skew import look_up
 
 #: Spellings that stand for a missing scene id.
 PLACEHOLDERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "nan", "nil", "unknown", "missing", "undefined", "tbd", "todo", "x", "xxx", "0"]
@@ -68,11 +69,10 @@ def tied_groups(sites: DataFrame, key: str, tiles: str, scene: str, cell_links:
     """
     links = _ties(sites, key, tiles, scene)
     rooted = contract(links, _levels(cell_links), "splits", cell_links)
-    own = rooted.filter(F.col("vertex").startswith("r|")).select(
-        F.expr("substring(vertex, 3)").cast("long").alias(key), "root"
-    )
-    groups = own.groupBy("root").agg(F.min(key).alias("group_key"), F.count(F.lit(1)).alias("size"))
-    return own.join(groups, "root").select(key, "group_key", "size")
+    own = materialise(rooted.filter(F.col("vertex").startswith("r|")), "splits-rooted")
+    site = F.expr("substring(vertex, 3)").cast("long")
+    groups = own.groupBy("root").agg(F.min(site).alias("group_key"), F.count(F.lit(1)).alias("size"))
+    return look_up(own, groups, "root", "vertex").select(site.alias(key), "group_key", "size")
 
 
 def fill_splits(sizes: list[tuple[int, int]], shares=SHARES) -> list[tuple[int, int, int, str]]:
@@ -130,8 +130,10 @@ def assign_splits(sites: DataFrame, key: str, tiles: str, scene: str, shares=SHA
     plan = spark.createDataFrame(
         fill_splits(histogram, shares), "psize long, first long, end long, split string"
     )
-    ranked = spread_rank(groups, ["size"], "group_key")
+    ranked = spread_rank(groups, ["size"], "group_key", buckets=buckets_for(sum(n for _, n in histogram)))
     chosen = ranked.join(
         plan, (F.col("size") == F.col("psize")) & (F.col("rank0") >= F.col("first")) & (F.col("rank0") < F.col("end"))
     ).select("group_key", "split")
-    return full.join(chosen, "group_key").select(key, "group_key", "split")
+    named = lambda df: df.withColumn("group_key", F.col("group_key").cast("string"))
+    found = look_up(named(full.select(key, "group_key", F.col(key).cast("string").alias("own"))), named(chosen), "group_key", "own")
+    return found.select(key, F.col("group_key").cast("long").alias("group_key"), "split")
