@@ -381,3 +381,37 @@ def src_osm(spark, folder):
     lines = F.from_json("j", "osm_lines array<array<array<double>>>").getField("osm_lines")
     w = d.select("doc_key", F.explode(lines).alias("l")).filter("l is not null and size(l) >= 2")
     return w.groupBy("doc_key").agg(F.count(F.lit(1)).alias("ways"))
+
+
+@query("src_geocode", "SELECT s.site_key, coalesce(m.label, s.site) AS name FROM (SELECT DISTINCT site_key, site FROM dataset_sites) s LEFT JOIN (SELECT stem, min(label) AS label FROM manifest WHERE stem IS NOT NULL GROUP BY 1) m ON m.stem = s.site")
+def src_geocode(spark, folder):
+    """Names looked up, with a fallback where there is no answer."""
+    s = table(spark, folder, "dataset_sites").select("site_key", "site").distinct()
+    m = table(spark, folder, "manifest").filter("stem is not null").groupBy("stem").agg(F.min("label").alias("label"))
+    return s.join(m, F.col("site") == F.col("stem"), "left").select("site_key", F.coalesce("label", "site").alias("name"))
+
+
+@query("heat_color", "SELECT DISTINCT node_key, CASE WHEN tier = 'critical' THEN 'red' WHEN tier = 'important' THEN 'orange' ELSE 'grey' END AS colour FROM web_nodes")
+def heat_color(spark, folder):
+    """A styling column from the tier."""
+    tier = F.col("tier")
+    return table(spark, folder, "web_nodes").select("node_key", F.when(tier == "critical", "red").when(tier == "important", "orange").otherwise("grey").alias("colour")).distinct()
+
+
+@query("snk_dataset", "SELECT site_key, t AS tile, lower(trim(split)) AS split FROM (SELECT DISTINCT site_key, split, unnest(tiles) AS t FROM dataset_sites WHERE error_note IS NULL AND split IS NOT NULL) WHERE t IS NOT NULL")
+def snk_dataset(spark, folder):
+    """Samples of sites without a failure, written partitioned by split and read back."""
+    d = table(spark, folder, "dataset_sites").filter("error_note is null and split is not null")
+    rows = d.select("site_key", "split", F.explode("tiles").alias("tile")).filter("tile is not null").distinct()
+    path = _scratch(spark)
+    rows.select("site_key", "tile", F.lower(F.trim("split")).alias("split")).write.partitionBy("split").parquet(path)
+    return spark.read.schema("site_key long, tile string, split string").parquet(path)
+
+
+@query("src_dem", "WITH px AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS tile, CAST(l_orderkey % 64 AS INTEGER) AS y, CAST(l_partkey % 64 AS INTEGER) AS x, round(avg(l_discount), 6)*10 AS p FROM lineitem GROUP BY 1, 2, 3) SELECT tile, y, x, CAST(floor(p*255) AS INTEGER)*256.0::DOUBLE + (x*3) - 32768.0::DOUBLE AS metres FROM px")
+def src_dem(spark, folder):
+    """Terrain colours of each pixel decoded to metres."""
+    from meshwright.functions.geo import elevation
+
+    p = probability(spark, folder)
+    return p.select("tile", "y", "x", elevation(F.floor(F.col("p") * 255).cast("int"), F.col("x") * 3, F.lit(0)).alias("metres"))
