@@ -24,6 +24,7 @@ DELETE = ADD = 0.7
 MOVE = 0.15
 #: Kinds of healing that edge files name.
 KINDS = ("canopy", "geom", "trace")
+_LAT, _LNG = ("lat", "latitude", "y"), ("lng", "lon", "long", "longitude", "x")
 _TRUE, _FALSE = {"true", "yes", "t", "y", "1"}, {"false", "no", "f", "n", "0"}
 _PAIRS = re.compile(r"\s*-?\d+(?:\.\d+)?[ ,]\s*-?\d+(?:\.\d+)?(?:\s*[;|]\s*-?\d+(?:\.\d+)?[ ,]\s*-?\d+(?:\.\d+)?)*\s*;?\s*")
 
@@ -36,13 +37,14 @@ class Target:
     contents: tuple[tuple[str, float], ...]
 
 
+_NUMBERS = (("number", 0.3), ("flagnum", 0.3), ("small", 0.3))
 #: Content likeness: 1 tells the field by itself, 0.3 fits but says little, -1 rules it out.
 TARGETS = (
     Target("stem", (("text", 0.3),)),
-    Target("u", (("int", 0.3), ("flagnum", 0.3), ("small", 0.3))),
-    Target("v", (("int", 0.3), ("flagnum", 0.3), ("small", 0.3))),
-    Target("bc", (("real", 0.3), ("int", 0.3), ("flagnum", 0.3), ("small", 0.3))),
-    Target("w", (("real", 0.3), ("int", 0.3), ("flagnum", 0.3), ("small", 0.3))),
+    Target("u", _NUMBERS),
+    Target("v", _NUMBERS),
+    Target("bc", _NUMBERS),
+    Target("w", _NUMBERS),
     Target("healed", (("bool", 0.3), ("null", 0.0))),
     Target("conf", (("text", 0.3), ("null", 0.0))),
     Target("geo", (("bool", 0.4), ("flagtext", 0.5), ("flagnum", 0.3), ("null", 0.0))),
@@ -76,7 +78,7 @@ def content_class(value) -> str:
     if isinstance(value, (int, float)):
         if value in (0, 1):
             return "flagnum"
-        return "small" if value in (2, 3) else "int" if isinstance(value, int) else "real"
+        return "small" if value in (2, 3) else "number"
     if isinstance(value, str):
         low = value.strip().lower()
         if low in KINDS:
@@ -87,10 +89,20 @@ def content_class(value) -> str:
     if isinstance(value, list):
         if value and all(isinstance(x, str) for x in value):
             return "kinds" if all(x.strip().lower() in KINDS for x in value) else "texts"
-        return "places" if _places(value) is not None and value else "list"
+        return "places" if _placed(value) else "list"
     return "object"
 
 
+def _placed(value: list) -> bool:
+    """Whether a list looks like a line of places, by its first element that is one."""
+    first = next((x for x in value if x is not None), None)
+    if isinstance(first, list):
+        return 2 <= len(first) <= 3 and all(x is None or _number(x) is not None for x in first)
+    if isinstance(first, dict):
+        return any(k.lower() in _LAT for k in first) and any(k.lower() in _LNG for k in first)
+    return _number(first) is not None and len(value) % 2 == 0 and _number(value[-1]) is not None
+
+
 def _number(x) -> float | None:
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
 
@@ -109,8 +121,8 @@ def _places(value) -> list[list[float | None] | None] | None:
         out: list = []
         for x in value:
             low = {k.lower(): v for k, v in (x or {}).items()}
-            lat = next((low[k] for k in ("lat", "latitude", "y") if k in low), None)
-            lng = next((low[k] for k in ("lng", "lon", "long", "longitude", "x") if k in low), None)
+            lat = next((low[k] for k in _LAT if k in low), None)
+            lng = next((low[k] for k in _LNG if k in low), None)
             out.append(None if x is None else [_number(lat), _number(lng)])
         return out
     if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in value) and len(value) % 2 == 0:
@@ -221,10 +233,25 @@ def edit_script(shape: tuple[tuple[tuple[str, ...], str], ...]) -> tuple[float,
 
 def field_paths(record: dict) -> dict[str, tuple[str, object]]:
     """For each target field that the record has: its path and value."""
-    at = {p: v for p, v in leaves(record)}
-    shape = tuple(sorted((p, content_class(v)) for p, v in at.items()))
-    values = {".".join(p): v for p, v in at.items()}
-    return {f: (path, values[path]) for op, f, path in edit_script(shape)[1] if f and path}
+    at = list(leaves(record))
+    at.sort(key=_path)
+    # a number under the very name of a numeric field: which number makes no other shape
+    script = _matched(tuple((p, "number" if p in _NUMERIC and type(v) in (int, float) else content_class(v)) for p, v in at))
+    return {f: (path, at[k][1]) for f, path, k in script}
+
+
+_NUMERIC = {(t.name,) for t in TARGETS if t.contents is _NUMBERS}
+
+
+def _path(leaf: tuple) -> tuple[str, ...]:
+    return leaf[0]
+
+
+@lru_cache(maxsize=50_000)
+def _matched(shape: tuple) -> tuple[tuple[str, str, int], ...]:
+    """The script's fields with their path and place in the shape."""
+    place = {".".join(p): k for k, (p, _) in enumerate(shape)}
+    return tuple((f, path, place[path]) for _, f, path in edit_script(shape)[1] if f and path)
 
 
 def _flag(value) -> bool | None:
