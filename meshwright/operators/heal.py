@@ -20,7 +20,7 @@ from meshwright.operators.network import _own, gap_pairs, linked_nodes
 
 @dataclass(frozen=True)
 class Gates:
-    """Limits of the pass. The defaults of the reference behaviour."""
+    """Limits of the pass. Fixed values, so that decisions come out the same."""
 
     max_gap: float = 60.0
     angle: float = 35.0
