@@ -65,6 +65,31 @@ WHERE 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2),
   + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 75
 """
 
+P6_REPORT_SQL = """
+WITH s AS (SELECT DISTINCT site_key, lat, lon, coalesce(lower(trim(source)), '') AS source, CASE WHEN n IN ('train', 'training', 'trn', 'tr') THEN 'train'
+    WHEN n IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN n IN ('test', 'testing', 'tst', 'eval') THEN 'test' END AS side
+  FROM (SELECT *, trim(lower(split)) AS n FROM dataset_sites)
+  WHERE site_key IS NOT NULL AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)),
+d AS (SELECT a.site_key AS t, b.site_key AS e, b.side, a.source AS ts, b.source AS es, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
+    + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS m
+  FROM s a JOIN s b ON a.side = 'train' AND b.side IN ('val', 'test') AND a.site_key <> b.site_key AND abs(a.lat - b.lat) < 0.001),
+r AS (SELECT e, side, es, bool_or(m = 0) AS exact, count(*) AS pairs FROM (SELECT DISTINCT t, e, side, ts, es, m = 0 AS z, m FROM d WHERE m <= 75) GROUP BY 1, 2, 3)
+SELECT side AS eval_split, es AS eval_source, count(*) AS records, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS exact_records, CAST(sum(pairs) AS BIGINT) AS pairs FROM r GROUP BY 1, 2
+"""
+
+#: Labels spread along links until none gets smaller.
+P4_SQL = """
+WITH RECURSIVE l AS (SELECT DISTINCT stem, u, v FROM web_edges WHERE stem IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND u <> v),
+b AS (SELECT stem, u, v FROM l UNION SELECT stem, v, u FROM l),
+g(stem, id, k) USING KEY (stem, id) AS (
+  SELECT stem, u, least(u, min(v)) FROM b GROUP BY 1, 2
+  UNION
+  SELECT x.stem, x.id, x.k FROM (SELECT g.stem, b.v AS id, min(g.k) AS k FROM g JOIN b ON g.stem = b.stem AND g.id = b.u GROUP BY 1, 2) x
+  JOIN recurring.g q ON q.stem = x.stem AND q.id = x.id WHERE x.k < q.k)
+SELECT stem, id AS node_id, k AS group_id FROM g
+"""
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -94,4 +119,4 @@ QUERIES = {
     "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_clean": p10_clean,
     "p10_validation": p10_validation,
 }
-SQL = {"p6_found": P6_SQL, "p7_found": P7_SQL}
+SQL = {"p4_found": P4_SQL, "p6_found": P6_SQL, "p6_report": P6_REPORT_SQL, "p7_found": P7_SQL}
