@@ -53,6 +53,9 @@ TARGETS = (
 )
 
 
+_LIKES = {t.name: dict(t.contents) for t in TARGETS}
+
+
 def json_type(value) -> str | None:
     """The JSON type of a value, for a list with that of its elements; null for null."""
     if value is None:
@@ -199,31 +202,35 @@ def edit_script(shape: tuple[tuple[tuple[str, ...], str], ...]) -> tuple[float,
 
     ``shape`` lists the record's leaves with their content class. Matching a field costs
     ``2 - likeness of names - 1.2 x likeness of contents`` plus ``MOVE`` for every level it lies
-    deeper; leaving it out costs a deletion and, for the leaf, an addition.
+    deeper; leaving it out costs a deletion and, for the leaf, an addition. A leaf with a value
+    under the very name of a field whose contents it may be is kept at no cost.
     """
-    n, m = len(TARGETS), len(shape)
-    if not m:
-        return DELETE * n, tuple(("delete", t.name, "") for t in TARGETS)
+    steps: list[tuple[str, str, str]] = []
+    total, matched = 0.0, set()
+    settled = {path[0]: j for j, (path, kind) in enumerate(shape) if len(path) == 1 and kind != "null" and _LIKES.get(path[0], {}).get(kind, -1.0) >= 0}
+    for name, j in settled.items():
+        steps.append(("keep", name, name))
+        matched.add(j)
+    fields = [t.name for t in TARGETS if t.name not in settled]
+    spare = [j for j in range(len(shape)) if j not in matched]
+    n, m = len(fields), len(spare)
     cost = np.full((n, m + n), 2 * (DELETE + ADD))
-    for i, t in enumerate(TARGETS):
-        contents = dict(t.contents)
-        for j, (path, kind) in enumerate(shape):
-            like = contents.get(kind, -1.0)
-            cost[i, j] = 2 - name_likeness(t.name, path) - 1.2 * like + MOVE * (len(path) - 1)
+    for i, name in enumerate(fields):
+        for k, j in enumerate(spare):
+            path, kind = shape[j]
+            cost[i, k] = 2 - name_likeness(name, path) - 1.2 * _LIKES[name].get(kind, -1.0) + MOVE * (len(path) - 1)
         cost[i, m + i] = DELETE + ADD
-    found = _assign(cost)
-    steps, total, matched = [], 0.0, set()
-    for i, j in enumerate(found):
-        name = TARGETS[i].name
-        if j >= m or cost[i, j] >= DELETE + ADD:
+    for i, k in enumerate(_assign(cost) if n else []):
+        name = fields[i]
+        if k >= m or cost[i, k] >= DELETE + ADD:
             steps.append(("delete", name, ""))
             total += DELETE
             continue
-        path = shape[j][0]
-        matched.add(j)
-        total += cost[i, j]
-        kind = "keep" if path == (name,) else "move" if path[-1] == name else "rename"
-        steps.append((kind, name, ".".join(path)))
+        path = shape[spare[k]][0]
+        matched.add(spare[k])
+        total += cost[i, k]
+        operation = "keep" if path == (name,) else "move" if path[-1] == name else "rename"
+        steps.append((operation, name, ".".join(path)))
     for j, (path, _) in enumerate(shape):
         if j not in matched:
             steps.append(("add", "", ".".join(path)))
