@@ -69,5 +69,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Candidates by bands of latitude a little higher than the radius, then the same distance.
+P3_SQL = """
+WITH n AS (SELECT DISTINCT node_key AS k, lat, lng, CAST(floor(lat / 0.0001) AS BIGINT) AS band FROM web_nodes
+  WHERE node_key IS NOT NULL AND abs(lat) <= 90 AND abs(lng) <= 180 AND NOT (lat = 0 AND lng = 0)),
+wide AS (SELECT k, lat, lng, unnest([band - 1, band, band + 1]) AS band FROM n),
+l AS (SELECT doc_key, unnest(osm_lines) AS l FROM (SELECT DISTINCT doc_key, osm_lines FROM export_web_geo)),
+v AS (SELECT DISTINCT doc_key AS k, p[1] AS lat, p[2] AS lng, CAST(floor(p[1] / 0.0001) AS BIGINT) AS band FROM (SELECT doc_key, unnest(l) AS p FROM l)
+  WHERE abs(p[1]) <= 90 AND abs(p[2]) <= 180 AND NOT (p[1] = 0 AND p[2] = 0)),
+c AS (SELECT 'node' AS near, a.k AS key_a, b.k AS key_b, a.lat AS y1, a.lng AS x1, b.lat AS y2, b.lng AS x2 FROM wide a JOIN n b ON a.band = b.band AND a.k < b.k AND abs(a.lng - b.lng) < 0.01
+  UNION ALL SELECT 'line', a.k, v.k, a.lat, a.lng, v.lat, v.lng FROM wide a JOIN v ON a.band = v.band AND abs(a.lng - v.lng) < 0.01)
+SELECT DISTINCT near, key_a, key_b FROM c WHERE 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y2 - y1) / 2), 2)
+  + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2)))) <= 5
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_edges": p1_edges, "p2_found": p2_found, "p3_found": p3_found}
-SQL = {"p2_found": P2_SQL}
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL}
