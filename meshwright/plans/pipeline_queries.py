@@ -168,9 +168,9 @@ def agg_board(spark, folder):
     return _sector_rows(spark, folder).groupBy("run_id").agg(*[F.round(F.avg(c), 8).alias(c) for c in _COLS])
 
 
-@query("agg_mean_lcc", "WITH s AS (" + _SEC + ") SELECT stem, count(*) AS runs, round(avg(v.lcc_after), 6) AS lcc FROM s GROUP BY 1")
+@query("agg_mean_lcc", "WITH s AS (" + _SEC + ") SELECT stem, count(*) AS runs, round(avg(v.lcc_after), 9) AS lcc FROM s GROUP BY 1")
 def agg_mean_lcc(spark, folder):
-    return _sector_rows(spark, folder).groupBy("stem").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("lcc_after"), 6).alias("lcc"))
+    return _sector_rows(spark, folder).groupBy("stem").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("lcc_after"), 9).alias("lcc"))
 
 
 _EP = "ep AS (SELECT CAST(year(o_orderdate)*12+month(o_orderdate) AS INTEGER) AS epoch, round(avg(o_totalprice), 2) AS score FROM orders GROUP BY 1)"
