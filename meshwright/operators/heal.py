@@ -46,11 +46,15 @@ class Gates:
 
 @dataclass
 class Evidence:
-    """Rasters of a tile, if there are any: dense canopy, share of green, road probability."""
+    """Rasters of a tile, if there are any: dense canopy, share of green, road probability.
+
+    Places beyond the canopy raster are cut to its rim; with ``wrap`` the raster repeats instead.
+    """
 
     canopy: np.ndarray | None = None
     green: float = 0.0
     prob: np.ndarray | None = None
+    wrap: bool = False
 
 
 @dataclass
@@ -102,10 +106,10 @@ def _faces(p, q, a: float | None, b: float | None, tolerance: float, corridor: f
     return off(p, a, q) <= corridor and off(q, b, p) <= corridor
 
 
-def _overlap(p, q, canopy: np.ndarray) -> float:
+def _overlap(p, q, canopy: np.ndarray, wrap: bool = False) -> float:
     h, w = canopy.shape
-    x = np.clip(np.linspace(p[0], q[0], 32).astype(int), 0, w - 1)
-    y = np.clip(np.linspace(p[1], q[1], 32).astype(int), 0, h - 1)
+    x, y = (np.linspace(p[k], q[k], 32).astype(int) for k in (0, 1))
+    x, y = (x % w, y % h) if wrap else (np.clip(x, 0, w - 1), np.clip(y, 0, h - 1))
     return float(canopy[y, x].mean())
 
 
@@ -115,12 +119,13 @@ def bridge(at: dict, edges: list[tuple[int, int]], gaps: list[tuple[float, int,
     for u, v in edges:
         net.join(u, v)
     wide_gap, wide_angle, demanded, saturated = gates.under_canopy(seen.green)
+    reach = gates.max_gap if seen.canopy is None else max(gates.max_gap, wide_gap)
     made = []
     for dist, a, b in sorted(gaps):
-        if net.root(a) == net.root(b):
+        if dist > reach or net.root(a) == net.root(b):
             continue
         p, q = at[a], at[b]
-        over = _overlap(p, q, seen.canopy) if seen.canopy is not None else 0.0
+        over = _overlap(p, q, seen.canopy, seen.wrap) if seen.canopy is not None else 0.0
         covered = seen.canopy is not None and over >= demanded
         gap, angle = (wide_gap, wide_angle) if covered else (gates.max_gap, gates.angle)
         pts = evidence = None
@@ -144,36 +149,58 @@ def bridge(at: dict, edges: list[tuple[int, int]], gaps: list[tuple[float, int,
 BRIDGES = "tile int, u long, v long, weight double, heal_kind string, conf string, canopy_frac double, evidence double"
 
 
-def heal(nodes: DataFrame, edges: DataFrame, gates: Gates = Gates(), prob: DataFrame | None = None, size: int = 0) -> DataFrame:
-    """Bridges of every tile: ``nodes`` tile, id, x, y; ``edges`` tile, u, v, w; ``prob`` tile, y, x, p.
+def heal(
+    nodes: DataFrame, edges: DataFrame, gates: Gates = Gates(), prob: DataFrame | None = None, size: int = 0, canopy: DataFrame | None = None, wrap: bool = False
+) -> DataFrame:
+    """Bridges of every tile: ``nodes`` tile, id, x, y; ``edges`` tile, u, v, w; ``prob`` tile, y, x, p;
+    ``canopy`` tile, y, x, green_frac, dense (as ``ras_canopy`` gives them). Rasters are ``size`` wide and high.
 
-    Tiles without a candidate give no row. Without ``prob`` the decision is geometric.
+    Tiles without a candidate give no row. Without ``prob`` and ``canopy`` the decision is geometric.
+    Candidates reach to the wider gap where there is canopy; a tile that ``canopy`` lacks stays strict.
     """
-    gaps = gap_pairs(nodes, edges, gates.max_gap).select("tile", F.lit("g").alias("t"), "a", "b", F.sqrt(F.col("d2").cast("double")).alias("x"), F.lit(None).cast("double").alias("y"))
+    reach = gates.max_gap if canopy is None else max(gates.max_gap, gates.under_canopy(0.0)[0])
+    gaps = gap_pairs(nodes, edges, reach).select("tile", F.lit("g").alias("t"), "a", "b", F.sqrt(F.col("d2").cast("double")).alias("x"), F.lit(None).cast("double").alias("y"))
     tiles = gaps.select("tile").distinct()
     at = nodes.join(linked_nodes(edges), ["tile", "id"], "left_semi").select("tile", F.lit("n").alias("t"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     lines = edges.select("tile", F.lit("e").alias("t"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
     rows = _own(gaps).unionByName(at.unionByName(lines).join(_own(tiles), "tile", "left_semi"))
 
-    def run(tile, pdf: pd.DataFrame, raster: np.ndarray | None) -> pd.DataFrame:
+    def run(tile, pdf: pd.DataFrame, seen: Evidence) -> pd.DataFrame:
         part = {k: g for k, g in pdf.groupby("t")}
         if "g" not in part:
             return pd.DataFrame(columns=["tile", "u", "v", "weight", "heal_kind", "conf", "canopy_frac", "evidence"])
         n, e, g = part["n"], part["e"], part["g"]
-        made = bridge(
-            dict(zip(n.a, zip(n.x, n.y))), list(zip(e.a, e.b.astype("int64"))), list(zip(g.x, g.a, g.b.astype("int64"))), gates, Evidence(prob=raster)
-        )
+        made = bridge(dict(zip(n.a, zip(n.x, n.y))), list(zip(e.a, e.b.astype("int64"))), list(zip(g.x, g.a, g.b.astype("int64"))), gates, seen)
         out = pd.DataFrame(made, columns=["u", "v", "weight", "heal_kind", "conf", "canopy_frac", "evidence"])
         out.insert(0, "tile", tile)
         out["evidence"] = out["evidence"].astype(float)
         return out
 
-    if prob is None:
-        return rows.groupBy("tile").applyInPandas(lambda key, pdf: run(key[0], pdf, None), BRIDGES)
+    if prob is None and canopy is None:
+        return rows.groupBy("tile").applyInPandas(lambda key, pdf: run(key[0], pdf, Evidence()), BRIDGES)
+
+    def raster(px: pd.DataFrame, kind: type) -> np.ndarray:
+        out = np.zeros((size, size), kind)
+        out[px.y, px.x] = px.v
+        return out
+
+    # pixels of both rasters in one frame: probabilities, dense cells, and a row for the share of green
+    pixels = lambda df, t, v: df.select("tile", F.lit(t).alias("t"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), v.cast("double").alias("v"))
+    frames = []
+    if prob is not None:
+        frames.append(pixels(prob, "p", F.col("p")))
+    if canopy is not None:
+        green = canopy.groupBy("tile").agg(F.max("green_frac").alias("g")).withColumns({"y": F.lit(0), "x": F.lit(0)})
+        frames += [pixels(canopy.filter("dense"), "c", F.lit(1.0)), pixels(green, "s", F.col("g"))]
+    seen, has_prob = frames[0], prob is not None
+    for more in frames[1:]:
+        seen = seen.unionByName(more)
 
     def both(key, pdf, px):
-        raster = np.zeros((size, size))
-        raster[px.y, px.x] = px.p
-        return run(key[0], pdf, raster)
+        part = {k: g for k, g in px.groupby("t")}
+        has = "s" in part
+        dense = raster(part.get("c", px.iloc[:0]), bool) if has else None
+        soft = raster(part.get("p", px.iloc[:0]), float) if has_prob else None
+        return run(key[0], pdf, Evidence(dense, float(part["s"].v.iloc[0]) if has else 0.0, soft, wrap))
 
-    return rows.groupBy("tile").cogroup(_own(prob).groupBy("tile")).applyInPandas(both, BRIDGES)
+    return rows.groupBy("tile").cogroup(_own(seen).groupBy("tile")).applyInPandas(both, BRIDGES)

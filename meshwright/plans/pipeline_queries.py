@@ -12,7 +12,7 @@ from meshwright.functions import raster_kernels as K
 from meshwright.operators import heal as H, network as N, raster as R
 from meshwright.planning.lineage import shared_folder
 from meshwright.plans.fixtures import R as RADIUS, edges, edges_sql, nodes, probability
-from meshwright.plans.raster_queries import _mask
+from meshwright.plans.raster_queries import _mask, ras_canopy
 from meshwright.sources import files
 from meshwright.sources.tables import table
 
@@ -288,9 +288,21 @@ def g_heal_prob(spark, folder):
     return H.heal(small, e, H.Gates(max_gap=30.0, angle=50.0), prob, 64)
 
 
+def _of_years(spark, pixels):
+    """Rasters of seven years for the tiles in turn."""
+    years = spark.createDataFrame([(t, 1992 + t % 7) for t in range(25)], "tile int, year int")
+    return pixels.withColumnRenamed("tile", "year").join(years, "year").drop("year")
+
+
+def _canopy_healed(spark, folder):
+    """Healing with canopy: a tile is whole 64 x 64 blocks, so its year's raster repeats over it."""
+    return H.heal(*_sparse(spark, folder), _GATES, size=64, canopy=_of_years(spark, ras_canopy(spark, folder)), wrap=True)
+
+
 @query("g_heal_counts")
 def g_heal_counts(spark, folder):
-    h = g_heal(spark, folder)
+    """Bridges by kind, canopy evidence included."""
+    h = _canopy_healed(spark, folder)
     return h.groupBy("tile").agg(*[F.count_if(F.col("heal_kind") == k).alias(k) for k in ("canopy", "geom", "trace")])
 
 
