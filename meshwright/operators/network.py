@@ -198,17 +198,18 @@ def stats(edges: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
-def ablation(nodes: DataFrame, edges: DataFrame, top_k: int = 8) -> DataFrame:
+def ablation(nodes: DataFrame, edges: DataFrame, top_k: int = 8, unit: float = 1000.0) -> DataFrame:
     """The removal curve of each tile; see ``paths.ablate``."""
+    kind = nodes.schema["tile"].dataType.simpleString()
 
     def run(tile, n, e):
-        rows = ablate(TileGraph(n.id, e.u, e.v, e.w), top_k, 1000.0)
+        rows = ablate(TileGraph(n.id, e.u, e.v, e.w), top_k, unit)
         out = pd.DataFrame(rows, columns=["step", "removed", "betweenness", "resilience_index", "global_efficiency", "lcc_fraction"])
         out.insert(0, "tile", tile)
         out["removed"] = out["removed"].astype("Int64")
         return out
 
-    return per_tile(nodes, edges, run, "tile int, step int, removed long, betweenness double, resilience_index double, global_efficiency double, lcc_fraction double")
+    return per_tile(nodes, edges, run, f"tile {kind}, step int, removed long, betweenness double, resilience_index double, global_efficiency double, lcc_fraction double")
 
 
 def flooding(nodes: DataFrame, edges: DataFrame, levels: int = 12, low: float = 2, high: float = 88) -> DataFrame:

@@ -137,20 +137,96 @@ def snk_manifest(spark, folder):
     return out.select("stem", "label", "geo", F.coalesce("nodes", F.lit(0)).alias("nodes"), "edges", F.coalesce("gatekeeper_bc", F.lit(0.0)).alias("gatekeeper_bc"), (F.col("stem") == F.col("opens")).alias("is_default"))
 
 
+def _tile_graphs(spark, folder):
+    """Nodes and edges of the lasting state: the last row of each; edges join two known nodes, either way round."""
+    last = lambda *c: F.max(F.struct("exported_at", *c)).alias("v")
+    n = table(spark, folder, "web_nodes").filter("stem is not null and id is not null").withColumn("bc", F.when(~F.isnan("bc"), F.round("bc", 4)))
+    n = n.groupBy("stem", "id").agg(last("loaded_at", "x", "y", "lat", "lng", "bc", "tier", "deg", "elev", "demand", "svc")).select("stem", "id", "v.*").drop("exported_at", "loaded_at")
+    e = table(spark, folder, "web_edges").filter("stem is not null and u <> v").select(
+        "stem", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(~F.isnan("bc"), F.round("bc", 4)).alias("bc"),
+        F.round(F.coalesce("w", F.lit(1.0)), 1).alias("w"), F.coalesce("healed", F.lit(False)).alias("healed"), "hk", "conf", "exported_at",
+    )
+    e = e.groupBy("stem", "u", "v").agg(F.max(F.struct("exported_at", "bc", "w", "healed", "hk", "conf")).alias("z")).select("stem", "u", "v", "z.*").drop("exported_at")
+    for end in "uv":
+        e = e.join(n.select("stem", F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("x", "y", "lat", "lng")]), ["stem", end])
+    return n, e
+
+
+def _shapes(spark, folder):
+    """Vertices of the edges that the exported documents bring, turned to u < v."""
+    d = table(spark, folder, "export_web_geo").filter("stem is not null").select("stem", "exported_at", F.explode("edges").alias("e")).filter("e.u <> e.v")
+    turned = lambda c: F.when(F.col("e.u") < F.col("e.v"), F.col(f"e.{c}")).otherwise(F.reverse(f"e.{c}"))
+    known = lambda c: F.when((F.size(c) >= 2) & F.forall(c, lambda p: p.isNotNull() & (F.size(p) == 2) & ~F.exists(p, lambda z: z.isNull())), F.col(c))
+    d = d.select("stem", F.least("e.u", "e.v").alias("u"), F.greatest("e.u", "e.v").alias("v"), "exported_at", turned("pts").alias("pts"), turned("ll").alias("ll"))
+    d = d.withColumns({"pts": known("pts"), "ll": known("ll")}).groupBy("stem", "u", "v")
+    return d.agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("exported_at", c)))[c].alias(c) for c in ("pts", "ll")])
+
+
+def _heads(spark, folder):
+    """Name, frame and reference lines of each exported tile: the last document's values, all documents' lines."""
+    d = table(spark, folder, "export_web_geo").filter("stem is not null")
+    cols = ("label", "geo", "bounds", "img_w", "img_h", "res_m_per_px")
+    head = d.groupBy("stem").agg(F.max(F.struct("exported_at", "loaded_at", "doc_key", *cols)).alias("h")).select("stem", *[f"h.{c}" for c in cols])
+    good = "p is not null and size(p) = 2 and p[0] is not null and p[1] is not null and abs(p[0]) <= 90 and abs(p[1]) <= 180 and not (p[0] = 0 and p[1] = 0)"
+    lines = d.select("stem", F.explode("osm_lines").alias("l")).select("stem", F.expr(f"filter(l, p -> {good})").alias("l")).filter("size(l) >= 2")
+    return head.join(lines.groupBy("stem").agg(F.sort_array(F.collect_set("l")).alias("osm_lines")), "stem", "left")
+
+
+def _documents(spark, folder, geo: bool):
+    """The document of every tile as columns: nodes, edges, gatekeepers, curve; with ``geo`` also what the map needs.
+
+    Ranks take scores from 0 to 1 only, as the manifest does. The curve is the exact removal of the eight
+    most central nodes in turn, for tiles of four nodes or more.
+    """
+    n, e = _tile_graphs(spark, folder)
+    ranked = lambda c, *cols: F.slice(F.sort_array(F.collect_list(F.when(F.col(c).between(0, 1), F.struct((-F.col(c)).alias("k"), *cols)))), 1, 10)
+    bare = lambda name, *cols: F.transform(name, lambda g: F.struct(*[g[c].alias(c) for c in cols])).alias(name)
+    fields = ["id", "x", "y", *(["lat", "lng"] if geo else []), "bc", "tier", "deg", *(["elev", "demand", "svc"] if geo else [])]
+    out = n.groupBy("stem").agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("nodes"), ranked("bc", "id", "bc", "tier").alias("gatekeepers"),
+        ranked("svc", "id", "svc", "bc", "demand", "tier").alias("service_gatekeepers"), F.min("elev").alias("elev_min"), F.max("elev").alias("elev_max"),
+    )
+    at = lambda a, b: F.array(*[F.array(F.col(f"{a}_{k}"), F.col(f"{b}_{k}")) for k in "uv"])
+    drawn = e.join(_shapes(spark, folder), ["stem", "u", "v"], "left").withColumns({"pts": F.coalesce("pts", at("x", "y")), "ll": F.coalesce("ll", at("lat", "lng"))})
+    lines = ["u", "v", "bc", "w", "healed", *(["hk", "conf"] if geo else []), "pts", *(["ll"] if geo else [])]
+    kinds = [F.count_if(F.col("healed") & (F.col("hk") == k)).alias(f"healed_{k}") for k in ("canopy", "geom", "trace")]
+    drawn = drawn.groupBy("stem").agg(F.sort_array(F.collect_list(F.struct(*lines))).alias("edges"), F.count_if("healed").alias("healed_bridges"), *kinds)
+    tile = lambda df: df.withColumnRenamed("stem", "tile")
+    enough = n.groupBy("stem").count().filter("count >= 4").select("stem")
+    steps = N.ablation(tile(n.select("stem", "id").join(enough, "stem")), tile(e.select("stem", "u", "v", "w").join(enough, "stem", "left_semi")), unit=1.0)
+    curve = steps.groupBy(F.col("tile").alias("stem")).agg(F.sort_array(F.collect_list(F.struct(*steps.columns[1:]))).alias("resilience"))
+    heads = _heads(spark, folder)
+    out = out.join(drawn, "stem", "left").join(curve, "stem", "left").join(heads if geo else heads.select("stem", "img_w", "img_h"), "stem", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    columns = ["stem", "img_w", "img_h", "nodes", none("edges"), bare("gatekeepers", "id", "bc", "tier"), none("resilience"), zero("healed_bridges")]
+    if geo:
+        columns += ["label", F.coalesce("geo", F.lit(False)).alias("geo"), "bounds", "res_m_per_px", bare("service_gatekeepers", "id", "svc", "bc", "demand", "tier")]
+        columns += ["elev_min", "elev_max", none("osm_lines"), *[zero(f"healed_{k}") for k in ("canopy", "geom", "trace")]]
+    return out.select(*columns)
+
+
+def _written(spark, documents):
+    """Documents written one a tile and read back: stem, document."""
+    path = _scratch(spark)
+    files.write_documents(documents, path)
+    return spark.read.schema("value string, stem string").text(path).select("stem", F.col("value").alias("document"))
+
+
+def _node_count():
+    return F.json_array_length(F.get_json_object("document", "$.nodes")).cast("long").alias("n")
+
+
 @query("snk_web_geo")
 def snk_web_geo(spark, folder):
-    """One JSON document per tile: its nodes as arrays of objects, gatekeepers first."""
-    n = table(spark, folder, "web_nodes").filter("stem is not null").groupBy("stem", "id").agg(
-        F.max_by(F.struct("x", "y", "lat", "lng", F.round("bc", 4).alias("bc"), "tier", "deg", "elev"), "exported_at").alias("v")
-    )
-    doc = n.groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("id", "v.*"))).alias("nodes"), F.count(F.lit(1)).alias("n"))
-    return doc.select("stem", "n", F.to_json(F.struct("stem", "nodes")).alias("document"))
+    """One JSON document per tile: nodes, edges, gatekeepers, curve, service, confidence and reference lines."""
+    return _written(spark, _documents(spark, folder, True)).select("stem", _node_count(), "document")
 
 
 @query("snk_web", "SELECT stem, count(DISTINCT id) AS n FROM web_nodes WHERE stem IS NOT NULL GROUP BY 1")
 def snk_web(spark, folder):
     """The pixel-space document, read back: as many nodes as went in."""
-    return snk_web_geo(spark, folder).select("stem", F.json_array_length(F.get_json_object("document", "$.nodes")).cast("long").alias("n"))
+    return _written(spark, _documents(spark, folder, False)).select("stem", _node_count())
 
 
 _COLS = ["recall", "precision", "f1", "routing_success", "median_plerr_pct", "lcc_after"]

@@ -30,3 +30,33 @@ def test_canopy_reaches_the_counts(spark):
     rows = _canopy_healed(spark, FOLDER).collect()
     assert any(r.canopy_frac > 0 for r in rows)
     assert sum(r.canopy for r in g_heal_counts(spark, FOLDER).collect()) == sum(r.heal_kind == "canopy" for r in rows)
+
+
+def test_whole_documents(spark):
+    """Contents of the documents against the tables, taken apart in plain Python."""
+    import json
+
+    from meshwright.plans import pipeline_queries as P
+
+    read = lambda t: [r.asDict() for r in spark.read.parquet(f"{FOLDER}/{t}.parquet").collect()]
+    nodes, edges = {}, {}
+    for r in sorted(read("web_nodes"), key=lambda r: r["exported_at"]):
+        if r["stem"] is not None:
+            nodes.setdefault(r["stem"], {})[r["id"]] = r
+    for r in read("web_edges"):
+        known = nodes.get(r["stem"], {})
+        if r["u"] in known and r["v"] in known and r["u"] != r["v"]:
+            edges.setdefault(r["stem"], set()).add((min(r["u"], r["v"]), max(r["u"], r["v"])))
+    got = {r.stem: json.loads(r.document) for r in P.snk_web_geo(spark, FOLDER).collect()}
+    plain = P._documents(spark, FOLDER, False).collect()
+    assert got.keys() == nodes.keys() == {r.stem for r in plain} and edges
+    ok = lambda b: b is not None and 0 <= b <= 1
+    for stem, d in got.items():
+        mine = nodes[stem]
+        assert [x["id"] for x in d["nodes"]] == sorted(mine) and all(x.get("svc") == mine[x["id"]]["svc"] for x in d["nodes"])
+        assert [(x["u"], x["v"]) for x in d["edges"]] == sorted(edges.get(stem, ())) and all(len(x["pts"]) >= 2 and len(x["ll"]) >= 2 for x in d["edges"])
+        best = sorted((-round(r["bc"], 4), k) for k, r in mine.items() if ok(r["bc"]))[:10]
+        assert [(-g["bc"], g["id"]) for g in d["gatekeepers"]] == best
+        assert len(mine) < 4 or [s["step"] for s in d["resilience"]] == list(range(min(9, len(mine) - 1)))
+    assert any(d["osm_lines"] for d in got.values()) and any("conf" in x for d in got.values() for x in d["edges"])
+    assert all(len(r.edges) == len(edges.get(r.stem, ())) and r.gatekeepers is not None and r.resilience is not None for r in plain)
