@@ -10,6 +10,7 @@ from pyspark.sql import Window as W, functions as F
 
 from meshwright.functions import raster_kernels as K
 from meshwright.operators import heal as H, network as N, raster as R
+from meshwright.operators.ranges import nearest
 from meshwright.planning.lineage import shared_folder
 from meshwright.plans.fixtures import R as RADIUS, edges, edges_sql, nodes, probability
 from meshwright.plans.raster_queries import _mask, ras_canopy
@@ -399,36 +400,66 @@ def g_conn_report(spark, folder):
     return out.withColumn("components_merged", F.col("components_before") - F.col("components_after")).withColumn("healed_edges", F.coalesce("healed_edges", F.lit(0)))
 
 
-@query("g_pairs")
-def g_pairs(spark, folder):
-    """Seeded endpoint pairs without replacement, 30 a tile (a sampling operator)."""
+def _benchmark(spark, folder):
+    """The truth graph, and the thinned one that stands in for a model's."""
     e = edges(spark, folder)
-    n = N.linked_nodes(e)
+    return nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), e, e.filter("(u + v) % 7 <> 0")
+
+
+def _draws(spark, folder, n: int = 200, snap: float = 45.0, seed: int = 42):
+    """(tile, k, s, t, ms, mt): routable pairs of truth nodes in the order drawn, at most 6 n draws a tile, until n
+    have model nodes ``ms``, ``mt`` within ``snap``; those without are kept too, with a null."""
+    truth, e, thin = _benchmark(spark, folder)
+    places = truth.select("tile", "id", "x", "y")
+    model = places.join(N.linked_nodes(thin), ["tile", "id"], "left_semi")
+    known = N.components(truth, e).join(nearest(places, ["tile"], snap, model, "id", "id").select("tile", "id", "nearest"), ["tile", "id"], "left")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, rng = np.sort(pdf.id.to_numpy()), np.random.default_rng(42)
-        if len(ids) < 2:
-            return pd.DataFrame(columns=["tile", "k", "s", "t"])
-        rows = [(pdf.tile.iloc[0], k, *map(int, rng.choice(ids, 2, replace=False))) for k in range(30)]
-        return pd.DataFrame(rows, columns=["tile", "k", "s", "t"])
+        pdf, rng, rows, snapped = pdf.sort_values("id"), np.random.default_rng(seed), [], 0
+        at = {i: (c, None if pd.isna(m) else int(m)) for i, c, m in zip(pdf.id, pdf.comp, pdf.nearest)}
+        for k in range(6 * n if len(at) > 1 else 0):
+            if snapped >= n:
+                break
+            a, b = map(int, rng.choice(pdf.id.to_numpy(), 2, replace=False))
+            if at[a][0] == at[b][0]:
+                rows.append((pdf.tile.iloc[0], k, a, b, at[a][1], at[b][1]))
+                snapped += at[a][1] is not None and at[b][1] is not None
+        out = pd.DataFrame(rows, columns=["tile", "k", "s", "t", "ms", "mt"])
+        return out.astype({"ms": "Int64", "mt": "Int64"})
 
-    return n.groupBy("tile").applyInPandas(draw, "tile int, k int, s long, t long")
+    return known.groupBy("tile").applyInPandas(draw, "tile int, k int, s long, t long, ms long, mt long")
+
+
+@query("g_pairs")
+def g_pairs(spark, folder, n: int = 200):
+    """Seeded pairs without replacement: the first n routable and well-snapped of at most 6 n draws a tile."""
+    return _draws(spark, folder, n).filter("ms is not null and mt is not null").select("tile", "k", "s", "t")
 
 
 @query("agg_ple")
-def agg_ple(spark, folder):
-    """Routing success and path-length error of a thinned graph against the full one."""
-    e = edges(spark, folder)
-    n = nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi")
-    thin = e.filter("(u + v) % 7 <> 0")
-    d0 = N.all_pairs(n, e).select("tile", "s", F.col("n").alias("t"), F.col("d").alias("d0"))
-    d1 = N.all_pairs(n, thin).select("tile", "s", F.col("n").alias("t"), F.col("d").alias("d1"))
-    r = g_pairs(spark, folder).join(d0, ["tile", "s", "t"]).filter("d0 > 0").join(d1, ["tile", "s", "t"], "left")
+def agg_ple(spark, folder, n: int = 200, res_m: float = 0.6):
+    """Routing success, gap rate, path-length error and length of a thinned graph against the full one.
+
+    ``res_m``: metres a pixel. A tile without a pair keeps its row, with null errors.
+    """
+    truth, e, thin = _benchmark(spark, folder)
+    drawn = _draws(spark, folder, n)
+
+    def distances(graph, source, name):
+        starts = drawn.select("tile", F.col(source).alias("id")).distinct().withColumn("active", F.lit(True))
+        own = truth.select("tile", "id").join(starts, ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        return N.all_pairs(own, graph).filter("d > 0").select("tile", F.col("s").alias(source), F.col("n").alias(source.replace("s", "t")), F.col("d").alias(name))
+
+    r = drawn.join(distances(e, "s", "d0"), ["tile", "s", "t"]).join(distances(thin, "ms", "d1"), ["tile", "ms", "mt"], "left")
+    good = F.col("ms").isNotNull() & F.col("mt").isNotNull()
     err = F.abs(F.col("d1") - F.col("d0")) / F.col("d0") * 100
-    return r.groupBy("tile").agg(
-        F.count(F.lit(1)).alias("pairs"), F.round(F.count("d1") / F.count(F.lit(1)), 4).alias("routing_success"),
+    found = r.groupBy("tile").agg(
+        F.count_if(good).alias("pairs"), F.round(F.count("d1") / F.greatest(F.count_if(good), F.lit(1)), 4).alias("routing_success"),
+        F.round(F.count_if(~good) / F.count(F.lit(1)), 4).alias("gap_rate"),
         F.round(F.avg(err), 2).alias("mean_error_pct"), F.round(F.median(err), 2).alias("median_error_pct"),
     )
+    km = e.groupBy("tile").agg(F.round(F.sum("w") / 1000 * res_m / 1000, 2).alias("km"))
+    return km.join(found, "tile", "left").select("tile", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "routing_success", "gap_rate")], "mean_error_pct", "median_error_pct", "km")
 
 
 @query("agg_bench")

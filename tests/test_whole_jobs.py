@@ -60,3 +60,46 @@ def test_whole_documents(spark):
         assert len(mine) < 4 or [s["step"] for s in d["resilience"]] == list(range(min(9, len(mine) - 1)))
     assert any(d["osm_lines"] for d in got.values()) and any("conf" in x for d in got.values() for x in d["edges"])
     assert all(len(r.edges) == len(edges.get(r.stem, ())) and r.gatekeepers is not None and r.resilience is not None for r in plain)
+
+
+def test_benchmark_pairs(spark):
+    """Drawn again one by one, as the reference does, over distances of its own."""
+    import numpy as np
+
+    from meshwright.functions.paths import TileGraph
+    from meshwright.plans import pipeline_queries as P
+
+    n = 40
+    truth, e, thin = (df.toPandas() for df in P._benchmark(spark, FOLDER))
+    got = {r.tile: r for r in P.agg_ple(spark, FOLDER, n).collect()}
+    pairs = {}
+    for r in P.g_pairs(spark, FOLDER, n).collect():
+        pairs.setdefault(r.tile, set()).add((r.k, r.s, r.t))
+    assert got.keys() == set(e.tile)
+    for tile, row in got.items():
+        nd, full, cut = (df[df.tile == tile] for df in (truth.sort_values("id"), e, thin))
+        at = dict(zip(nd.id, zip(nd.x, nd.y)))
+        a, b = (TileGraph(nd.id, g.u, g.v, g.w) for g in (full, cut))
+        model = sorted(set(cut.u) | set(cut.v))
+        near = {k: min(((at[m][0] - p[0]) ** 2 + (at[m][1] - p[1]) ** 2, m) for m in model) if model else (1e9, 0) for k, p in at.items()}
+        rng, kept, sampled, errs = np.random.default_rng(42), set(), 0, []
+        d = lambda g, s, t: g.from_source(int(np.searchsorted(g.ids, s)))[0][int(np.searchsorted(g.ids, t))]
+        for k in range(6 * n):
+            if len(kept) >= n:
+                break
+            s, t = map(int, rng.choice(nd.id.to_numpy(), 2, replace=False))
+            d0 = d(a, s, t)
+            if not 0 < d0 < float("inf"):
+                continue
+            sampled += 1
+            if max(near[s][0], near[t][0]) > 45**2:
+                continue
+            kept.add((k, s, t))
+            d1 = d(b, near[s][1], near[t][1])
+            if 0 < d1 < float("inf"):
+                errs.append(abs(d1 - d0) / d0 * 100)
+        assert pairs.get(tile, set()) == kept and row.pairs == len(kept)
+        assert abs(row.routing_success - len(errs) / max(1, len(kept))) < 1e-4 and abs(row.gap_rate - (sampled - len(kept)) / max(1, sampled)) < 1e-4
+        assert row.mean_error_pct is None if not errs else abs(row.mean_error_pct - np.mean(errs)) < 0.011
+        assert row.km > 0 and (row.median_error_pct is None) == (not errs)
+    assert max(map(len, pairs.values())) > 30
