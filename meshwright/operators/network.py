@@ -94,11 +94,11 @@ def efficiency(pairs: DataFrame, nodes: DataFrame, unit: float = 1000.0) -> Data
     return size.join(total, "tile", "left").select("tile", "n", value.alias("eff"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, seed: int = 42, exact: int = 0) -> tuple[DataFrame, DataFrame]:
     """Node (tile, id, bc) and edge (tile, u, v, bc) betweenness.
 
     Each task adds up its block's sources; sums over blocks are plain aggregates. With ``pivots``
-    only so many sources a tile are used, chosen by hash, and scores scaled up.
+    only so many sources of a tile of more than ``exact`` nodes are used, chosen by hash, and scores scaled up.
     """
     sources = nodes.select("tile", "id")
 
@@ -115,10 +115,11 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, s
 
     if pivots:
         order = F.row_number().over(W.partitionBy("tile").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
-        sources = sources.withColumn("active", order <= pivots)
+        count = F.count(F.lit(1)).over(W.partitionBy("tile"))
+        sources = sources.withColumn("active", (count <= exact) | (order <= pivots))
     parts = per_source_block(sources, edges, run, "tile int, u long, v long, part double, used long")
     size = sources.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-    scale = F.lit(1.0) if not pivots else F.col("n") / F.least(F.col("n"), F.lit(pivots))
+    scale = F.lit(1.0) if not pivots else F.when(F.col("n") <= exact, 1.0).otherwise(F.col("n") / F.least(F.col("n"), F.lit(pivots)))
     sums = parts.groupBy("tile", "u", "v").agg(F.sum("part").alias("t")).join(size, "tile")
     node = sums.filter("v < 0").select(
         "tile", F.col("u").alias("id"), (F.col("t") * scale / F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(1)).alias("bc")

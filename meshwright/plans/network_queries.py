@@ -164,10 +164,10 @@ def g_edge_bc(spark, folder):
 
 
 @query("g_bc_sampled")
-def g_bc_sampled(spark, folder):
-    """Betweenness from at most 40 pivots a tile, scaled up."""
+def g_bc_sampled(spark, folder, pivots: int = 350, exact: int = 450):
+    """Betweenness, exact in tiles of up to 450 nodes, from 350 pivots scaled up in larger ones."""
     n, e = _graph(spark, folder)
-    return N.betweenness(n, e, pivots=40)[0].select("tile", "id", F.round("bc", 8).alias("bc"))
+    return N.betweenness(n, e, pivots=pivots, exact=exact)[0].select("tile", "id", F.round("bc", 8).alias("bc"))
 
 
 @query("g_tiers", _AP + _BC + """, p AS (SELECT tile, quantile_cont(bc, 0.75) AS p75, quantile_cont(bc, 0.9) AS p90 FROM bc WHERE bc > 1e-9 GROUP BY 1)

@@ -103,3 +103,18 @@ def test_benchmark_pairs(spark):
         assert row.mean_error_pct is None if not errs else abs(row.mean_error_pct - np.mean(errs)) < 0.011
         assert row.km > 0 and (row.median_error_pct is None) == (not errs)
     assert max(map(len, pairs.values())) > 30
+
+
+def test_betweenness_is_exact_in_small_tiles(spark):
+    import pytest
+
+    from meshwright.operators import network as N
+    from meshwright.plans.network_queries import g_bc_sampled, g_node_bc
+
+    folder = FOLDER.replace("0.001", "0.01")  # tiles of about 60 nodes
+    scores = lambda df: {(r.tile, r.id): r.bc for r in df.collect()}
+    assert scores(g_bc_sampled(spark, folder)) == pytest.approx(scores(g_node_bc(spark, folder)))
+    lines = [(t, k, k + 1, 10) for t, n in ((1, 6), (2, 12)) for k in range(n - 1)]
+    edges = spark.createDataFrame(lines, "tile int, u long, v long, w long")
+    whole, part = (scores(N.betweenness(N.linked_nodes(edges), edges, **how)[0]) for how in ({}, {"pivots": 4, "exact": 6}))
+    assert all(part[k] == pytest.approx(whole[k]) for k in part if k[0] == 1) and any(abs(part[k] - whole[k]) > 1e-6 for k in part if k[0] == 2)
