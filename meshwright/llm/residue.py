@@ -349,14 +349,21 @@ def flags(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for k in np.flatnonzero(margin > mark):
             if found[units.doc[k]]:
                 continue
-            s, e, o = int(units.start[k]), int(units.end[k]), int(units.opener[k])
-            unit = data[s:e].tobytes().decode("utf-8", "ignore")
-            label = weak_label(unit, None if o < 0 else len(data[s:o].tobytes().decode("utf-8", "ignore")))
-            if label == 1 or (label == 0 and margin[k] > SURE):
+            if _counts(_label(units, k, data), margin[k]):
                 found[units.doc[k]] = True
     return found
 
 
+def _label(units: Units, k: int, data: np.ndarray) -> int:
+    s, e, o = int(units.start[k]), int(units.end[k]), int(units.opener[k])
+    return weak_label(data[s:e].tobytes().decode("utf-8", "ignore"), None if o < 0 else len(data[s:o].tobytes().decode("utf-8", "ignore")))
+
+
+def _counts(label: int, margin: float) -> bool:
+    """Whether a unit above its kind's mark is residue."""
+    return label == 1 or (label == 0 and margin > SURE)
+
+
 def training_texts(docs: DataFrame, key: str, text: str, n: int = TRAIN_TEXTS) -> list[str]:
     """About ``n`` texts, chosen by a hash of their key: the same share of every host."""
     total = docs.count()
@@ -370,35 +377,66 @@ def training_texts(docs: DataFrame, key: str, text: str, n: int = TRAIN_TEXTS) -
 def validate(docs: DataFrame, key: str, text: str, host: str, folds: int = 5, n: int = TRAIN_TEXTS) -> list[dict]:
     """Held-out quality by host: the model never sees texts of the hosts it is measured on.
 
-    A host's texts are in one fold. Units of the held-out fold's sample are scored and compared
-    with their weak labels (mentions count as none).
+    A host's texts are in one fold. A fold's model is fitted on the bounded sample of the other
+    folds; all texts of the fold are scored whole, by the rule of ``flags``, and compared with the
+    weak labels of their units (mentions count as none): unit by unit, and text by text.
     """
     total = docs.count()
     share = int(min(1.0, n / max(1, total)) * 1_000_000)
-    rows = (
-        docs.select(F.col(key).alias("k"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), plain_spaces(F.col(text).cast("string")).alias("t"))
-        .filter((F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < F.lit(share)) & (F.length("t") <= TRAIN_CHARS))
-        .select("h", "t", F.pmod(F.xxhash64("h"), F.lit(folds)).alias("fold")).orderBy("k", "t").collect()
-    )
+    every = docs.select(F.col(key).alias("k"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), plain_spaces(F.col(text).cast("string")).alias("t"))
+    every = every.select("k", "t", F.pmod(F.xxhash64("h"), F.lit(folds)).alias("fold")).filter("t <> ''")
+    sample = every.filter((F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < F.lit(share)) & (F.length("t") <= TRAIN_CHARS)).orderBy("k", "t").collect()
+    shared = docs.sparkSession.sparkContext.broadcast([train([r["t"] for r in sample if r["fold"] != fold]) for fold in range(folds)])
+    counts = ["texts", "units", "residue", "hit", "said", "right", "residue_texts", "hit_texts", "said_texts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.asarray(batch.column(1))
+            for fold in np.unique(of).tolist():
+                mine = batch.filter(pa.array(of == fold))
+                for _, texts in _slices(mine, 0):
+                    tally = _tally(shared.value[fold], *_buffer(texts))
+                    yield pa.RecordBatch.from_pydict({"fold": [fold], **{c: [v] for c, v in zip(counts, tally)}})
+
+    scored = every.select("t", "fold").mapInArrow(run, "fold long, " + ", ".join(f"{c} long" for c in counts))
     out = []
-    for fold in range(folds):
-        held = [r["t"] for r in rows if r["fold"] == fold and r["t"]]
-        if not held:
-            continue
-        model = train([r["t"] for r in rows if r["fold"] != fold and r["t"]])
-        data, offsets = _buffer(held)
-        right = hit = true = said = 0
-        for units, margin in model.margins(data, offsets):
-            for k in range(len(margin)):
-                s, e, o = int(units.start[k]), int(units.end[k]), int(units.opener[k])
-                label = weak_label(data[s:e].tobytes().decode("utf-8", "ignore"), None if o < 0 else len(data[s:o].tobytes().decode("utf-8", "ignore"))) == 1
-                say = bool(margin[k] > 0)
-                right, hit, true, said = right + (label == say), hit + (label and say), true + label, said + say
-        units_seen = sum(len(m) for _, m in model.margins(data, offsets))
-        out.append({"fold": fold, "texts": len(held), "units": units_seen, "residue": true, "recall": hit / true if true else None, "precision": hit / said if said else None, "accuracy": right / max(1, units_seen)})
+    for r in scored.groupBy("fold").agg(*[F.sum(c).alias(c) for c in counts]).orderBy("fold").collect():
+        ratio = lambda a, b: r[a] / r[b] if r[b] else None  # noqa: E731, B023
+        out.append({
+            "fold": r["fold"], "texts": r["texts"], "units": r["units"], "residue": r["residue"], "recall": ratio("hit", "residue"), "precision": ratio("hit", "said"),
+            "accuracy": r["right"] / max(1, r["units"]), "residue_texts": r["residue_texts"], "text_recall": ratio("hit_texts", "residue_texts"), "text_precision": ratio("hit_texts", "said_texts"),
+        })
     return out
 
 
+def _tally(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Counts of texts, units, labelled, hit, flagged and right units, and of labelled, hit and flagged texts."""
+    labelled, flagged = np.zeros((2, len(offsets) - 1), bool)
+    seen = true = hit = said = right = 0
+    for (units, margin), mark in zip(model.margins(data, offsets), (LIKELY_SENTENCE, LIKELY_WINDOW)):
+        seen += len(margin)
+        for k in range(len(margin)):
+            label = _label(units, k, data)
+            says, is_true = bool(margin[k] > mark and _counts(label, margin[k])), label == 1
+            true, hit, said, right = true + is_true, hit + (is_true and says), said + says, right + (is_true == says)
+            labelled[units.doc[k]] |= is_true
+            flagged[units.doc[k]] |= says
+    texts = [int(x.sum()) for x in (labelled, labelled & flagged, flagged)]
+    return [len(labelled), seen, true, hit, said, right, *texts]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+    """Where each slice of about 2 MB begins, and its texts; null as empty."""
+    lo, lengths = 0, np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
+    while lo < batch.num_rows:
+        hi, size = lo, 0
+        while hi < batch.num_rows and (hi == lo or size + lengths[hi] < 2_000_000):
+            size += lengths[hi]
+            hi += 1
+        yield lo, [t or "" for t in batch.column(column).slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 def mark_residue(docs: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
     """``(key, residue)`` for every row: whether template residue stands in its text.
 
@@ -411,17 +449,9 @@ def mark_residue(docs: DataFrame, key: str, text: str, model: Model | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = 0
-            lengths = np.asarray(pc.binary_length(batch.column(1)).fill_null(0))
-            while lo < batch.num_rows:
-                hi, size = lo, 0
-                while hi < batch.num_rows and (hi == lo or size + lengths[hi] < 2_000_000):
-                    size += lengths[hi]
-                    hi += 1
-                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            for lo, texts in _slices(batch, 1):
                 found = flags(shared.value, *_buffer(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found)], ["k", "residue"])
-                lo = hi
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(found)], ["k", "residue"])
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("k"), plain_spaces(F.col(text).cast("string")).alias("t"))
