@@ -11,7 +11,7 @@ from pyspark.sql import Window as W, functions as F
 from meshwright.functions import raster_kernels as K
 from meshwright.operators import heal as H, network as N, raster as R
 from meshwright.operators.ranges import nearest
-from meshwright.planning.lineage import shared_folder
+from meshwright.planning.lineage import materialise, shared_folder
 from meshwright.plans.fixtures import R as RADIUS, edges, edges_sql, nodes, probability
 from meshwright.plans.raster_queries import _mask, ras_canopy
 from meshwright.sources import files
@@ -406,10 +406,10 @@ def _benchmark(spark, folder):
     return nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), e, e.filter("(u + v) % 7 <> 0")
 
 
-def _draws(spark, folder, n: int = 200, snap: float = 45.0, seed: int = 42):
+def _draws(benchmark, n: int = 200, snap: float = 45.0, seed: int = 42):
     """(tile, k, s, t, ms, mt): routable pairs of truth nodes in the order drawn, at most 6 n draws a tile, until n
     have model nodes ``ms``, ``mt`` within ``snap``; those without are kept too, with a null."""
-    truth, e, thin = _benchmark(spark, folder)
+    truth, e, thin = benchmark
     places = truth.select("tile", "id", "x", "y")
     model = places.join(N.linked_nodes(thin), ["tile", "id"], "left_semi")
     known = N.components(truth, e).join(nearest(places, ["tile"], snap, model, "id", "id").select("tile", "id", "nearest"), ["tile", "id"], "left")
@@ -433,7 +433,7 @@ def _draws(spark, folder, n: int = 200, snap: float = 45.0, seed: int = 42):
 @query("g_pairs")
 def g_pairs(spark, folder, n: int = 200):
     """Seeded pairs without replacement: the first n routable and well-snapped of at most 6 n draws a tile."""
-    return _draws(spark, folder, n).filter("ms is not null and mt is not null").select("tile", "k", "s", "t")
+    return _draws(_benchmark(spark, folder), n).filter("ms is not null and mt is not null").select("tile", "k", "s", "t")
 
 
 @query("agg_ple")
@@ -442,8 +442,8 @@ def agg_ple(spark, folder, n: int = 200, res_m: float = 0.6):
 
     ``res_m``: metres a pixel. A tile without a pair keeps its row, with null errors.
     """
-    truth, e, thin = _benchmark(spark, folder)
-    drawn = _draws(spark, folder, n)
+    truth, e, thin = (materialise(df, "benchmark") for df in _benchmark(spark, folder))  # each is read several times
+    drawn = materialise(_draws((truth, e, thin), n), "draws")
 
     def distances(graph, source, name):
         starts = drawn.select("tile", F.col(source).alias("id")).distinct().withColumn("active", F.lit(True))
