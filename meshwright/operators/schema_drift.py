@@ -202,17 +202,11 @@ def edit_script(shape: tuple[tuple[tuple[str, ...], str], ...]) -> tuple[float,
 
     ``shape`` lists the record's leaves with their content class. Matching a field costs
     ``2 - likeness of names - 1.2 x likeness of contents`` plus ``MOVE`` for every level it lies
-    deeper; leaving it out costs a deletion and, for the leaf, an addition. A leaf with a value
-    under the very name of a field whose contents it may be is kept at no cost.
+    deeper; leaving it out costs a deletion and, for the leaf, an addition.
     """
     steps: list[tuple[str, str, str]] = []
     total, matched = 0.0, set()
-    settled = {path[0]: j for j, (path, kind) in enumerate(shape) if len(path) == 1 and kind != "null" and _LIKES.get(path[0], {}).get(kind, -1.0) >= 0}
-    for name, j in settled.items():
-        steps.append(("keep", name, name))
-        matched.add(j)
-    fields = [t.name for t in TARGETS if t.name not in settled]
-    spare = [j for j in range(len(shape)) if j not in matched]
+    fields, spare = [t.name for t in TARGETS], range(len(shape))
     n, m = len(fields), len(spare)
     cost = np.full((n, m + n), 2 * (DELETE + ADD))
     for i, name in enumerate(fields):

@@ -118,3 +118,13 @@ def test_betweenness_is_exact_in_small_tiles(spark):
     edges = spark.createDataFrame(lines, "tile int, u long, v long, w long")
     whole, part = (scores(N.betweenness(N.linked_nodes(edges), edges, **how)[0]) for how in ({}, {"pivots": 4, "exact": 6}))
     assert all(part[k] == pytest.approx(whole[k]) for k in part if k[0] == 1) and any(abs(part[k] - whole[k]) > 1e-6 for k in part if k[0] == 2)
+
+
+def test_cheapest_script_whatever_the_names():
+    """A free text under the name hk gives way to the kind of healing under another name."""
+    from meshwright.operators import schema_drift as S
+
+    record = {"u": 1, "v": 2, "w": 3.5, "hk": "checked by hand, nothing to report", "heal_kind": "canopy"}
+    paths = S.field_paths(record)
+    assert paths["hk"] == ("heal_kind", "canopy") and paths["u"][0] == "u" and paths["w"][0] == "w"
+    assert S.field_paths({"u": 1, "v": 2, "hk": "canopy", "heal_kind": "checked by hand"})["hk"][0] == "hk"
