@@ -107,7 +107,8 @@ _HINTS = (
     "maintenance", "again", "notified", "response", "reload", "http", "script", "browser", "fehler", "verfügbar", "erreichbar", "verweigert", "berechtigt",
     "sitzung", "erneut", "erreur", "introuvable", "indisponible", "refus", "autorisation", "veuillez", "見つかり", "混み合", "再度", "アクセス", "切れ", "利用",
     "不存在", "繁忙", "再试", "访问", "登录", "会话", "无法", "无权", "lorem", "ipsum", "dolor", "magna", "elit", "xxx", "asdf", "qwerty", "foo bar", "blah",
-    "test test", "text", "dummy", "layout", "ignore", "ersetzen", "provisoire", "goes here", "replace", "sample", "platzhalter", "faux", "ダミー", "サンプル", "文字", "填写", "替换",
+    "test test", "text", "dummy", "layout", "ignore", "ersetzen", "provisoire", "goes here", "replace", "remplacer", "sample", "platzhalter", "faux", "gefunden", "requested", "skripte", "paragraph", "server", "test",
+    "amet", "consectetur", "adipiscing", "eiusmod", "tempor", "incididunt", "labore", "aliqua", "enim", "minim", "veniam", "sed", "sit", "ダミー", "サンプル", "文字", "填写", "替换",
 )
 _MAY_HOLD = re.compile(r"[{<%@«【〔［]|\[(?!\d)|__|XXX")
 

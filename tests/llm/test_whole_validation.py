@@ -22,3 +22,8 @@ def test_every_text_is_scored(spark):
         true = [("404" in t or "denied" in t) for t in held]
         both = sum(bool(f) and t for f, t in zip(found, true))
         assert r["text_recall"] == both / sum(true) and (r["text_precision"] == both / found.sum() if found.any() else r["text_precision"] is None)
+
+
+def test_hints_let_every_notice_through():
+    units = ["Seite wurde nicht gefunden.", "The requested document could not be opened.", "Skripte sind ausgeschaltet.", "Test paragraph.", "500 Internal Server.", "test, test, test, test", "sed do eiusmod tempor incididunt ut labore et"]
+    assert [residue.weak_label(u) for u in units] == [1] * len(units)
