@@ -109,8 +109,11 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
-    rows = residue.validate(table(spark, folder, "documents"), "doc_id", "text", "applicant")
-    schema = "fold int, texts long, units long, residue long, recall double, precision double, accuracy double, residue_texts long, text_recall double, text_precision double"
+    rows = residue.validate(table(spark, folder, "documents"), "doc_id", "text", "applicant", labelled=residue.LABEL_TEXTS, new=True)
+    schema = (
+        "fold int, texts long, units long, residue long, recall double, precision double, accuracy double, residue_texts long, text_recall double, "
+        "text_precision double, new_residue long, new_recall double, new_texts long, new_text_recall double"
+    )
     return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
 
 

@@ -27,3 +27,28 @@ def test_every_text_is_scored(spark):
 def test_hints_let_every_notice_through():
     units = ["Seite wurde nicht gefunden.", "The requested document could not be opened.", "Skripte sind ausgeschaltet.", "Test paragraph.", "500 Internal Server.", "test, test, test, test", "sed do eiusmod tempor incididunt ut labore et"]
     assert [residue.weak_label(u) for u in units] == [1] * len(units)
+
+
+def test_the_model_alone_decides(monkeypatch):
+    texts = ["A valve 4 closes the bore. " * 3 + x for x in ("404 Not Found", "It is round.", "[insert title]", "ここにダミーテキスト")]
+    model = residue.train(texts * 5)
+    before = residue.flags(model, *residue._buffer(texts)).tolist()
+
+    def fail(*_):
+        raise AssertionError("labels are for training only")
+
+    for name in ("weak_label", "phrase_label", "placeholder", "phrase", "may_label"):
+        monkeypatch.setattr(residue, name, fail)
+    assert residue.flags(model, *residue._buffer(texts)).tolist() == before == [True, False, True, True]
+
+
+def test_the_scan_lets_every_label_through():
+    lines = residue.seeds() + ["[insert title] is", "x x x x", "A valve 4 closes."]
+    may = residue.may_label(lines)
+    assert all(m or residue.weak_label(line) == 0 for m, line in zip(may, lines)) and not may[-1]
+
+
+def test_denied_phrases_are_measured_apart(spark):
+    rows = [(k, f"h{k % 6}", f"The valve {k} closes. " + ("404 Not Found." if k % 4 == 0 else "Access denied." if k % 4 == 1 else "It is round.")) for k in range(120)]
+    got = residue.validate(spark.createDataFrame(rows, "id long, host string, text string"), "id", "text", "host", folds=2, n=60, labelled=60, new=True)
+    assert all(0 <= r["new_texts"] <= r["residue_texts"] for r in got) and sum(r["residue_texts"] for r in got) == 60
