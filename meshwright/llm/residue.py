@@ -360,7 +360,9 @@ def _sample(every: DataFrame, total: int, n: int, labelled: int) -> list:
     """Rows (k, t, ...) of a bounded sample: about ``n`` by the hash of ``k``, and those of about ``labelled`` that weak labels mark."""
     share = lambda m: int(min(1.0, m / max(1, total)) * 1_000_000)
     place = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000))
-    picked = every.filter((place < share(max(n, labelled))) & (F.length("t") <= TRAIN_CHARS)).withColumn("__any", place < share(n))
+    # by the key first: texts that are not drawn are not cleaned
+    picked = every.filter(place < share(max(n, labelled))).withColumn("t", plain_spaces(F.col("t")))
+    picked = picked.filter((F.col("t") != "") & (F.length("t") <= TRAIN_CHARS)).withColumn("__any", place < share(n))
     at = [c for c in picked.columns].index("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +382,7 @@ def _sample(every: DataFrame, total: int, n: int, labelled: int) -> list:
 
 def training_texts(docs: DataFrame, key: str, text: str, n: int = TRAIN_TEXTS, labelled: int = LABEL_TEXTS) -> list[str]:
     """The texts of the training sample, in the order of their keys. One pass over the texts."""
-    every = docs.select(F.col(key).alias("k"), plain_spaces(F.col(text).cast("string")).alias("t")).filter("t <> ''")
+    every = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return [r["t"] for r in _sample(every, docs.count(), n, labelled)]
 
 
@@ -398,8 +400,8 @@ def validate(docs: DataFrame, key: str, text: str, host: str, folds: int = 5, n:
     placeholders (by hash, every ``folds``-th); ``new_recall`` and ``new_text_recall`` are its
     recall on the units and texts of the fold's hosts whose only evidence is what it was denied.
     """
-    every = docs.select(F.col(key).alias("k"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), plain_spaces(F.col(text).cast("string")).alias("t"))
-    every = every.select("k", "t", F.pmod(F.xxhash64("h"), F.lit(folds)).alias("fold")).filter("t <> ''")
+    every = docs.select(F.col(key).alias("k"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), F.col(text).cast("string").alias("t"))
+    every = every.select("k", "t", F.pmod(F.xxhash64("h"), F.lit(folds)).alias("fold"))
     sample = _sample(every, docs.count(), n, labelled)
     others = [[r["t"] for r in sample if r["fold"] != fold] for fold in range(folds)]
     denied = [None if not new else (lambda phrase, fold=fold: zlib.crc32(phrase.encode()) % folds == fold) for fold in range(folds)]
@@ -415,7 +417,7 @@ def validate(docs: DataFrame, key: str, text: str, host: str, folds: int = 5, n:
                     tally = _tally(*shared.value[fold], *_buffer(texts), denied[fold])
                     yield pa.RecordBatch.from_pydict({"fold": [fold], **{c: [v] for c, v in zip(_COUNTS, tally)}})
 
-    scored = every.select("t", "fold").mapInArrow(run, "fold long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    scored = every.select(plain_spaces(F.col("t")).alias("t"), "fold").filter("t <> ''").mapInArrow(run, "fold long, " + ", ".join(f"{c} long" for c in _COUNTS))
     out = []
     for r in sorted(scored.groupBy("fold").agg(*[F.sum(c).alias(c) for c in _COUNTS]).collect(), key=lambda r: r["fold"]):
         ratio = lambda a, b: r[a] / r[b] if r[b] else None  # noqa: E731, B023
