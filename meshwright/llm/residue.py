@@ -124,8 +124,8 @@ def find_units(data: np.ndarray, offsets: np.ndarray) -> tuple[Units, Units]:
     if n > 2:  # ideographic full stop, full-width ! and ?
         a, b, c = data[:-2], data[1:-1], data[2:]
         cut[2:] |= ((a == 0xE3) & (b == 0x80) & (c == 0x82)) | ((a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F)))
-    ends = np.union1d(np.flatnonzero(cut) + 1, offsets[1:])
-    ends = ends[ends > offsets[0]]
+    cut[offsets[1:][offsets[1:] > 0] - 1] = True
+    ends = np.flatnonzero(cut) + 1
     starts = np.concatenate([offsets[:1], ends[:-1]]) if len(ends) else ends
     # long sentences in overlapping pieces: a short notice must not drown in them
     pieces = np.where(ends - starts > LONG, -(-(ends - starts - PIECE) // STRIDE) + 1, 1)
@@ -156,20 +156,26 @@ def find_units(data: np.ndarray, offsets: np.ndarray) -> tuple[Units, Units]:
 
 
 def gram_hashes(data: np.ndarray) -> list[np.ndarray]:
-    """For each kind of n-gram, its slot at each position (short at the end)."""
-    out = []
-    for k, (n, view) in enumerate(GRAMS):
+    """For each kind of n-gram, its slot at each position (short at the end).
+
+    Kinds of one view share their running hash: the longer goes on where the shorter stopped.
+    """
+    out: dict[int, np.ndarray] = {}
+    for view in _VIEWS:
         text = _VIEWS[view][data].astype(np.uint32)
-        m = max(0, len(text) - n + 1)
-        h = np.full(m, k * 7919 + 1, np.uint32)
-        for j in range(n):
-            h *= np.uint32(0x01000193)
-            h += text[j : j + m]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        h ^= h >> np.uint32(12)
-        out.append((h % np.uint32(DIM - SIDE)).astype(np.int32))
-    return out
+        h, done = np.full(len(text), len(view), np.uint32), 0
+        for k, n in sorted(((k, n) for k, (n, v) in enumerate(GRAMS) if v == view), key=lambda x: x[1]):
+            m = max(0, len(text) - n + 1)
+            h = h[:m]
+            for j in range(done, n):
+                h *= np.uint32(0x01000193)
+                h += text[j : j + m]
+            done = n
+            mixed = h ^ (h >> np.uint32(15))
+            mixed *= np.uint32(0x2C1B3C6D)
+            mixed ^= mixed >> np.uint32(12)
+            out[k] = ((mixed.astype(np.uint64) * np.uint64(DIM - SIDE)) >> np.uint64(32)).astype(np.int32)
+    return [out[k] for k in range(len(GRAMS))]
 
 
 def side_slots(units: Units, offsets: np.ndarray) -> np.ndarray:
@@ -201,13 +207,26 @@ class Model:
             for part, (start, end) in enumerate(_parts(units)):
                 w, value = weights[part * DIM : (part + 1) * DIM], 1 / np.sqrt(np.maximum(end - start, 1) + 8.0)
                 for (n, _), h in zip(GRAMS, hashes):
-                    sums = np.concatenate([[0.0], np.cumsum(w[h], dtype=np.float64)])
                     first = np.minimum(start, len(h))
-                    total += (sums[np.maximum(np.clip(end - n + 1, 0, len(h)), first)] - sums[first]) * value
+                    total += _span_sums(w, h, first, np.maximum(np.clip(end - n + 1, 0, len(h)), first)) * value
             out.append((units, total))
         return out
 
 
+def _span_sums(w: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sum of ``w[h]`` over each span; over running sums where the spans cover much of the buffer."""
+    count = last - first
+    size = int(count.sum())
+    if size * 3 > len(h):
+        sums = np.empty(len(h) + 1)
+        sums[0] = 0.0
+        np.cumsum(w[h], dtype=np.float64, out=sums[1:])
+        return sums[last] - sums[first]
+    row = np.repeat(np.arange(len(first)), count)
+    at = np.arange(size) - np.repeat(np.cumsum(count) - count, count) + first[row]
+    return np.bincount(row, w[h[at]], len(first))
+
+
 def _features(units: Units, offsets: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots and values of all units' features, and the row of each."""
     m = len(units.start)
@@ -368,8 +387,7 @@ def _sample(every: DataFrame, total: int, n: int, labelled: int) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.asarray(batch.column("__any")).copy()
-            for lo, texts in _slices(batch, at):
-                data, offsets = _buffer(texts)
+            for lo, _, (data, offsets) in _slices(batch, at):
                 raw = data.tobytes()
                 for kind, units in enumerate(find_units(data, offsets)):
                     found = np.abs(_labels(units, raw, kind == 0)) == 1
@@ -413,8 +431,8 @@ def validate(docs: DataFrame, key: str, text: str, host: str, folds: int = 5, n:
             of = np.asarray(batch.column(1))
             for fold in np.unique(of).tolist():
                 mine = batch.filter(pa.array(of == fold))
-                for _, texts in _slices(mine, 0):
-                    tally = _tally(*shared.value[fold], *_buffer(texts), denied[fold])
+                for _, _, spread in _slices(mine, 0):
+                    tally = _tally(*shared.value[fold], *spread, denied[fold])
                     yield pa.RecordBatch.from_pydict({"fold": [fold], **{c: [v] for c, v in zip(_COUNTS, tally)}})
 
     scored = every.select(plain_spaces(F.col("t")).alias("t"), "fold").filter("t <> ''").mapInArrow(run, "fold long, " + ", ".join(f"{c} long" for c in _COUNTS))
@@ -457,15 +475,19 @@ def _tally(model: Model, second: Model | None, data: np.ndarray, offsets: np.nda
     return [len(labelled), seen, *sums.tolist(), *texts, new, new_hit, int(only.sum()), int((only & caught).sum())]
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
-    """Where each slice of about 2 MB begins, and its texts; null as empty."""
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray]]]:
+    """Where each slice of about 2 MB begins, how many texts it has, and their bytes and offsets; null as empty."""
     lo, lengths = 0, np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     while lo < batch.num_rows:
         hi, size = lo, 0
         while hi < batch.num_rows and (hi == lo or size + lengths[hi] < 2_000_000):
             size += lengths[hi]
             hi += 1
-        yield lo, [t or "" for t in batch.column(column).slice(lo, hi - lo).to_pylist()]
+        texts = batch.column(column).slice(lo, hi - lo).cast(pa.large_string()).fill_null("")
+        _, at, content = texts.buffers()
+        offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + hi - lo + 1]
+        data = np.frombuffer(content, np.uint8)[offsets[0] : offsets[-1]] if content else np.zeros(0, np.uint8)
+        yield lo, hi - lo, (data, offsets - offsets[0])
         lo = hi
 
 
@@ -481,9 +503,9 @@ def mark_residue(docs: DataFrame, key: str, text: str, model: Model | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in _slices(batch, 1):
-                found = flags(shared.value, *_buffer(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(found)], ["k", "residue"])
+            for lo, n, spread in _slices(batch, 1):
+                found = flags(shared.value, *spread)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(found)], ["k", "residue"])
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("k"), plain_spaces(F.col(text).cast("string")).alias("t"))
