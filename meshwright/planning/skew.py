@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, functions as F
 HOT = 1_000_000
 
 
-def look_up(rows: DataFrame, facts: DataFrame, key: str, spread: str, hot: int = HOT) -> DataFrame:
+def look_up(rows: DataFrame, facts: DataFrame, key: str | list[str], spread: str | list[str], hot: int = HOT, most: int | None = None) -> DataFrame:
     """``rows`` left joined with ``facts`` (one row per ``key``, all columns non-null).
 
     Facts of hot keys are broadcast; their number is bounded, see ``HOT``. All other rows meet
-    their facts in a shuffle, in which the rows of hot keys are spread by the column ``spread``
-    (it must be a string, like ``key``), so no task gets a hot key's rows.
+    their facts in a shuffle, in which the rows of hot keys are spread by the columns ``spread``
+    (as many as ``key`` has, of the same types), so no task gets a hot key's rows. ``most`` is a
+    known bound of the number of rows: where it is at most ``hot`` no key can be hot, and one
+    join is all there is.
     """
-    values = [c for c in facts.columns if c != key]
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(key)
-    of_hot = facts.join(F.broadcast(counts), key, "left_semi").withColumnsRenamed({c: f"__hot_{c}" for c in values})
-    near = rows.join(F.broadcast(of_hot), key, "left")
+    keys, own = ([c] if isinstance(c, str) else list(c) for c in (key, spread))
+    values = [c for c in facts.columns if c not in keys]
+    if most is not None and most <= hot:
+        return rows.join(facts, keys, "left").select(*rows.columns, *values)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(*keys)
+    of_hot = facts.join(F.broadcast(counts), keys, "left_semi").withColumnsRenamed({c: f"__hot_{c}" for c in values})
+    near = rows.join(F.broadcast(of_hot), keys, "left")
     is_hot = F.col(f"__hot_{values[0]}").isNotNull()
-    near = near.withColumn("__at", F.when(is_hot, F.concat(F.lit("\u0000"), F.col(spread))).otherwise(F.col(key)))
-    cold = facts.withColumnsRenamed({key: "__at", **{c: f"__cold_{c}" for c in values}})
-    joined = near.join(cold, "__at", "left")
+    at = {f"__at{i}": F.when(is_hot, F.col(s)).otherwise(F.col(k)) for i, (k, s) in enumerate(zip(keys, own))}
+    near = near.withColumns({**at, "__is": is_hot})
+    cold = facts.select(F.lit(False).alias("__is"), *[F.col(k).alias(f"__at{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"__cold_{c}") for c in values])
+    joined = near.join(cold, ["__is", *at], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values])

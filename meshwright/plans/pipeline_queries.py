@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from meshwright.functions import raster_kernels as K
 from meshwright.operators import heal as H, network as N, raster as R
 from meshwright.operators.ranges import nearest
-from meshwright.planning.lineage import materialise, shared_folder
+from meshwright.planning.lineage import materialise, new_path
 from meshwright.plans.fixtures import R as RADIUS, edges, edges_sql, nodes, probability
 from meshwright.plans.raster_queries import _mask, ras_canopy
 from meshwright.sources import files
@@ -310,7 +308,8 @@ def api_http(spark, folder):
 
 
 def _scratch(spark) -> str:
-    return f"{shared_folder(spark)}/meshwright-sink-{uuid.uuid4().hex}"
+    """A path for a sink that is read back; what is written there is deleted when the process ends."""
+    return new_path(spark, "sink")
 
 
 @query("snk_jsonl", "SELECT DISTINCT run_id, tag, thr FROM loop_history WHERE run_id IS NOT NULL")

@@ -31,3 +31,38 @@ def test_materialised_tables_outlive_their_source(spark):
     df = lineage.materialise(spark.range(10).withColumn("x", F.col("id") * 2), "test")
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().toString()
     lineage.discard(df)
+
+
+def test_look_up_by_two_keys_and_without_a_hot_one(spark):
+    rows = spark.createDataFrame([(1, k % 3, k) for k in range(60)] + [(2, None, 100)], "x long, k long, v long")
+    facts = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "x long, k long, t string")
+    want = {tuple(r) for r in rows.join(facts, ["x", "k"], "left").select("x", "k", "v", "t").collect()}
+    for hot, most in ((5, None), (1000, None), (1000, 61)):
+        assert {tuple(r) for r in skew.look_up(rows, facts, ["x", "k"], ["x", "v"], hot=hot, most=most).collect()} == want
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    since = lineage.mark()
+    path = lineage.materialise(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    lineage.release(since)
+    assert not os.path.exists(path) and lineage.mark() == since
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    class Conf:
+        def get(self, name, default=None):
+            return "spark://host:7077" if name == "spark.master" else default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_folder(Session())
