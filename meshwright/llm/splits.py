@@ -43,20 +43,22 @@ def _levels(cell_links: int):
             leaves.append(need)
         else:  # one level up, but never more links to a cell than it is sized for
             leaves.append(max(need, math.ceil(leaves[-1] / FAN_IN)))
-        return frame.repartition(leaves[-1], F.xxhash64("ha", "hb"))
+        return frame.repartitionById(leaves[-1], F.pmod(F.xxhash64("ax", "an", "bx", "bn"), F.lit(leaves[-1])).cast("int"))
 
     return spread
 
 
 def _ties(sites: DataFrame, key: str, tiles: str, scene: str) -> DataFrame:
-    site = F.concat(F.lit("r|"), F.col("k"))
+    """Links of sites (0, key) to what they name: two hashes of kind and name, 127 bits, the first one odd."""
     base = sites.select(F.col(key).cast("long").alias("k"), F.col(tiles).alias("tiles"), F.col(scene).alias("scene"))
     base = base.filter(F.col("k").isNotNull()).distinct()
-    by_tile = base.select("k", F.explode("tiles").alias("t")).select("k", sample_name(F.col("t")).alias("n"))
-    by_tile = by_tile.filter("n is not null and n <> ''").select("k", F.concat(F.lit("t|"), "n").alias("w"))
-    by_scene = base.select("k", real_scene(F.col("scene")).alias("n")).filter("n is not null")
-    by_scene = by_scene.select("k", F.concat(F.lit("s|"), "n").alias("w"))
-    return by_tile.unionByName(by_scene).select(site.alias("u"), F.col("w").alias("v"))
+    by_tile = base.select("k", F.explode("tiles").alias("t")).select("k", F.lit("t").alias("kind"), sample_name(F.col("t")).alias("n")).filter("n <> ''")
+    by_scene = base.select("k", F.lit("s").alias("kind"), real_scene(F.col("scene")).alias("n"))
+    named = by_tile.unionByName(by_scene).filter("n is not null")
+    return named.select(
+        F.lit(0).cast("long").alias("ax"), F.col("k").alias("an"),
+        F.xxhash64("kind", "n", F.lit(1)).bitwiseOR(F.lit(1)).alias("bx"), F.xxhash64("kind", "n", F.lit(2)).alias("bn"),
+    )
 
 
 def tied_groups(sites: DataFrame, key: str, tiles: str, scene: str, cell_links: int = CELL_LINKS) -> DataFrame:
@@ -67,12 +69,11 @@ def tied_groups(sites: DataFrame, key: str, tiles: str, scene: str, cell_links:
     placeholder names tie nothing; repeated rows count once; two rows of one key are one site
     with the names of both. ``group_key`` is the least key of the group.
     """
-    links = _ties(sites, key, tiles, scene)
-    rooted = contract(links, _levels(cell_links), "splits", cell_links)
-    own = materialise(rooted.filter(F.col("vertex").startswith("r|")), "splits-rooted")
-    site = F.expr("substring(vertex, 3)").cast("long")
-    groups = own.groupBy("root").agg(F.min(site).alias("group_key"), F.count(F.lit(1)).alias("size"))
-    return look_up(own, groups, "root", "vertex").select(site.alias(key), "group_key", "size")
+    links = materialise(_ties(sites, key, tiles, scene), "splits-ties")
+    rooted, most = contract(links, _levels(cell_links), "splits", links.count(), cell_links)
+    own = materialise(rooted.filter("vx = 0").select(F.col("vn").alias(key), "rx", "rn"), "splits-rooted")
+    groups = own.groupBy("rx", "rn").agg(F.min(key).alias("group_key"), F.count(F.lit(1)).alias("size"))
+    return look_up(own, groups, ["rx", "rn"], [key, key], most=most).select(key, "group_key", "size")
 
 
 def fill_splits(sizes: list[tuple[int, int]], shares=SHARES) -> list[tuple[int, int, int, str]]:
@@ -127,14 +128,11 @@ def assign_splits(sites: DataFrame, key: str, tiles: str, scene: str, shares=SHA
     groups = full.filter(F.col(key) == F.col("group_key")).select("group_key", "size")
     histogram = [(int(r["size"]), int(r["count"])) for r in groups.groupBy("size").count().collect()]
     spark = sites.sparkSession
-    plan = spark.createDataFrame(
-        fill_splits(histogram, shares), "psize long, first long, end long, split string"
-    )
+    runs = fill_splits(histogram, shares)
+    plan = spark.createDataFrame(runs, "psize long, first long, end long, split string")
     ranked = spread_rank(groups, ["size"], "group_key", buckets=buckets_for(sum(n for _, n in histogram)))
     # at most one run a size and split: 3 sqrt(2 n) short rows, 20 MB for ten billion sites
     chosen = ranked.join(
-        F.broadcast(plan), (F.col("size") == F.col("psize")) & (F.col("rank0") >= F.col("first")) & (F.col("rank0") < F.col("end"))
+        F.broadcast(plan) if len(runs) <= 1_000_000 else plan, (F.col("size") == F.col("psize")) & (F.col("rank0") >= F.col("first")) & (F.col("rank0") < F.col("end"))
     ).select("group_key", "split")
-    named = lambda df: df.withColumn("group_key", F.col("group_key").cast("string"))
-    found = look_up(named(full.select(key, "group_key", F.col(key).cast("string").alias("own"))), named(chosen), "group_key", "own")
-    return found.select(key, F.col("group_key").cast("long").alias("group_key"), "split")
+    return look_up(full.select(key, "group_key"), chosen, "group_key", key, most=full.count())

@@ -119,3 +119,25 @@ def test_top_items(spark, n):
     got = [(r.g, r.i, r.rnk) for r in topn.top_items(df, "g", "i", "s", n, buckets=8, salts=3).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert topn.top_items(df.limit(0), "g", "i", "s").collect() == []
+
+
+def test_vertices_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(contraction, "_order", lambda x, n: (n % 3).astype(np.uint64))
+    x, n = np.array([1, 1, 2, 2, 1]), np.array([4, 1, 4, 7, 4])
+    xs, ns, code = contraction._ranked(x, n)
+    assert (xs[code] == x).all() and (ns[code] == n).all() and len(xs) == 4
+
+
+def test_one_partition_a_cell(spark):
+    """Blocks go to partitions one to one: no task gets two of them."""
+    df = spark.range(5000).selectExpr("1L as ax", "id as an", "2L as bx", "id * 7 % 5000 as bn")
+    spread = groups._grid(200)(df, 5000, 0)
+    cells = spread.select(F.spark_partition_id().alias("p"), contraction.block("a", 0, 5).alias("a"), contraction.block("b", 0, 5).alias("b")).distinct().collect()
+    assert len(cells) == 25 and all(r.p == r.a * 5 + r.b for r in cells)
+
+
+def test_a_repeated_link_is_shuffled_once_a_run():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(1000, v)) for v in (1, 2, 1, 3)], list(contraction._NAMES))
+    assert [b.num_rows for b in contraction._runs(iter([batch, batch]), 10**6, False)] == [1]
