@@ -1,10 +1,11 @@
 """Files whose schemas drift: one consistent table, and a report of every change.
 
-Each record's schema is a tree of keys. A minimum-cost edit script takes the target schema to
-it: keep, rename, retype, move (another parent), delete (the target field is absent) and add
-(an unknown key). Costs weigh the likeness of names and of contents, so a field is found under
-any key while a key that only looks alike is not taken for it. The script is compiled into a
-projection; records of the same shape share both through a cache.
+Each record's schema is a tree of keys. The cheapest edit script between the target schema and
+that tree (``tree_edit``: keep, rename, move to another parent, delete, add) tells where each
+target field is: costs weigh the likeness of names and of contents, so a field is found under
+any key while a key that only looks alike is not taken for it. A script is compiled into the
+projection of all records of its shape; records share both through a cache. The target schema,
+with what its fields' contents look like, is a parameter.
 """
 
 from __future__ import annotations
@@ -13,17 +14,14 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field as dataclass_field
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-DELETE = ADD = 0.7
-MOVE = 0.15
-#: Kinds of healing that edge files name.
-KINDS = ("canopy", "geom", "trace")
+from meshwright.operators import tree_edit
+
 _LAT, _LNG = ("lat", "latitude", "y"), ("lng", "lon", "long", "longitude", "x")
 _TRUE, _FALSE = {"true", "yes", "t", "y", "1"}, {"false", "no", "f", "n", "0"}
 _PAIRS = re.compile(r"\s*-?\d+(?:\.\d+)?[ ,]\s*-?\d+(?:\.\d+)?(?:\s*[;|]\s*-?\d+(?:\.\d+)?[ ,]\s*-?\d+(?:\.\d+)?)*\s*;?\s*")
@@ -31,31 +29,47 @@ _PAIRS = re.compile(r"\s*-?\d+(?:\.\d+)?[ ,]\s*-?\d+(?:\.\d+)?(?:\s*[;|]\s*-?\d+
 
 @dataclass(frozen=True)
 class Target:
-    """A field of the consistent table and what its contents look like (content class -> likeness)."""
+    """A field of the consistent table and what its contents look like (content class -> likeness).
+
+    1 tells the field by itself, 0.3 fits but says little, -1 (any class not named) rules it out.
+    """
 
     name: str
     contents: tuple[tuple[str, float], ...]
 
 
-_NUMBERS = (("number", 0.3), ("flagnum", 0.3), ("small", 0.3))
-#: Content likeness: 1 tells the field by itself, 0.3 fits but says little, -1 rules it out.
-TARGETS = (
-    Target("stem", (("text", 0.3),)),
-    Target("u", _NUMBERS),
-    Target("v", _NUMBERS),
-    Target("bc", _NUMBERS),
-    Target("w", _NUMBERS),
-    Target("healed", (("bool", 0.3), ("null", 0.0))),
-    Target("conf", (("text", 0.3), ("null", 0.0))),
-    Target("geo", (("bool", 0.4), ("flagtext", 0.5), ("flagnum", 0.3), ("null", 0.0))),
-    Target("ll", (("places", 1.0), ("null", 0.0))),
-    Target("hk", (("kind", 1.0), ("kinds", 1.0), ("small", 0.3), ("flagnum", 0.3), ("text", 0.1), ("texts", 0.1), ("null", 0.0))),
+@dataclass(frozen=True)
+class Schema:
+    """Target fields, and the words of a coded vocabulary (class ``kind``; its numbers are ``code``)."""
+
+    fields: tuple[Target, ...]
+    words: tuple[str, ...] = ()
+    numeric: frozenset = dataclass_field(init=False, compare=False)
+
+    def __post_init__(self) -> None:
+        exact = {t.name for t in self.fields if {k for k, _ in t.contents} == {"number", "flagnum", "code"}}
+        object.__setattr__(self, "numeric", frozenset(exact))
+
+
+_NUMBERS = (("number", 0.3), ("flagnum", 0.3), ("code", 0.3))
+#: Edge files. The kinds of healing that they name.
+EDGES = Schema(
+    (
+        Target("stem", (("text", 0.3),)),
+        Target("u", _NUMBERS),
+        Target("v", _NUMBERS),
+        Target("bc", _NUMBERS),
+        Target("w", _NUMBERS),
+        Target("healed", (("bool", 0.3), ("null", 0.0))),
+        Target("conf", (("text", 0.3), ("null", 0.0))),
+        Target("geo", (("bool", 0.4), ("flagtext", 0.5), ("flagnum", 0.3), ("null", 0.0))),
+        Target("ll", (("places", 1.0), ("null", 0.0))),
+        Target("hk", (("kind", 1.0), ("kinds", 1.0), ("code", 0.3), ("flagnum", 0.3), ("text", 0.1), ("texts", 0.1), ("null", 0.0))),
+    ),
+    words=("canopy", "geom", "trace"),
 )
 
 
-_LIKES = {t.name: dict(t.contents) for t in TARGETS}
-
-
 def json_type(value) -> str | None:
     """The JSON type of a value, for a list with that of its elements; null for null."""
     if value is None:
@@ -72,30 +86,34 @@ def json_type(value) -> str | None:
     return "list<" + "|".join(inner) + ">"
 
 
-def content_class(value) -> str:
+def content_class(value, schema: Schema = EDGES) -> str:
     """What a value looks like, coarser than its type where that helps and finer where it does."""
+    kind = type(value)
     if value is None:
         return "null"
-    if isinstance(value, bool):
+    if kind is bool:
         return "bool"
-    if isinstance(value, (int, float)):
-        if value in (0, 1):
-            return "flagnum"
-        return "small" if value in (2, 3) else "number"
-    if isinstance(value, str):
-        low = value.strip().lower()
-        if low in KINDS:
-            return "kind"
-        if low in _TRUE or low in _FALSE:
-            return "flagtext"
-        return "places" if _PAIRS.fullmatch(value) else "text"
-    if isinstance(value, list):
+    if kind is int or kind is float:
+        return "flagnum" if value in (0, 1) else "code" if 2 <= value <= len(schema.words) and value == int(value) else "number"
+    if kind is str:
+        return _text_class(value, schema) if len(value) < 64 else "places" if _PAIRS.fullmatch(value) else "text"
+    if kind is list:
         if value and all(isinstance(x, str) for x in value):
-            return "kinds" if all(x.strip().lower() in KINDS for x in value) else "texts"
+            return "kinds" if all(x.strip().lower() in schema.words for x in value) else "texts"
         return "places" if _placed(value) else "list"
     return "object"
 
 
+@lru_cache(maxsize=50_000)
+def _text_class(value: str, schema: Schema) -> str:
+    low = value.strip().lower()
+    if low in schema.words:
+        return "kind"
+    if low in _TRUE or low in _FALSE:
+        return "flagtext"
+    return "places" if _PAIRS.fullmatch(value) else "text"
+
+
 def _placed(value: list) -> bool:
     """Whether a list looks like a line of places, by its first element that is one."""
     first = next((x for x in value if x is not None), None)
@@ -165,94 +183,50 @@ def name_likeness(field: str, path: tuple[str, ...]) -> float:
     return best
 
 
-def _assign(cost: np.ndarray) -> list[int]:
-    """Minimum-cost assignment of rows to columns (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        of[0], j0 = i, 0
-        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = of[j0]
-            free = np.flatnonzero(~used[1:]) + 1
-            slack = cost[i0 - 1, free - 1] - u[i0] - v[free]
-            better = slack < least[free]
-            least[free[better]], back[free[better]] = slack[better], j0
-            j1 = free[np.argmin(least[free])]
-            delta = least[j1]
-            u[of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if of[j0] == 0:
-                break
-        while j0:
-            of[j0], j0 = of[back[j0]], back[j0]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if of[j]:
-            out[of[j] - 1] = j - 1
-    return out
+def _key_tree(shape: tuple[tuple[tuple[str, ...], str], ...]) -> tree_edit.Node:
+    """The tree of keys whose leaves, with their content classes, are ``shape``."""
+    inner: dict = {}
+    for path, kind in sorted(shape):
+        at = inner
+        for part in path[:-1]:
+            at = at.setdefault(part, {})
+        at[path[-1]] = kind
+    node = lambda name, x: tree_edit.Node(name, children=tuple(node(k, v) for k, v in x.items())) if isinstance(x, dict) else tree_edit.Node(name, x)
+    return node("", inner)
 
 
 @lru_cache(maxsize=50_000)
-def edit_script(shape: tuple[tuple[tuple[str, ...], str], ...]) -> tuple[float, tuple[tuple[str, str, str], ...]]:
+def edit_script(shape: tuple[tuple[tuple[str, ...], str], ...], schema: Schema = EDGES) -> tuple[float, tuple[tuple[str, str, str], ...]]:
     """Cost and steps ``(operation, target field, path)`` of the cheapest script for a shape.
 
-    ``shape`` lists the record's leaves with their content class. Matching a field costs
-    ``2 - likeness of names - 1.2 x likeness of contents`` plus ``MOVE`` for every level it lies
-    deeper; leaving it out costs a deletion and, for the leaf, an addition.
+    ``shape`` lists the record's leaves with their content class. Taking a leaf for a field costs
+    ``2 - likeness of names - 1.2 x likeness of contents``; see ``tree_edit`` for the rest.
     """
-    steps: list[tuple[str, str, str]] = []
-    total, matched = 0.0, set()
-    fields, spare = [t.name for t in TARGETS], range(len(shape))
-    n, m = len(fields), len(spare)
-    cost = np.full((n, m + n), 2 * (DELETE + ADD))
-    for i, name in enumerate(fields):
-        for k, j in enumerate(spare):
-            path, kind = shape[j]
-            cost[i, k] = 2 - name_likeness(name, path) - 1.2 * _LIKES[name].get(kind, -1.0) + MOVE * (len(path) - 1)
-        cost[i, m + i] = DELETE + ADD
-    for i, k in enumerate(_assign(cost) if n else []):
-        name = fields[i]
-        if k >= m or cost[i, k] >= DELETE + ADD:
-            steps.append(("delete", name, ""))
-            total += DELETE
-            continue
-        path = shape[spare[k]][0]
-        matched.add(spare[k])
-        total += cost[i, k]
-        operation = "keep" if path == (name,) else "move" if path[-1] == name else "rename"
-        steps.append((operation, name, ".".join(path)))
-    for j, (path, _) in enumerate(shape):
-        if j not in matched:
-            steps.append(("add", "", ".".join(path)))
-            total += ADD
-    return total, tuple(steps)
-
-
-def field_paths(record: dict) -> dict[str, tuple[str, object]]:
-    """For each target field that the record has: its path and value."""
-    at = list(leaves(record))
-    at.sort(key=_path)
-    # a number under the very name of a numeric field: which number makes no other shape
-    script = _matched(tuple((p, "number" if p in _NUMERIC and type(v) in (int, float) else content_class(v)) for p, v in at))
-    return {f: (path, at[k][1]) for f, path, k in script}
-
+    likes = {t.name: dict(t.contents) for t in schema.fields}
+    fit = lambda want, _, path, kind: 2 - name_likeness(want[-1], path) - 1.2 * likes[want[-1]].get(kind, -1.0)
+    alike = lambda want, path: 1 - name_likeness(want[-1], path)
+    target = tree_edit.Node("", children=tuple(tree_edit.Node(t.name, "field") for t in schema.fields))
+    script = tree_edit.edit_script(target, _key_tree(shape), fit, alike)
+    return script.cost, tuple((op, ".".join(want), ".".join(path)) for op, want, path in script.steps)
 
-_NUMERIC = {(t.name,) for t in TARGETS if t.contents is _NUMBERS}
 
-
-def _path(leaf: tuple) -> tuple[str, ...]:
-    return leaf[0]
+def field_paths(record: dict, schema: Schema = EDGES) -> dict[str, tuple[str, object]]:
+    """For each target field that the record has: its path and value."""
+    paths, kinds, values = [], [], []
+    for path, value in leaves(record):
+        paths.append(path)
+        values.append(value)
+        # a number under the very name of a numeric field: which number makes no other shape
+        plain = len(path) == 1 and path[0] in schema.numeric and type(value) in (int, float)
+        kinds.append("number" if plain else content_class(value, schema))
+    return {f: (path, values[k]) for f, path, k in _projection(tuple(paths), tuple(kinds), schema)}
 
 
 @lru_cache(maxsize=50_000)
-def _matched(shape: tuple) -> tuple[tuple[str, str, int], ...]:
-    """The script's fields with their path and place in the shape."""
-    place = {".".join(p): k for k, (p, _) in enumerate(shape)}
-    return tuple((f, path, place[path]) for _, f, path in edit_script(shape)[1] if f and path)
+def _projection(paths: tuple, kinds: tuple, schema: Schema) -> tuple[tuple[str, str, int], ...]:
+    """The script compiled for records of these leaves: fields with their path and place among the leaves."""
+    place = {".".join(p): k for k, p in enumerate(paths)}
+    return tuple((f, path, place[path]) for _, f, path in edit_script(tuple(sorted(zip(paths, kinds))), schema)[1] if f and path)
 
 
 def _flag(value) -> bool | None:
@@ -263,7 +237,7 @@ def _flag(value) -> bool | None:
 
 
 def _kind(value) -> str | None:
-    """One name for any spelling: the text, the first of a list, a code by its place in ``KINDS`` order."""
+    """One name for any spelling: the text, the first of a list, a code as text."""
     if isinstance(value, list):
         value = next((x for x in value if x is not None), None)
     if isinstance(value, bool) or value is None:
@@ -296,7 +270,7 @@ def _long(x):
     return int(n) if n is not None and math.isfinite(n) and abs(n) < 2**63 else None
 
 
-def consistent_edges(raw: DataFrame) -> DataFrame:
+def consistent_edges(raw: DataFrame, schema: Schema = EDGES) -> DataFrame:
     """All valid lines of all files in one table: file, line and the consistent fields.
 
     A null or invalid body gives no row; a line delivered twice gives one. Values that cannot be
@@ -311,7 +285,7 @@ def consistent_edges(raw: DataFrame) -> DataFrame:
                 record = _parse(body)
                 if record is None:
                     continue
-                got = {f: v for f, (_, v) in field_paths(record).items()}
+                got = {f: v for f, (_, v) in field_paths(record, schema).items()}
                 text = lambda x: x if isinstance(x, str) else None if x is None else json.dumps(x)
                 row = {
                     "file_id": file_id, "line_no": line_no, "stem": text(got.get("stem")), "u": _long(got.get("u")),
@@ -328,7 +302,7 @@ def consistent_edges(raw: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, f"file_id long, line_no int, {CONSISTENT}").distinct()
 
 
-def _profiles(raw: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+def _profiles(raw: DataFrame, fields: tuple[str, ...], target: Schema) -> DataFrame:
     """Path and type of each field in each line; a line that is no record has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +310,7 @@ def _profiles(raw: DataFrame, fields: tuple[str, ...]) -> DataFrame:
             paths, types = {f: [] for f in fields}, {f: [] for f in fields}
             for body in batch.column(4).to_pylist():
                 record = _parse(body)
-                got = field_paths(record) if record is not None else {}
+                got = field_paths(record, target) if record is not None else {}
                 for f in fields:
                     path, value = got.get(f, (None, None))
                     paths[f].append(None if value is None else path)
@@ -356,7 +330,7 @@ def _profiles(raw: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
-def drift_report(raw: DataFrame, fields: tuple[str, ...] = ("geo", "ll", "hk")) -> DataFrame:
+def drift_report(raw: DataFrame, fields: tuple[str, ...] = ("geo", "ll", "hk"), schema: Schema = EDGES) -> DataFrame:
     """``(file_id, field, drift)``: each file but a feed's first against the file before it.
 
     A file's name for a field is the path most of its records with a non-null value use, its
@@ -365,7 +339,7 @@ def drift_report(raw: DataFrame, fields: tuple[str, ...] = ("geo", "ll", "hk"))
     ``added``, ``removed``, ``renamed`` or ``retyped``. Rows with a null feed or file are left
     out; a null ``written_at`` comes first in its feed; an empty table gives an empty report.
     """
-    profiles = _profiles(raw, fields).distinct()
+    profiles = _profiles(raw, fields, schema).distinct()
     seen = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_path").alias("path"), F.col(f"{f}_type").alias("type")) for f in fields])
     )
