@@ -49,6 +49,10 @@ class Schema:
     def __post_init__(self) -> None:
         exact = {t.name for t in self.fields if {k for k, _ in t.contents} == {"number", "flagnum", "code"}}
         object.__setattr__(self, "numeric", frozenset(exact))
+        object.__setattr__(self, "_hash", hash((self.fields, self.words)))
+
+    def __hash__(self) -> int:  # a key of caches that are asked for every value
+        return self._hash
 
 
 _NUMBERS = (("number", 0.3), ("flagnum", 0.3), ("code", 0.3))

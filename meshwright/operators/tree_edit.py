@@ -113,18 +113,25 @@ def assign(cost: np.ndarray) -> list[int]:
 def _leaves(t: _Tree, s: _Tree, image: list[int], fit: Callable) -> tuple[float, list[int]]:
     """Least cost of the leaves under a mapping of objects, and each target leaf's partner (-1: deleted)."""
     n, m = len(t.leaves), len(s.leaves)
-    cost = np.full((n, m + n), 2 * (DELETE + ADD))
     home = []
     for k in range(len(t.paths)):
         while image[k] < 0:
             k = t.parents[k]
         home.append(image[k])
-    for i, (path, kind, parent) in enumerate(t.leaves):
-        for j, (other, content, lies) in enumerate(s.leaves):
-            cost[i, j] = fit(path, kind, other, content) + MOVE * s.apart(home[parent], lies)
-        cost[i, m + i] = DELETE + ADD  # left out, and one source leaf more to add
-    partner = [j if j < m and cost[i, j] < DELETE + ADD else -1 for i, j in enumerate(assign(cost) if n else [])]
-    total = sum(DELETE if j < 0 else cost[i, j] for i, j in enumerate(partner))
+    moves = [[MOVE * s.apart(a, b) for b in range(len(s.paths))] for a in range(len(s.paths))]
+    cost = [[fit(path, kind, other, content) + moves[home[parent]][lies] for other, content, lies in s.leaves] for path, kind, parent in t.leaves]
+    # each leaf's cheapest partner, if it beats being left out; where no two want the same one, that is the assignment
+    partner = []
+    for row in cost:
+        least = min(row, default=DELETE + ADD)
+        partner.append(row.index(least) if least < DELETE + ADD else -1)
+    wanted = [j for j in partner if j >= 0]
+    if len(set(wanted)) < len(wanted):
+        square = np.full((n, m + n), 2 * (DELETE + ADD))
+        square[:, :m] = cost
+        square[np.arange(n), m + np.arange(n)] = DELETE + ADD  # left out, and one source leaf more to add
+        partner = [j if j < m and cost[i][j] < DELETE + ADD else -1 for i, j in enumerate(assign(square))]
+    total = sum(DELETE if j < 0 else cost[i][j] for i, j in enumerate(partner))
     return total + ADD * (m - sum(j >= 0 for j in partner)), partner
 
 
