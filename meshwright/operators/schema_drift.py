@@ -102,7 +102,7 @@ def content_class(value, schema: Schema = EDGES) -> str:
     if kind is str:
         return _text_class(value, schema) if len(value) < 64 else "places" if _PAIRS.fullmatch(value) else "text"
     if kind is list:
-        if value and all(isinstance(x, str) for x in value):
+        if value and type(value[0]) is str and all(isinstance(x, str) for x in value):
             return "kinds" if all(x.strip().lower() in schema.words for x in value) else "texts"
         return "places" if _placed(value) else "list"
     return "object"
@@ -155,14 +155,6 @@ def _places(value) -> list[list[float | None] | None] | None:
     return None
 
 
-def leaves(record: dict, above: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
-    for k, v in record.items():
-        if isinstance(v, dict):
-            yield from leaves(v, (*above, k))
-        else:
-            yield (*above, k), v
-
-
 @lru_cache(maxsize=100_000)
 def name_likeness(field: str, path: tuple[str, ...]) -> float:
     """1 for the same name, down to 0; a parent's name counts less than the key's own."""
@@ -214,21 +206,36 @@ def edit_script(shape: tuple[tuple[tuple[str, ...], str], ...], schema: Schema =
     return script.cost, tuple((op, ".".join(want), ".".join(path)) for op, want, path in script.steps)
 
 
+_BETWEEN = "\u0000"  # between the keys of a path
+
+
+def _flatten(record: dict, above: str, keys: list, values: list) -> None:
+    for key, value in record.items():
+        if type(value) is dict:
+            _flatten(value, above + key + _BETWEEN, keys, values)
+        else:
+            keys.append(above + key)
+            values.append(value)
+
+
 def field_paths(record: dict, schema: Schema = EDGES) -> dict[str, tuple[str, object]]:
     """For each target field that the record has: its path and value."""
-    paths, kinds, values = [], [], []
-    for path, value in leaves(record):
-        paths.append(path)
-        values.append(value)
-        # a number under the very name of a numeric field: which number makes no other shape
-        plain = len(path) == 1 and path[0] in schema.numeric and type(value) in (int, float)
-        kinds.append("number" if plain else content_class(value, schema))
-    return {f: (path, values[k]) for f, path, k in _projection(tuple(paths), tuple(kinds), schema)}
+    keys, values = list(record), list(record.values())
+    if dict in map(type, values):
+        keys, values = [], []
+        _flatten(record, "", keys, values)
+    # a number under the very name of a numeric field: which number makes no other shape
+    numeric = schema.numeric
+    kinds = [
+        "number" if (type(v) is float or type(v) is int) and k in numeric else content_class(v, schema) for k, v in zip(keys, values)
+    ]
+    return {f: (path, values[k]) for f, path, k in _projection(tuple(keys), tuple(kinds), schema)}
 
 
 @lru_cache(maxsize=50_000)
-def _projection(paths: tuple, kinds: tuple, schema: Schema) -> tuple[tuple[str, str, int], ...]:
+def _projection(keys: tuple, kinds: tuple, schema: Schema) -> tuple[tuple[str, str, int], ...]:
     """The script compiled for records of these leaves: fields with their path and place among the leaves."""
+    paths = [tuple(k.split(_BETWEEN)) for k in keys]
     place = {".".join(p): k for k, p in enumerate(paths)}
     return tuple((f, path, place[path]) for _, f, path in edit_script(tuple(sorted(zip(paths, kinds))), schema)[1] if f and path)
 
