@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshwright.operators.proximity import near_pairs
+from meshwright.operators.proximity import is_location, near_pairs
 
 #: Canonical spellings of the split names.
 SPLIT_NAMES = {
@@ -28,6 +28,15 @@ def canonical_split(split: Column) -> Column:
     return out
 
 
+def place_hash(lat: Column, lng: Column) -> Column:
+    """Hash of a canonicalised place: the same for both signs of zero and of the date line."""
+    even = lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c)
+    east = F.when(lng == -180, F.lit(180.0)).otherwise(lng)
+    # punctuation would take signs and points away, so they are named first
+    text = F.translate(F.concat_ws(" ", even(lat).cast("string"), even(east).cast("string")), "-.", "np")
+    return F.xxhash64(canonical(text))
+
+
 def _sides(sites: DataFrame, key: str, lat: str, lng: str, split: str, source: str) -> tuple[DataFrame, DataFrame]:
     records = (
         sites.select(
@@ -48,24 +57,27 @@ def cross_split_pairs(
 ) -> DataFrame:
     """``(train_key, eval_key, eval_split, train_source, eval_source, exact)``, no row twice.
 
-    A record is canonicalised (split name without case, punctuation and odd white space; place
-    to a grid cell of the match radius) and the cell is hashed; evaluation hashes, also those
-    of neighbouring cells, are joined with training hashes, and the distance decides. ``exact``
-    tells equal coordinates from moved ones. Rows with a null key, an unknown or null split,
-    or a place that is none (null, NaN, out of range, (0, 0)) match nothing. Repeated rows
+    Exact overlaps: each record's place is canonicalised (its text form, case, punctuation and white
+    space evened out as in names) and hashed; evaluation hashes are joined with training hashes.
+    Near ones: distinct places of both sides meet through grid cells of the radius and the
+    distance decides. Both give pairs of places, which are then given back to their records.
+    ``exact`` tells equal coordinates from moved ones. Rows with a null key, an unknown or null
+    split, or a place that is none (null, NaN, out of range, (0, 0)) match nothing. Repeated rows
     count once; a missing source is the empty text.
     """
     train, held = _sides(sites, key, lat, lng, split, source)
-    pairs = near_pairs(
-        train.select(F.col("key").alias("train_key"), "lat", "lng", F.col("source").alias("train_source")),
-        held.select(
-            F.col("key").alias("eval_key"), "lat", "lng", F.col("split").alias("eval_split"), F.col("source").alias("eval_source")
-        ),
-        metres,
-    )
-    return pairs.filter("train_key <> eval_key").select(
-        "train_key", "eval_key", "eval_split", "train_source", "eval_source", (F.col("metres") == 0).alias("exact")
-    ).distinct()
+    train, held = (df.filter(is_location(F.col("lat"), F.col("lng"))).withColumn("h", place_hash(F.col("lat"), F.col("lng"))) for df in (train, held))
+    of_train, of_held = (df.select("h", "lat", "lng").distinct() for df in (train, held))
+    named = lambda df, tag: df.select("lat", "lng", F.col("h").alias(f"{tag}h"), F.col("lat").alias(f"{tag}lat"), F.col("lng").alias(f"{tag}lng"))
+    a, b = named(of_train, "t").drop("lat", "lng"), named(of_held, "e").drop("lat", "lng")
+    same = (F.col("tlat") == F.col("elat")) & (F.col("tlng") == F.col("elng"))
+    exact = a.join(b, F.col("th") == F.col("eh")).filter(same).withColumn("exact", F.lit(True))
+    near = near_pairs(named(of_train, "t"), named(of_held, "e"), metres).filter(~same).withColumn("exact", F.lit(False)).drop("metres")
+    met = exact.unionByName(near).select("tlat", "tlng", "elat", "elng", "exact")
+    own = lambda df, tag, *cols: df.select(*[F.col(c).alias(n) for c, n in cols], F.col("lat").alias(f"{tag}lat"), F.col("lng").alias(f"{tag}lng"))
+    pairs = met.join(own(train, "t", ("key", "train_key"), ("source", "train_source")), ["tlat", "tlng"])
+    pairs = pairs.join(own(held, "e", ("key", "eval_key"), ("split", "eval_split"), ("source", "eval_source")), ["elat", "elng"])
+    return pairs.filter("train_key <> eval_key").select("train_key", "eval_key", "eval_split", "train_source", "eval_source", "exact").distinct()
 
 
 def overlap_report(sites: DataFrame, key: str, lat: str, lng: str, split: str, source: str, metres: float = 75.0) -> DataFrame:
