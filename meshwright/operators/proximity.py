@@ -90,16 +90,40 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     )
 
 
+def _located(nodes: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
+    """``(k, lat, lng)``: the distinct places of each key, locations only."""
+    places = nodes.select(F.col(key).alias("k"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"))
+    return places.filter(F.col("k").isNotNull() & is_location(F.col("lat"), F.col("lng"))).distinct()
+
+
+def _as_place(df: DataFrame, tag: str) -> DataFrame:
+    """The place twice: for the search, and as ``<tag>lat``, ``<tag>lng`` in its result."""
+    return df.select("lat", "lng", F.col("lat").alias(f"{tag}lat"), F.col("lng").alias(f"{tag}lng"))
+
+
+def _members(located: DataFrame, met: DataFrame, tag: str, name: str) -> DataFrame:
+    """Rows of ``met`` with every key that lies at its place ``tag``, as ``name``."""
+    own = located.select(F.col("k").alias(name), F.col("lat").alias(f"{tag}lat"), F.col("lng").alias(f"{tag}lng"))
+    return met.join(own, [f"{tag}lat", f"{tag}lng"]).drop(f"{tag}lat", f"{tag}lng")
+
+
 def near_nodes(nodes: DataFrame, key: str, lat: str, lng: str, metres: float) -> DataFrame:
     """``(key_a, key_b)``: two different keys with rows at most ``metres`` apart, the smaller first.
 
     Repeated rows count once; a key with several places is near what any of them is near. Rows
     with a null key or without a location match nothing; an empty table gives an empty result.
+
+    Places are searched, not keys: a cell holds each place once, however many keys lie there, so
+    coordinates of d decimals bound a cell at ``(height 10^d)^2`` rows. Only places that met
+    another, or that hold several keys, are then given back to their keys.
     """
-    places = nodes.select(F.col(key).alias("k"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"))
-    places = places.filter(F.col("k").isNotNull() & is_location(F.col("lat"), F.col("lng"))).distinct()
-    pairs = near_pairs(places.withColumnRenamed("k", "key_a"), places.withColumnRenamed("k", "key_b"), metres)
-    return pairs.filter("key_a < key_b").select("key_a", "key_b").distinct()
+    located = _located(nodes, key, lat, lng)
+    places = located.groupBy("lat", "lng").agg((F.min("k") < F.max("k")).alias("several"))
+    first, second = F.struct("alat", "alng"), F.struct("blat", "blng")
+    met = near_pairs(_as_place(places, "a"), _as_place(places, "b"), metres).filter(first < second).drop("metres")
+    alone = places.filter("several").select(*[F.col(c[1:]).alias(c) for c in ("alat", "alng", "blat", "blng")])
+    both = _members(located, _members(located, met.unionByName(alone), "a", "x"), "b", "y").filter("x <> y")
+    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def vertices(docs: DataFrame, key: str, lines: str) -> DataFrame:
@@ -118,25 +142,32 @@ def nodes_near_lines(
 ) -> DataFrame:
     """``(key_a, key_b)``: nodes and the documents with a line vertex at most ``metres`` away.
 
-    Documents of one area repeat the same vertices: each distinct vertex is searched once and
-    only then given to its documents.
+    Places of nodes and vertices of lines are searched once each, however many nodes and documents
+    share them, and only what met is given back to its nodes and documents.
     """
-    places = nodes.select(F.col(key).alias("key_a"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"))
-    places = places.filter(F.col("key_a").isNotNull() & is_location(F.col("lat"), F.col("lng"))).distinct()
+    located = _located(nodes, key, lat, lng)
     of_docs = vertices(docs, doc_key, lines)
-    once = of_docs.select("lat", "lng").distinct().select("lat", "lng", F.col("lat").alias("vlat"), F.col("lng").alias("vlng"))
-    met = near_pairs(places, once, metres).select("key_a", "vlat", "vlng").distinct()
+    once, places = (_as_place(df.select("lat", "lng").distinct(), tag) for df, tag in ((of_docs, "v"), (located, "a")))
+    met = _members(located, near_pairs(places, once, metres).drop("metres"), "a", "key_a").distinct()
     owners = of_docs.select(F.col("doc").alias("key_b"), F.col("lat").alias("vlat"), F.col("lng").alias("vlng"))
     return met.join(owners, ["vlat", "vlng"]).select("key_a", "key_b").distinct()
 
 
-def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float = 1.0) -> DataFrame:
+#: Levels of cells, as powers of two of a degree: from a tenth of a millimetre to half the globe.
+LEVELS = (-30, 8)
+
+
+def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float | None = None) -> DataFrame:
     """Pairs of a point and a polygon that holds it (even-odd rule, edges on the west and south in).
 
     ``points`` brings ``lat``, ``lng`` and keys; ``regions`` a key and ``ring`` (array of
-    ``struct<lat, lng>``, closed or not, not across the date line). A region is entered in the
-    grid cells of its bounding box, points in their own cell; the ring decides. A ring with
-    fewer than three vertices, or null, holds nothing.
+    ``struct<lat, lng>``, closed or not, not across the date line). A ring with fewer than three
+    vertices, or null, holds nothing; points that are no location lie nowhere.
+
+    A region is entered in the cells of its bounding box on the level of cells as wide as its
+    longer side: four cells at most, whatever its size. A point looks in its cell on every level
+    that has regions (``LEVELS`` bounds their number); the ring decides. With ``cell_degrees`` all
+    cells are of that size.
     """
     boxed = regions.filter(F.size("ring") >= 3).withColumns(
         {
@@ -144,21 +175,25 @@ def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float = 1.0)
             "__w": F.array_min(F.transform("ring", lambda p: p["lng"])), "__e": F.array_max(F.transform("ring", lambda p: p["lng"])),
         }
     )
-    cell = lambda c: F.floor(c / cell_degrees)
-    tiles = boxed.withColumn("__cy", F.explode(F.sequence(cell(F.col("__s")), cell(F.col("__n"))))).withColumn(
-        "__cx", F.explode(F.sequence(cell(F.col("__w")), cell(F.col("__e"))))
-    )
-    here = points.filter(is_location(F.col("lat"), F.col("lng"))).withColumns({"__cy": cell(F.col("lat")), "__cx": cell(F.col("lng"))})
+    side = F.greatest(F.col("__n") - F.col("__s"), F.col("__e") - F.col("__w"), F.lit(2.0 ** LEVELS[0]))
+    level = F.least(F.ceil(F.log2(side)), F.lit(LEVELS[1])).cast("int")
+    boxed = boxed.withColumn("__level", level if cell_degrees is None else F.lit(0))
+    base = F.pow(F.lit(2.0), F.col("__level")) if cell_degrees is None else F.lit(float(cell_degrees))
+    cell = lambda c: F.floor(F.col(c) / base)
+    tiles = boxed.withColumn("__cy", F.explode(F.sequence(cell("__s"), cell("__n")))).withColumn("__cx", F.explode(F.sequence(cell("__w"), cell("__e"))))
+    used = sorted(r[0] for r in boxed.select("__level").distinct().collect())  # at most as many as LEVELS has
+    here = points.filter(is_location(F.col("lat"), F.col("lng"))).withColumn("__level", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
+    here = here.withColumns({"__cy": cell("lat"), "__cx": cell("lng")})
     n = F.size("ring")
     crossings = F.aggregate(
         F.sequence(F.lit(1), n), F.lit(0),
         lambda total, k: total + _crosses(F.element_at("ring", k), F.element_at("ring", F.pmod(k, n) + 1)),
     )
     return (
-        here.join(tiles, ["__cy", "__cx"])
+        here.join(tiles, ["__level", "__cy", "__cx"])
         .filter(F.col("lat").between(F.col("__s"), F.col("__n")) & F.col("lng").between(F.col("__w"), F.col("__e")))
         .filter(crossings % 2 == 1)
-        .drop("__cy", "__cx", "__s", "__n", "__w", "__e", "ring")
+        .drop("__level", "__cy", "__cx", "__s", "__n", "__w", "__e", "ring")
     )
 
 

@@ -83,5 +83,20 @@ SELECT DISTINCT near, key_a, key_b FROM c WHERE 2 * 6371000.0 * asin(sqrt(least(
   + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2)))) <= 5
 """
 
-QUERIES = {"p1_found": p1_found, "p1_edges": p1_edges, "p2_found": p2_found, "p3_found": p3_found}
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL}
+def p3_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each located node with every tile whose exported bounds hold it."""
+    nodes = table(spark, folder, "web_nodes").select("node_key", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).filter("node_key is not null").distinct()
+    tiles = table(spark, folder, "export_web_geo").select("stem", "bounds.*").filter("stem is not null").dropna().distinct()
+    corner = lambda y, x: F.struct(F.col(y).alias("lat"), F.col(x).alias("lng"))
+    ring = F.array(corner("south", "west"), corner("south", "east"), corner("north", "east"), corner("north", "west"))
+    return proximity.in_regions(nodes, tiles.select("stem", ring.alias("ring"))).select("node_key", "stem").distinct()
+
+
+P3_REGIONS_SQL = """
+WITH r AS (SELECT DISTINCT stem, bounds.north AS n, bounds.south AS s, bounds.east AS e, bounds.west AS w FROM export_web_geo WHERE stem IS NOT NULL),
+p AS (SELECT DISTINCT node_key, lat, lng FROM web_nodes WHERE node_key IS NOT NULL AND abs(lat) <= 90 AND abs(lng) <= 180 AND NOT (lat = 0 AND lng = 0))
+SELECT DISTINCT node_key, stem FROM p JOIN r ON lat >= s AND lat < n AND lng >= w AND lng < e
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_edges": p1_edges, "p2_found": p2_found, "p3_found": p3_found, "p3_regions": p3_regions}
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_regions": P3_REGIONS_SQL}

@@ -129,3 +129,21 @@ def test_points_in_regions(spark):
     regions = spark.createDataFrame([("r", ring), ("line", ring[:2]), ("none", None)], "name string, ring array<struct<lat: double, lng: double>>")
     got = {(r["k"], r["name"]) for r in proximity.in_regions(points, regions).collect()}
     assert got == {(k, "r") for k, y, x in pts if inside(y, x)} and got
+
+
+def test_regions_of_any_size_take_four_cells(spark):
+    rng = random.Random(8)
+    boxes = [(k, y, x, y + h, x + h * rng.uniform(0.2, 3)) for k in range(40) for y, x, h in [(rng.uniform(-80, 60), rng.uniform(-170, 100), 10 ** rng.uniform(-5, 1.2))]]
+    pts = [(k, rng.uniform(s, n), rng.uniform(w, e)) for k in range(200) for _, s, w, n, e in [rng.choice(boxes)]] + [(900, None, 1.0), (901, 0.0, 0.0), (902, 95.0, 1.0)]
+    rows = [(k, [(s, w), (s, e), (n, e), (n, w)]) for k, s, w, n, e in boxes]
+    regions = spark.createDataFrame(rows, "name int, ring array<struct<lat: double, lng: double>>")
+    points = spark.createDataFrame(pts, "k long, lat double, lng double")
+    got = {(r.k, r.name) for r in proximity.in_regions(points, regions).collect()}
+    assert got == {(k, b[0]) for k, y, x in pts[:200] for b in boxes if b[1] <= y < b[3] and b[2] <= x < b[4]}
+    assert proximity.in_regions(points, regions.limit(0)).collect() == [] and proximity.in_regions(points.limit(0), regions).collect() == []
+
+
+def test_keys_of_one_place(spark):
+    spots = [(1, 50.0, 70.0), (2, 50.0, 70.0), (3, 50.0, 70.00001), (4, 51.0, 70.0), (5, 51.0, 70.0), (5, 51.0, 70.0), (6, 52.0, 70.0), (1, 52.0, 70.0)]
+    df = spark.createDataFrame(spots, "k long, lat double, lng double")
+    assert sorted(map(tuple, proximity.near_nodes(df, "k", "lat", "lng", 5).collect())) == [(1, 2), (1, 3), (1, 6), (2, 3), (4, 5)]
