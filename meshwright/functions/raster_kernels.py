@@ -156,13 +156,18 @@ def cost_path(prob: np.ndarray, a: tuple[float, float], b: tuple[float, float],
     """Cheapest 8-connected path between two (x, y) places: points (row, col), mean p, length >= 1.
 
     A step costs its length times the mean of 1.02 - p at its two ends; the search stays in the
-    window of the two places widened by ``margin``.
+    window of the two places widened by ``margin``. Places lie in the pixel that holds them, or in
+    the nearest one of the raster.
     """
     h, w = prob.shape
-    clip = lambda v, top: int(min(max(round(v), 0), top - 1))
-    start, goal = (clip(a[1], h), clip(a[0], w)), (clip(b[1], h), clip(b[0], w))
-    y0, y1 = max(0, min(start[0], goal[0]) - margin), min(h, max(start[0], goal[0]) + margin + 1)
-    x0, x1 = max(0, min(start[1], goal[1]) - margin), min(w, max(start[1], goal[1]) + margin + 1)
+    pixel = lambda v, top: min(max(int(v), 0), top - 1)
+    start, goal = ((pixel(p[1], h), pixel(p[0], w)) for p in (a, b))
+    low = [int(max(0, min(a[k], b[k]) - margin)) for k in (0, 1)]
+    high = [int(min(top, max(a[k], b[k]) + margin + 1)) for k, top in ((0, w), (1, h))]
+    (x0, y0), (x1, y1) = low, high
+    # an end beyond the raster still belongs to the window
+    y0, x0 = min(y0, start[0], goal[0]), min(x0, start[1], goal[1])
+    y1, x1 = max(y1, start[0] + 1, goal[0] + 1), max(x1, start[1] + 1, goal[1] + 1)
     cost = 1.02 - prob
     dist, came, heap = {start: 0.0}, {}, [(0.0, start)]
     while heap:

@@ -1,18 +1,19 @@
 """Bridging gaps between loose ends of a network, shortest gaps first.
 
-Which bridges are made depends on the order and on bridges made before (they change components
-and directions), so a tile is one ordered pass. Candidates come from a grid join; the pass sees
-candidates only, never all pairs.
+What can be said of a candidate by itself is said in columns: how long it is, how much of it lies
+under canopy, how well the probability raster shows a road along it, and which gates it therefore
+has to pass. Only what depends on bridges made before (whether both ends are still apart, and
+which way they face) is left to an ordered pass over the tile's remaining candidates.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwright.functions.raster_kernels import cost_path
 from meshwright.operators.network import _own, gap_pairs, linked_nodes
@@ -20,7 +21,7 @@ from meshwright.operators.network import _own, gap_pairs, linked_nodes
 
 @dataclass(frozen=True)
 class Gates:
-    """Limits of the pass. Fixed values, so that decisions come out the same."""
+    """Limits of healing. Fixed values, so that decisions come out the same."""
 
     max_gap: float = 60.0
     angle: float = 35.0
@@ -35,118 +36,204 @@ class Gates:
     canopy_gap: float | None = None
     canopy_angle: float | None = None
 
-    def under_canopy(self, green: float) -> tuple[float, float, float, bool]:
-        """Gap, angle and overlap demanded under canopy; a saturated scene relaxes less."""
-        gap = self.max_gap * 1.6 if self.canopy_gap is None else self.canopy_gap
-        angle = min(self.angle + 20, 70) if self.canopy_angle is None else self.canopy_angle
-        if green < self.saturation:
-            return gap, angle, self.overlap, False
-        return min(gap, self.max_gap * 1.25), min(angle, self.angle + 10), max(self.overlap, 0.65), True
+    @property
+    def wide(self) -> tuple[float, float]:
+        """Gap and angle under canopy."""
+        gap = 1.6 * self.max_gap if self.canopy_gap is None else self.canopy_gap
+        return gap, min(self.angle + 20, 70) if self.canopy_angle is None else self.canopy_angle
 
+    @property
+    def throttled(self) -> tuple[float, float]:
+        """Gap and angle under canopy where the scene is saturated with it."""
+        gap, angle = self.wide
+        return min(gap, 1.25 * self.max_gap), min(angle, self.angle + 10)
 
-@dataclass
-class Evidence:
-    """Rasters of a tile, if there are any: dense canopy, share of green, road probability.
-
-    Places beyond the canopy raster are cut to its rim; with ``wrap`` the raster repeats instead.
-    """
-
-    canopy: np.ndarray | None = None
-    green: float = 0.0
-    prob: np.ndarray | None = None
-    wrap: bool = False
 
+def _where(condition, yes, no):
+    """A choice for columns and for arrays alike."""
+    if isinstance(condition, Column):
+        return F.when(condition, yes).otherwise(no)
+    return np.where(condition, yes, no)
 
-@dataclass
-class _Net:
-    """The growing network of one tile."""
-
-    at: dict[int, tuple[float, float]]
-    near: dict[int, list[int]] = field(default_factory=dict)
-    up: dict[int, int] = field(default_factory=dict)
 
-    def root(self, a: int) -> int:
-        while self.up.setdefault(a, a) != a:
-            a = self.up[a]
-        return a
+def classify(gates: Gates, dist, over, green, evidence, walked) -> dict:
+    """What a candidate is by itself, for columns and for arrays.
 
-    def join(self, a: int, b: int) -> None:
-        self.near.setdefault(a, []).append(b)
-        self.near.setdefault(b, []).append(a)
-        x, y = sorted((self.root(a), self.root(b)))
-        self.up[y] = x
-
-    def direction(self, node: int, hops: int) -> float | None:
+    ``over`` is the share of its span under canopy, -1 without a canopy raster; ``evidence`` the mean
+    probability along its cheapest path of length ``walked``, -1 without a probability raster.
+    ``traced`` candidates need no direction, ``plain`` ones must face each other within ``angle``,
+    all others are out.
+    """
+    full = green >= gates.saturation
+    gap, angle = (_where(full, a, b) for a, b in zip(gates.throttled, gates.wide))
+    covered = over >= _where(full, max(gates.overlap, 0.65), gates.overlap)
+    floor = _where(dist > 4.0, dist, 4.0)
+    in_reach = dist <= _where((over >= 0) & (gap > gates.max_gap), gap, gates.max_gap)
+    traced = in_reach & (evidence >= gates.trace) & (walked <= floor * gates.stretch)
+    shown = covered | (evidence < 0) | (evidence >= gates.veto)
+    plain = in_reach & ~traced & shown & (dist <= _where(covered, gap, gates.max_gap))
+    return {
+        "traced": traced,
+        "plain": plain,
+        "angle": _where(covered, angle, gates.angle),
+        "weight": _where(traced, walked, dist),
+        "heal_kind": _where(covered, "canopy", _where(traced, "trace", "geom")),
+        "conf": _where(traced, _where(evidence >= gates.firm, "med", "low"), _where(covered, _where(full, "vlow", "low"), "med")),
+    }
+
+
+class _Ends:
+    """The network of one tile while bridges are added: who is joined, and which way an end faces."""
+
+    def __init__(self, at: dict[int, tuple[float, float]]):
+        self.at = at
+        self.near: dict[int, list[int]] = {k: [] for k in at}
+        self.group: dict[int, set[int]] = {k: {k} for k in at}
+
+    def add(self, a: int, b: int) -> None:
+        self.near[a].append(b)
+        self.near[b].append(a)
+        large, small = sorted((self.group[a], self.group[b]), key=len, reverse=True)
+        if large is not small:
+            large |= small
+            self.group.update(dict.fromkeys(small, large))
+
+    def apart(self, a: int, b: int) -> bool:
+        return self.group[a] is not self.group[b]
+
+    def facing(self, node: int, hops: int) -> float | None:
         """Principal axis of the places within ``hops`` edges, in [0, 180); null if there is none."""
         seen, rim = {node}, [node]
         for _ in range(hops):
-            rim = [b for a in rim for b in self.near.get(a, ()) if b not in seen and not seen.add(b)]
-        xy = np.array([self.at[k] for k in seen])
+            rim = list(dict.fromkeys(b for a in rim for b in self.near[a] if b not in seen))
+            seen.update(rim)
+        xy = np.array([self.at[k] for k in sorted(seen)], float)
         off = xy - xy.mean(axis=0)
         if len(seen) < 2 or np.allclose(off, 0):
             return None
-        cross, diff = 2 * (off[:, 0] * off[:, 1]).sum(), (off[:, 0] ** 2 - off[:, 1] ** 2).sum()
-        return math.degrees(math.atan2(cross, diff)) / 2 % 180
+        (xx, xy_), (_, yy) = off.T @ off
+        return math.degrees(math.atan2(2 * xy_, xx - yy)) / 2 % 180
 
 
-def _apart(a: float, b: float) -> float:
-    d = (a - b) % 180
-    return min(d, 180 - d)
-
-
-def _faces(p, q, a: float | None, b: float | None, tolerance: float, corridor: float) -> bool:
+def _face_each_other(p, q, a: float | None, b: float | None, tolerance: float, corridor: float) -> bool:
     """Straight on at both ends, or both ends inside a common corridor; a missing direction agrees."""
-    way = math.degrees(math.atan2(q[1] - p[1], q[0] - p[0])) % 180
-    if all(x is None or _apart(x, way) <= tolerance for x in (a, b)):
-        return True
+    vx, vy = q[0] - p[0], q[1] - p[1]
+    way = math.degrees(math.atan2(vy, vx))
+    ends = [math.radians(x) for x in (a, b) if x is not None]
+    turns = [abs((math.degrees(x) - way + 90) % 180 - 90) for x in ends]
+    offsets = [abs(vx * math.sin(x) - vy * math.cos(x)) for x in ends]
+    return all(t <= tolerance for t in turns) or all(o <= corridor for o in offsets)
 
-    def off(o, angle, r):
-        return 0.0 if angle is None else abs((r[0] - o[0]) * math.sin(math.radians(angle)) - (r[1] - o[1]) * math.cos(math.radians(angle)))
 
-    return off(p, a, q) <= corridor and off(q, b, p) <= corridor
+def settle(at: dict, edges: list[tuple[int, int]], rows: list[tuple[float, int, int, bool, float]], gates: Gates) -> list[tuple[int, int]]:
+    """The ordered pass: which of ``(dist, a, b, traced, angle)`` become bridges, in order."""
+    net = _Ends(at)
+    for u, v in edges:
+        net.add(u, v)
+    made = []
+    for _, a, b, traced, angle in sorted(rows):
+        if not net.apart(a, b):
+            continue
+        if traced or _face_each_other(at[a], at[b], net.facing(a, gates.hops), net.facing(b, gates.hops), angle, gates.corridor):
+            net.add(a, b)
+            made.append((a, b))
+    return made
+
 
+@dataclass
+class Evidence:
+    """Rasters of one tile, for ``bridge``: dense canopy, share of green, road probability."""
 
-def _overlap(p, q, canopy: np.ndarray, wrap: bool = False) -> float:
-    h, w = canopy.shape
-    x, y = (np.linspace(p[k], q[k], 32).astype(int) for k in (0, 1))
-    x, y = (x % w, y % h) if wrap else (np.clip(x, 0, w - 1), np.clip(y, 0, h - 1))
-    return float(canopy[y, x].mean())
+    canopy: np.ndarray | None = None
+    green: float = 0.0
+    prob: np.ndarray | None = None
 
 
 def bridge(at: dict, edges: list[tuple[int, int]], gaps: list[tuple[float, int, int]], gates: Gates, seen: Evidence) -> list[dict]:
-    """The bridges of one tile in the order they are made; ``gaps`` holds (distance, a, b)."""
-    net = _Net(at)
-    for u, v in edges:
-        net.join(u, v)
-    wide_gap, wide_angle, demanded, saturated = gates.under_canopy(seen.green)
-    reach = gates.max_gap if seen.canopy is None else max(gates.max_gap, wide_gap)
-    made = []
-    for dist, a, b in sorted(gaps):
-        if dist > reach or net.root(a) == net.root(b):
-            continue
-        p, q = at[a], at[b]
-        over = _overlap(p, q, seen.canopy, seen.wrap) if seen.canopy is not None else 0.0
-        covered = seen.canopy is not None and over >= demanded
-        gap, angle = (wide_gap, wide_angle) if covered else (gates.max_gap, gates.angle)
-        pts = evidence = None
-        length = dist
-        if seen.prob is not None and dist <= max(gap, wide_gap):
-            pts, evidence, walked = cost_path(seen.prob, p, q)
-        if evidence is not None and evidence >= gates.trace and walked <= max(dist, 4.0) * gates.stretch:
-            kind, conf, length = "canopy" if covered else "trace", "med" if evidence >= gates.firm else "low", walked
-        else:
-            pts = None
-            if dist > gap or not _faces(p, q, net.direction(a, gates.hops), net.direction(b, gates.hops), angle, gates.corridor):
-                continue
-            if evidence is not None and not covered and evidence < gates.veto:
-                continue
-            kind, conf = ("canopy", "vlow" if saturated else "low") if covered else ("geom", "med")
-        net.join(a, b)
-        made.append({"u": a, "v": b, "weight": length, "heal_kind": kind, "conf": conf, "canopy_frac": round(over, 3), "evidence": None if evidence is None else round(evidence, 3), "pts": pts})
-    return made
+    """The bridges of one tile held in memory; ``gaps`` holds (distance, a, b)."""
+    if not gaps:
+        return []
+    walks = [cost_path(seen.prob, at[a], at[b]) if seen.prob is not None else (None, -1.0, 0.0) for _, a, b in gaps]
+    over = np.array([_share(at[a], at[b], seen.canopy) if seen.canopy is not None else -1.0 for _, a, b in gaps])
+    dist, evidence, walked = np.array([g[0] for g in gaps]), np.array([w[1] for w in walks]), np.array([w[2] for w in walks])
+    facts = classify(gates, dist, over, np.full(len(gaps), seen.green), evidence, walked)
+    place = {(a, b): k for k, (_, a, b) in enumerate(gaps)}
+    rows = [(d, a, b, bool(facts["traced"][k]), float(facts["angle"][k])) for k, (d, a, b) in enumerate(gaps) if facts["traced"][k] or facts["plain"][k]]
+    out = []
+    for a, b in settle(at, edges, rows, gates):
+        k = place[a, b]
+        out.append({
+            "u": a, "v": b, "weight": float(facts["weight"][k]), "heal_kind": str(facts["heal_kind"][k]), "conf": str(facts["conf"][k]), "canopy_frac": round(max(float(over[k]), 0.0), 3),
+            "evidence": None if evidence[k] < 0 else round(float(evidence[k]), 3), "pts": walks[k][0] if facts["traced"][k] else None,
+        })
+    return out
+
+
+#: Places at which a span is held against the canopy.
+SAMPLES = 32
+
+
+def _share(p, q, canopy: np.ndarray) -> float:
+    y, x = (np.clip(np.linspace(p[k], q[k], SAMPLES).astype(int), 0, canopy.shape[1 - k] - 1) for k in (1, 0))
+    return float(canopy[y, x].mean())
 
 
-BRIDGES = "tile int, u long, v long, weight double, heal_kind string, conf string, canopy_frac double, evidence double"
+def span_overlap(spans: DataFrame, dense: DataFrame, size: int, wrap: bool = False) -> DataFrame:
+    """``(tile, a, b, over)``: the share of ``SAMPLES`` places along each span that are dense pixels.
+
+    ``spans`` has tile, a, b and the ends' places xa, ya, xb, yb; ``dense`` tile, y, x. Places beyond
+    the raster are cut to its rim; with ``wrap`` it repeats instead.
+    """
+    step = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1)))
+
+    def at(c: str) -> Column:
+        p, q = F.col(f"{c}a"), F.col(f"{c}b")
+        along = F.when(F.col("i") == SAMPLES - 1, q).otherwise(p + F.col("i") * ((q - p) / (SAMPLES - 1)))
+        pixel = along.cast("int")
+        return (F.pmod(pixel, F.lit(size)) if wrap else F.least(F.greatest(pixel, F.lit(0)), F.lit(size - 1))).alias(c)
+
+    places = spans.withColumn("i", step).select("tile", "a", "b", at("y"), at("x"))
+    marked = dense.select("tile", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(1.0).alias("on")).distinct()
+    return places.join(marked, ["tile", "y", "x"], "left").groupBy("tile", "a", "b").agg(F.avg(F.coalesce("on", F.lit(0.0))).alias("over"))
+
+
+def span_paths(spans: DataFrame, prob: DataFrame, size: int) -> DataFrame:
+    """``(tile, a, b, evidence, walked, pts)``: the cheapest path of each span through its tile's raster."""
+
+    def run(key, s: pd.DataFrame, px: pd.DataFrame) -> pd.DataFrame:
+        raster = np.zeros((size, size))
+        raster[px.y, px.x] = px.p
+        rows = []
+        for r in s.itertuples():
+            pts, evidence, walked = cost_path(raster, (r.xa, r.ya), (r.xb, r.yb))
+            rows.append((key[0], r.a, r.b, evidence, walked, [[float(y), float(x)] for y, x in pts]))
+        return pd.DataFrame(rows, columns=["tile", "a", "b", "evidence", "walked", "pts"])
+
+    pixels = prob.select("tile", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("p").cast("double").alias("p"))
+    kind = spans.schema["tile"].dataType.simpleString()
+    schema = f"tile {kind}, a long, b long, evidence double, walked double, pts array<array<double>>"
+    return _own(spans).groupBy("tile").cogroup(_own(pixels).groupBy("tile")).applyInPandas(run, schema)
+
+
+def candidates(nodes: DataFrame, edges: DataFrame, gates: Gates, prob: DataFrame | None, size: int, canopy: DataFrame | None, wrap: bool) -> DataFrame:
+    """Gaps that may become bridges, with all that can be said of them before any is made."""
+    reach = gates.max_gap if canopy is None else max(gates.max_gap, gates.wide[0])
+    place = lambda end: nodes.select("tile", F.col("id").alias(end), F.col("x").cast("double").alias(f"x{end}"), F.col("y").cast("double").alias(f"y{end}"))
+    spans = gap_pairs(nodes, edges, reach).select("tile", "a", "b", F.sqrt(F.col("d2").cast("double")).alias("dist"))
+    spans = spans.join(place("a"), ["tile", "a"]).join(place("b"), ["tile", "b"])
+    out, keys = spans, ["tile", "a", "b"]
+    if canopy is None:
+        out = out.withColumns({"over": F.lit(-1.0), "green": F.lit(0.0)})
+    else:
+        green = canopy.groupBy("tile").agg(F.max("green_frac").alias("green"))
+        out = out.join(span_overlap(spans, canopy.filter("dense"), size, wrap), keys).join(green, "tile", "left")
+        # a tile that the canopy table lacks stays strict
+        out = out.withColumns({"over": F.when(F.col("green").isNull(), -1.0).otherwise(F.col("over")), "green": F.coalesce("green", F.lit(0.0))})
+    if prob is None:
+        out = out.withColumns({"evidence": F.lit(-1.0), "walked": F.lit(0.0), "pts": F.lit(None).cast("array<array<double>>")})
+    else:
+        out = out.join(span_paths(spans, prob, size), keys)
+    return out.withColumns(classify(gates, *map(F.col, ("dist", "over", "green", "evidence", "walked")))).filter("traced or plain")
 
 
 def heal(
@@ -155,52 +242,32 @@ def heal(
     """Bridges of every tile: ``nodes`` tile, id, x, y; ``edges`` tile, u, v, w; ``prob`` tile, y, x, p;
     ``canopy`` tile, y, x, green_frac, dense (as ``ras_canopy`` gives them). Rasters are ``size`` wide and high.
 
-    Tiles without a candidate give no row. Without ``prob`` and ``canopy`` the decision is geometric.
-    Candidates reach to the wider gap where there is canopy; a tile that ``canopy`` lacks stays strict.
+    Result: tile, u, v, weight, heal_kind, conf, canopy_frac, evidence, pts. Tiles without a candidate
+    give no row. Without ``prob`` and ``canopy`` the decision is geometric. Candidates reach to the
+    wider gap where there is canopy; a tile that ``canopy`` lacks stays strict.
     """
-    reach = gates.max_gap if canopy is None else max(gates.max_gap, gates.under_canopy(0.0)[0])
-    gaps = gap_pairs(nodes, edges, reach).select("tile", F.lit("g").alias("t"), "a", "b", F.sqrt(F.col("d2").cast("double")).alias("x"), F.lit(None).cast("double").alias("y"))
-    tiles = gaps.select("tile").distinct()
-    at = nodes.join(linked_nodes(edges), ["tile", "id"], "left_semi").select("tile", F.lit("n").alias("t"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    lines = edges.select("tile", F.lit("e").alias("t"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    rows = _own(gaps).unionByName(at.unionByName(lines).join(_own(tiles), "tile", "left_semi"))
-
-    def run(tile, pdf: pd.DataFrame, seen: Evidence) -> pd.DataFrame:
+    found = candidates(nodes, edges, gates, prob, size, canopy, wrap)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    rows = found.select("tile", F.lit("g").alias("t"), "a", "b", F.col("dist").alias("x"), F.col("angle").alias("y"), "traced")
+    at = nodes.join(linked_nodes(edges), ["tile", "id"], "left_semi").select(
+        "tile", F.lit("n").alias("t"), F.col("id").alias("a"), nothing("long").alias("b"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), nothing("boolean").alias("traced")
+    )
+    lines = edges.select("tile", F.lit("e").alias("t"), F.col("u").alias("a"), F.col("v").alias("b"), nothing("double").alias("x"), nothing("double").alias("y"), nothing("boolean").alias("traced"))
+    kind = nodes.schema["tile"].dataType.simpleString()
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in pdf.groupby("t")}
-        if "g" not in part:
-            return pd.DataFrame(columns=["tile", "u", "v", "weight", "heal_kind", "conf", "canopy_frac", "evidence"])
-        n, e, g = part["n"], part["e"], part["g"]
-        made = bridge(dict(zip(n.a, zip(n.x, n.y))), list(zip(e.a, e.b.astype("int64"))), list(zip(g.x, g.a, g.b.astype("int64"))), gates, seen)
-        out = pd.DataFrame(made, columns=["u", "v", "weight", "heal_kind", "conf", "canopy_frac", "evidence"])
-        out.insert(0, "tile", tile)
-        out["evidence"] = out["evidence"].astype(float)
-        return out
-
-    if prob is None and canopy is None:
-        return rows.groupBy("tile").applyInPandas(lambda key, pdf: run(key[0], pdf, Evidence()), BRIDGES)
-
-    def raster(px: pd.DataFrame, kind: type) -> np.ndarray:
-        out = np.zeros((size, size), kind)
-        out[px.y, px.x] = px.v
-        return out
-
-    # pixels of both rasters in one frame: probabilities, dense cells, and a row for the share of green
-    pixels = lambda df, t, v: df.select("tile", F.lit(t).alias("t"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), v.cast("double").alias("v"))
-    frames = []
-    if prob is not None:
-        frames.append(pixels(prob, "p", F.col("p")))
-    if canopy is not None:
-        green = canopy.groupBy("tile").agg(F.max("green_frac").alias("g")).withColumns({"y": F.lit(0), "x": F.lit(0)})
-        frames += [pixels(canopy.filter("dense"), "c", F.lit(1.0)), pixels(green, "s", F.col("g"))]
-    seen, has_prob = frames[0], prob is not None
-    for more in frames[1:]:
-        seen = seen.unionByName(more)
-
-    def both(key, pdf, px):
-        part = {k: g for k, g in px.groupby("t")}
-        has = "s" in part
-        dense = raster(part.get("c", px.iloc[:0]), bool) if has else None
-        soft = raster(part.get("p", px.iloc[:0]), float) if has_prob else None
-        return run(key[0], pdf, Evidence(dense, float(part["s"].v.iloc[0]) if has else 0.0, soft, wrap))
-
-    return rows.groupBy("tile").cogroup(_own(seen).groupBy("tile")).applyInPandas(both, BRIDGES)
+        made = []
+        if "g" in part:
+            n, e, g = part["n"], part["e"], part["g"]
+            ordered = list(zip(g.x, g.a, g.b.astype("int64"), g.traced.astype(bool), g.y))
+            made = settle(dict(zip(n.a, zip(n.x, n.y))), list(zip(e.a, e.b.astype("int64"))), ordered, gates)
+        return pd.DataFrame({"tile": [key[0]] * len(made), "a": [m[0] for m in made], "b": [m[1] for m in made]})
+
+    tiles = _own(found.select("tile").distinct())
+    pool = _own(rows).unionByName(at.unionByName(lines).join(tiles, "tile", "left_semi"))
+    made = pool.groupBy("tile").applyInPandas(run, f"tile {kind}, a long, b long")
+    return _own(found).join(_own(made), ["tile", "a", "b"]).select(
+        "tile", F.col("a").alias("u"), F.col("b").alias("v"), "weight", "heal_kind", "conf", F.round(F.greatest("over", F.lit(0.0)), 3).alias("canopy_frac"),
+        F.when(F.col("evidence") >= 0, F.round("evidence", 3)).alias("evidence"), F.when(F.col("traced"), F.col("pts")).alias("pts"),
+    )
