@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwright.functions.raster_kernels import cost_path
 from meshwright.operators.network import _own, gap_pairs, linked_nodes
+from meshwright.planning.lineage import materialise
 
 
 @dataclass(frozen=True)
@@ -246,7 +247,7 @@ def heal(
     give no row. Without ``prob`` and ``canopy`` the decision is geometric. Candidates reach to the
     wider gap where there is canopy; a tile that ``canopy`` lacks stays strict.
     """
-    found = candidates(nodes, edges, gates, prob, size, canopy, wrap)
+    found = materialise(candidates(nodes, edges, gates, prob, size, canopy, wrap), "gaps")  # read by the pass and by its result
     nothing = lambda kind: F.lit(None).cast(kind)
     rows = found.select("tile", F.lit("g").alias("t"), "a", "b", F.col("dist").alias("x"), F.col("angle").alias("y"), "traced")
     at = nodes.join(linked_nodes(edges), ["tile", "id"], "left_semi").select(

@@ -72,28 +72,45 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def all_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tile, s, n, d) of every ordered pair with a path, s itself included."""
+    """(tile, s, n, d) of every ordered pair with a path, s itself included (of the active sources only)."""
 
     def run(tile, sources, ids, e):
         g = TileGraph(ids, e.u, e.v, e.w)
-        parts = []
-        for s in sources:
-            d = np.array(g.from_source(int(np.searchsorted(g.ids, s)))[0])
-            at = np.flatnonzero(np.isfinite(d))
-            parts.append(pd.DataFrame({"tile": tile, "s": s, "n": g.ids[at], "d": d[at].astype(np.int64)}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["tile", "s", "n", "d"])
+        at = np.searchsorted(g.ids, sources)
+        d = g.distances(at)
+        row, column = np.nonzero(np.isfinite(d))
+        return pd.DataFrame({"tile": tile, "s": g.ids[at[row]], "n": g.ids[column], "d": d[row, column].astype(np.int64)})
 
     return per_source_block(nodes, edges, run, "tile int, s long, n long, d long")
 
 
-def efficiency(pairs: DataFrame, nodes: DataFrame, unit: float = 1000.0) -> DataFrame:
+def inverse_sums(nodes: DataFrame, edges: DataFrame, unit: float = 1000.0) -> DataFrame:
+    """(tile, t): the sum of ``unit`` / distance over ordered pairs with a path; one row leaves a block of sources."""
+
+    def run(tile, sources, ids, e):
+        g = TileGraph(ids, e.u, e.v, e.w)
+        return pd.DataFrame({"tile": [tile], "part": [g.inverse_sum(np.searchsorted(g.ids, sources), None, unit)]})
+
+    parts = per_source_block(nodes, edges, run, "tile int, part double")
+    return parts.groupBy("tile").agg(F.sum("part").alias("t"))
+
+
+def mean_inverse(nodes: DataFrame, edges: DataFrame, unit: float = 1000.0) -> DataFrame:
     """(tile, n, eff): mean inverse distance over ordered pairs of the tile's nodes."""
+    return _mean(nodes, inverse_sums(nodes, edges, unit))
+
+
+def _mean(nodes: DataFrame, total: DataFrame) -> DataFrame:
     size = nodes.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.filter("d > 0").groupBy("tile").agg(F.sum(F.lit(unit) / F.col("d")).alias("t"))
     value = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.coalesce("t", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1)))
     return size.join(total, "tile", "left").select("tile", "n", value.alias("eff"))
 
 
+def efficiency(pairs: DataFrame, nodes: DataFrame, unit: float = 1000.0) -> DataFrame:
+    """(tile, n, eff) from the distances of all pairs, where those are at hand anyway."""
+    return _mean(nodes, pairs.filter("d > 0").groupBy("tile").agg(F.sum(F.lit(unit) / F.col("d")).alias("t")))
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, seed: int = 42, exact: int = 0) -> tuple[DataFrame, DataFrame]:
     """Node (tile, id, bc) and edge (tile, u, v, bc) betweenness.
 
@@ -236,8 +253,34 @@ def without(edges: DataFrame, disabled: DataFrame) -> DataFrame:
 def what_if(nodes: DataFrame, edges: DataFrame, disabled: DataFrame) -> DataFrame:
     """Per tile: efficiency before and after closing nodes, and their ratio (0 where there was none)."""
     left = nodes.join(disabled.select("tile", "id").distinct(), ["tile", "id"], "left_anti")
-    base = efficiency(all_pairs(nodes, edges), nodes).select("tile", "n", F.col("eff").alias("base"))
-    after = all_pairs(left, without(edges, disabled)).filter("d > 0").groupBy("tile").agg(F.sum(1000.0 / F.col("d")).alias("t"))
+    base = mean_inverse(nodes, edges).select("tile", "n", F.col("eff").alias("base"))
+    after = inverse_sums(left, without(edges, disabled))
     eff = F.when(F.col("n") > 1, F.coalesce("t", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
     out = base.join(after, "tile", "left").withColumn("eff", eff)
     return out.select("tile", F.round("base", 8).alias("base_eff"), F.round("eff", 8).alias("eff"), F.round(F.when(F.col("base") > 0, F.col("eff") / F.col("base")).otherwise(0.0), 3).alias("r"))
+
+
+def stride_pairs(nodes: DataFrame, edges: DataFrame, samples: int = 40) -> DataFrame:
+    """(tile, s, t): every k-th of a tile's reachable pairs s < t in order, k a ``samples``-th of their number.
+
+    Pairs are counted, never listed: a source has as many as its component has later nodes.
+    """
+
+    def run(tile, n, e):
+        g = TileGraph(n.id, e.u, e.v, e.w)
+        comp = g.components()
+        members = {c: np.flatnonzero(comp == c) for c in np.unique(comp)}
+        rank = np.empty(g.n, np.int64)
+        later = np.empty(g.n, np.int64)
+        for who in members.values():
+            rank[who] = np.arange(len(who))
+            later[who] = len(who) - 1 - np.arange(len(who))
+        ends = np.cumsum(later)
+        total = int(ends[-1]) if g.n else 0
+        picked = np.arange(0, total, max(1, total // samples))
+        s = np.searchsorted(ends, picked, side="right")
+        nth = picked - (ends[s] - later[s])
+        t = [members[comp[a]][rank[a] + 1 + k] for a, k in zip(s.tolist(), nth.tolist())]
+        return pd.DataFrame({"tile": tile, "s": g.ids[s], "t": g.ids[np.array(t, np.int64)]})
+
+    return per_tile(nodes, edges, run, "tile int, s long, t long")

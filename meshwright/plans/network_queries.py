@@ -8,6 +8,7 @@ from pyspark.sql import Window as W, functions as F
 from meshwright.functions.paths import TileGraph
 from meshwright.operators import network as N
 from meshwright.operators.ranges import nearest
+from meshwright.planning.lineage import materialise
 from meshwright.plans.fixtures import APSP_SQL, NODES_SQL, edges, edges_sql, nodes
 from meshwright.sources.tables import table
 
@@ -101,7 +102,7 @@ def g_apsp(spark, folder):
 @query("g_eff", _AP + _TILE + " SELECT tile, any_value(size.n) AS n, round(sum(CASE WHEN d > 0 THEN 1000.0::DOUBLE/d END)/(any_value(size.n)*(any_value(size.n)-1)), 8) AS eff FROM ap JOIN home ON home.id = ap.s JOIN size USING (tile) GROUP BY tile")
 def g_eff(spark, folder):
     n, e = _graph(spark, folder)
-    return N.efficiency(N.all_pairs(n, e), n).select("tile", "n", F.round("eff", 8).alias("eff"))
+    return N.mean_inverse(n, e).select("tile", "n", F.round("eff", 8).alias("eff"))
 
 
 @query("g_sssp", _AP + _TILE + " SELECT tile, n AS id, d FROM ap JOIN (SELECT tile, min(id) AS s FROM home GROUP BY 1) USING (s)")
@@ -284,45 +285,50 @@ def whatif_resilience(spark, folder):
 QUERIES["g_whatif"], SQL["g_whatif"] = whatif_resilience, SQL["whatif_resilience"]
 
 
-@query("g_cached_curve", _AP + _CLOSED + _EFFS + " SELECT tile, CASE WHEN tile % 2 = 0 THEN 1.0::DOUBLE ELSE round(coalesce(t,0)/(n*(n-1))/base, 3) END AS r FROM b LEFT JOIN f USING (tile)")
+@query("g_cached_curve", _AP + _CLOSED + _EFFS + " SELECT tile, CASE WHEN tile % 2 = 0 THEN round((tile % 10)/10.0::DOUBLE, 1) ELSE round(coalesce(t,0)/(n*(n-1))/base, 3) END AS r FROM b LEFT JOIN f USING (tile)")
 def g_cached_curve(spark, folder):
-    """A stored value where there is one, else the recomputed one."""
+    """A stored value where there is one (here: for even tiles); only the other tiles are computed."""
     n, e = _graph(spark, folder)
-    stored = n.select("tile").distinct().filter("tile % 2 = 0").withColumn("kept", F.lit(1.0))
-    return N.what_if(n, e, _closed(n)).join(stored, "tile", "left").select("tile", F.coalesce("kept", "r").alias("r"))
+    stored = n.select("tile").distinct().filter("tile % 2 = 0").select("tile", F.round((F.col("tile") % 10) / 10.0, 1).alias("r"))
+    open_ = n.join(stored, "tile", "left_anti")
+    fresh = N.what_if(open_, e.join(stored, "tile", "left_anti"), _closed(open_)).select("tile", "r")
+    return stored.unionByName(fresh)
 
 
-_PAIRS = """, k AS (SELECT id, tile, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY tile) AS n FROM home),
-pr AS (SELECT a.tile, a.id AS s, b.id AS t FROM k a JOIN k b ON a.tile = b.tile AND b.i > a.i WHERE a.i % greatest(1, a.n//8) = 0 AND b.i % greatest(1, b.n//8) = 0)"""
+#: Every k-th of the reachable pairs s < t in order, k a fortieth of their number (at least 1).
+_PAIRS = """, al AS (SELECT tile, s, n AS t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY tile) AS k FROM ap JOIN home ON home.id = ap.s WHERE n > s WINDOW w AS (PARTITION BY tile ORDER BY s, n)),
+pr AS (SELECT tile, s, t FROM al WHERE i % greatest(1, k//40) = 0)"""
 
 
-def _sector(n):
-    w = W.partitionBy("tile")
-    k = n.withColumn("i", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    k = k.filter(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / 8)) == 0)
-    a, b = k.select("tile", F.col("id").alias("s"), F.col("i").alias("ia")), k.select("tile", F.col("id").alias("t"), F.col("i").alias("ib"))
-    return a.join(b, "tile").filter("ib > ia").select("tile", "s", "t")
-
-
-@query("g_sector", f"WITH {edges_sql()}, e2 AS (SELECT tile, u, v FROM ed UNION ALL SELECT tile, v, u FROM ed), home AS (SELECT DISTINCT u AS id, tile FROM e2)" + _PAIRS + " SELECT * FROM pr")
+@query("g_sector", _AP + _TILE + _PAIRS + " SELECT * FROM pr")
 def g_sector(spark, folder):
-    """Sample pairs at an even stride: at most nine nodes a tile."""
-    return _sector(_graph(spark, folder)[0])
+    """Sample routes of each tile: 40 to 79 of its reachable pairs, at an even stride."""
+    return N.stride_pairs(*_graph(spark, folder))
 
 
-@query("g_travel", _AP + _CLOSED + _PAIRS + """ SELECT pr.tile, count(*) AS routes, count(*) FILTER (WHERE aq.d IS NULL) AS severed, round(avg(aq.d*1.0::DOUBLE/ap.d - 1), 6) AS delay
+@query("g_travel", _AP + _CLOSED + _PAIRS + """ SELECT pr.tile, count(*) AS routes, count(*) FILTER (WHERE aq.d IS NULL) AS severed, CAST(floor(100.0::DOUBLE*count(*) FILTER (WHERE aq.d IS NULL)/count(*) + 0.5) AS BIGINT) AS cut_pct, round(coalesce(avg(aq.d*1.0::DOUBLE/ap.d - 1), 0), 6) AS delay
  FROM pr JOIN ap ON ap.s = pr.s AND ap.n = pr.t LEFT JOIN aq ON aq.s = pr.s AND aq.n = pr.t GROUP BY 1""")
 def g_travel(spark, folder):
-    """Mean relative delay on open routes, and routes cut, after closing nodes."""
+    """Routes, routes cut, their share, and the mean relative delay on open ones, after closing nodes.
+
+    Only the sampled sources are routed from.
+    """
     n, e = _graph(spark, folder)
-    pairs, gone = _sector(n), _closed(n)
+    gone = _closed(n)
+    pairs = materialise(N.stride_pairs(n, e), "routes")
+    starts = pairs.select("tile", F.col("s").alias("id")).distinct().withColumn("active", F.lit(True))
+
+    def routed(nodes_, edges_, name):
+        own = nodes_.select("tile", "id").join(starts, ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        return N.all_pairs(own, edges_).select("tile", "s", F.col("n").alias("t"), F.col("d").alias(name))
+
     left = n.join(gone, ["tile", "id"], "left_anti")
-    d0 = N.all_pairs(n, e).select("tile", "s", F.col("n").alias("t"), F.col("d").alias("d0"))
-    d1 = N.all_pairs(left, N.without(e, gone)).select("tile", "s", F.col("n").alias("t"), F.col("d").alias("d1"))
-    both = pairs.join(d0, ["tile", "s", "t"]).join(d1, ["tile", "s", "t"], "left")
+    both = pairs.join(routed(n, e, "d0"), ["tile", "s", "t"]).join(routed(left, N.without(e, gone), "d1"), ["tile", "s", "t"], "left")
+    cut = F.count_if(F.col("d1").isNull())
     return both.groupBy("tile").agg(
-        F.count(F.lit(1)).alias("routes"), F.count_if(F.col("d1").isNull()).alias("severed"), F.round(F.avg(F.col("d1") / F.col("d0") - 1), 6).alias("delay")
-    )
+        F.count(F.lit(1)).alias("routes"), cut.alias("severed"), F.floor(F.lit(100.0) * cut / F.count(F.lit(1)) + 0.5).cast("long").alias("cut_pct"),
+        F.round(F.coalesce(F.avg(F.col("d1") / F.col("d0") - 1), F.lit(0.0)), 6).alias("delay"),
+    )
 
 
 @query("g_od", _AP + _BC + _RANK + """, top AS (SELECT tile, id FROM r WHERE rnk = 1) SELECT top.tile, a.s AS src, b.n AS dst, top.id AS through, st.d AS length FROM top JOIN ap a ON a.n = top.id JOIN ap b ON b.s = top.id JOIN ap st ON st.s = a.s AND st.n = b.n

@@ -87,7 +87,10 @@ def test_ablation_on_a_grid():
     curve = [row[3] for row in ablate(g, 5)]
     assert curve[0] == 1 and all(0 <= r <= 1 for r in curve) and curve == sorted(curve, reverse=True)
     wet = flood(g, np.arange(16.0), 12, 2, 88)
-    assert len(wet) == 13 and wet[0][3] == 1 and wet[-1][2] > wet[1][2]
+    # the dry step stands for the lowest of the 12 levels
+    assert len(wet) == 12 and wet[0][3] == 1 and wet[-1][2] > wet[1][2]
+    levels = np.linspace(np.percentile(np.arange(16.0), 2), np.percentile(np.arange(16.0), 88), 12)
+    assert [r[1] for r in wet] == [round(float(x), 1) for x in levels]
 
 
 def test_betweenness_by_enumeration():
@@ -116,6 +119,38 @@ def test_betweenness_by_enumeration():
     assert g.node_betweenness() == pytest.approx(score / ((n - 1) * (n - 2)))
 
 
+def random_graph(seed, n=40, share=0.08):
+    rng = np.random.default_rng(seed)
+    pairs = [p for p in itertools.combinations(range(n), 2) if rng.random() < share]
+    return TileGraph(range(n), [a for a, _ in pairs], [b for _, b in pairs], rng.integers(1, 9, len(pairs)).astype(float))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_distances_of_all_sources_at_once(seed):
+    g = random_graph(seed)
+    gone = np.random.default_rng(seed).random(g.n) < 0.2
+    for closed in (None, gone):
+        want = np.array([g.from_source(s, closed)[0] for s in range(g.n)])
+        assert (g.distances(np.arange(g.n), closed) == want).all()
+        assert (g.distances(np.arange(g.n), closed, rounds=2) == want).all()
+    assert TileGraph([1, 2], [], [], []).distances([0]).tolist() == [[0.0, float("inf")]]
+
+
+def test_sampled_betweenness_scales_up():
+    g = random_graph(3, 60, 0.15)
+    assert g.node_betweenness(None, 20, 100) == pytest.approx(list(g.node_betweenness()))
+    assert np.corrcoef(g.node_betweenness(None, 40, 10), g.node_betweenness())[0, 1] > 0.8
+
+
+def test_stride_pairs(spark):
+    edges = [(1, k, k + 1, 1) for k in range(14)] + [(1, 20, 21, 1), (2, 0, 1, 1), (3, 5, 6, 1)]
+    e = spark.createDataFrame(edges, "tile int, u long, v long, w long")
+    n = N.linked_nodes(e).unionByName(spark.createDataFrame([(2, 9)], "tile int, id long"))
+    got = sorted(map(tuple, N.stride_pairs(n, e, 10).collect()))
+    every = [(1, s, t) for s in range(15) for t in range(s + 1, 15)] + [(1, 20, 21)]
+    assert got == sorted(every[:: max(1, len(every) // 10)] + [(2, 0, 1), (3, 5, 6)])
+
+
 def test_coverage_perfect_and_disjoint(spark):
     rows = [(1, y, x) for y in range(30, 33) for x in range(64)]
     far = [(1, y, x) for y in range(50, 53) for x in range(64)]
