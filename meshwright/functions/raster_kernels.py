@@ -35,13 +35,13 @@ def dilate(mask: np.ndarray, offsets) -> np.ndarray:
     return np.logical_or.reduce([_moved(mask, dy, dx) for dy, dx in offsets])
 
 
-def erode(mask: np.ndarray, offsets) -> np.ndarray:
-    """Pixels outside count as empty, so a rim is lost."""
-    return np.logical_and.reduce([_moved(mask, -dy, -dx) for dy, dx in offsets])
+def erode(mask: np.ndarray, offsets, outside: bool = False) -> np.ndarray:
+    """Pixels all of whose offsets are set. Places outside count as empty, so a rim is lost, or as set."""
+    return np.logical_and.reduce([_moved(mask, -dy, -dx, outside) for dy, dx in offsets])
 
 
-def close(mask: np.ndarray, offsets) -> np.ndarray:
-    return erode(dilate(mask, offsets), offsets)
+def close(mask: np.ndarray, offsets, outside: bool = False) -> np.ndarray:
+    return erode(dilate(mask, offsets), offsets, outside)
 
 
 def label(mask: np.ndarray, steps=FOUR) -> np.ndarray:

@@ -50,10 +50,10 @@ def channels(spec: list[str], r: Column, g: Column, b: Column, nir: Column | Non
 
 
 def channel_norm(spec: list[str]) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """Mean and deviation per channel: those of RGB for exactly r, g, b, else a half each."""
-    if list(spec) == ["r", "g", "b"]:
-        return RGB_MEAN, RGB_STD
-    return (0.5,) * len(spec), (0.5,) * len(spec)
+    """Mean and deviation of each channel: that of its colour for r, g and b, a half for any other."""
+    known = {c: (m, d) for c, m, d in zip("rgb", RGB_MEAN, RGB_STD)}
+    pairs = [known.get(c, (0.5, 0.5)) for c in spec]
+    return tuple(m for m, _ in pairs), tuple(d for _, d in pairs)
 
 
 def normalise(v: Column, mean: float, std: float) -> Column:
@@ -93,8 +93,7 @@ def aligned(px, py, pa, qx, qy, qa, tolerance: float, corridor: float = 16.0) ->
     inside = (F.coalesce(line_offset(px, py, pa, qx, qy), F.lit(0.0)) <= corridor) & (
         F.coalesce(line_offset(qx, qy, qa, px, py), F.lit(0.0)) <= corridor
     )
-    turned = F.coalesce(angle_between(pa, qa), F.lit(0.0)) <= tolerance
-    return straight | (inside & turned)
+    return straight | inside
 
 
 def polyline_length(points: Column) -> Column:
@@ -108,18 +107,19 @@ def polyline_length(points: Column) -> Column:
 
 
 def thin_points(points: Column, most: int = 16) -> Column:
-    """At most ``most`` points, evenly by index, first and last kept."""
+    """At most ``most`` points, evenly by index, first and last kept, from (row, column) to [x, y] with one digit."""
     n = F.size(points)
-    picked = F.transform(
-        F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(points, F.floor(i * (n - 1) / (most - 1)).cast("int") + 1)
-    )
-    return F.when(n <= most, points).otherwise(picked)
+    step = (n - 1) / F.lit(float(most - 1))
+    index = lambda i: F.when(i == most - 1, n - 1).otherwise(F.floor(i * step).cast("int"))
+    picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(points, index(i) + 1))
+    kept = F.when(n <= most, points).otherwise(picked)
+    return F.transform(kept, lambda p: F.array(F.bround(p[1], 1), F.bround(p[0], 1)))
 
 
 def every_step(points: Column, parts: int = 12) -> Column:
-    """Every k-th vertex, k being a twelfth of the count, at least 1."""
+    """Every k-th [lat, lng] vertex to six digits, k being a twelfth of the count, at least 1."""
     step = F.greatest(F.floor(F.size(points) / parts), F.lit(1))
-    return F.filter(points, lambda p, i: i % step == 0)
+    return F.transform(F.filter(points, lambda p, i: i % step == 0), lambda p: F.array(F.bround(p[0], 6), F.bround(p[1], 6)))
 
 
 def sampled_sources(n: Column) -> Column:

@@ -24,15 +24,21 @@ def dilate(px: DataFrame, pairs, size: int | None = None) -> DataFrame:
     return out.distinct()
 
 
-def erode(px: DataFrame, pairs) -> DataFrame:
-    """Pixels all of whose offsets are set; outside is empty."""
+def erode(px: DataFrame, pairs, size: int | None = None) -> DataFrame:
+    """Pixels all of whose offsets are set. Outside is empty, or, with ``size``, set: then only the
+    offsets inside the raster count, and a mask keeps its rim."""
     pairs = list(pairs)
     hits = px.select("tile", "y", "x", _offsets(pairs).alias("o")).select("tile", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"))
-    return hits.groupBy("tile", "y", "x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(pairs)).select("tile", "y", "x")
+    needed = F.lit(len(pairs))
+    if size:
+        hits = hits.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1))
+        inside = lambda dy, dx: (F.col("y") + dy).between(0, size - 1) & (F.col("x") + dx).between(0, size - 1)
+        needed = sum((inside(dy, dx).cast("int") for dy, dx in pairs), F.lit(0))
+    return hits.groupBy("tile", "y", "x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == needed).select("tile", "y", "x")
 
 
-def close(px: DataFrame, pairs, size: int | None = None) -> DataFrame:
-    return erode(dilate(px.select("tile", "y", "x"), pairs, size), pairs)
+def close(px: DataFrame, pairs, size: int | None = None, keep_rim: bool = False) -> DataFrame:
+    return erode(dilate(px.select("tile", "y", "x"), pairs, size), pairs, size if keep_rim else None)
 
 
 def windows(size: int, window: int, step: int) -> list[int]:

@@ -127,10 +127,14 @@ def ras_dilate(spark, folder):
 _CL = "c AS (SELECT tile, y-dy AS y, x-dx AS x FROM d, {0} GROUP BY 1, 2, 3 HAVING count(*) = {1})"
 
 
-@query("ras_close", f"{_M}, {_D.format(_values(K.ellipse(2)))}, {_CL.format(_values(K.ellipse(2)), len(K.ellipse(2)))} SELECT * FROM c")
+#: A pixel stays unless one of its offsets is an unset place of the raster: the border takes nothing away.
+_OPEN_RIM = "c AS (SELECT DISTINCT tile, y, x FROM d EXCEPT SELECT d.tile, d.y, d.x FROM d, {0} LEFT JOIN d e ON e.tile = d.tile AND e.y = d.y+dy AND e.x = d.x+dx WHERE d.y+dy BETWEEN 0 AND 63 AND d.x+dx BETWEEN 0 AND 63 AND e.tile IS NULL)"
+
+
+@query("ras_close", f"{_M}, {_D.format(_values(K.ellipse(2)))}, {_OPEN_RIM.format(_values(K.ellipse(2)))} SELECT * FROM c")
 def ras_close(spark, folder):
-    """Closing by the 5 x 5 ellipse; outside is empty."""
-    return R.close(_mask(spark, folder), K.ellipse(2), SIZE)
+    """Closing by the 5 x 5 ellipse; the border is neutral, so the mask is kept up to its rim."""
+    return R.close(_mask(spark, folder), K.ellipse(2), SIZE, keep_rim=True)
 
 
 _SPARSE = f"{_P}, m AS (SELECT tile, y, x FROM px WHERE p > 0.72)"
@@ -231,21 +235,22 @@ def ras_polywide(spark, folder):
     return R.dilate(R.draw(_segments(spark, folder)), K.ellipse(2), SIZE)
 
 
-@query("ras_sample", f"{_P}, {NODES_SQL} SELECT nd.tile, id, px.p FROM nd LEFT JOIN px ON px.tile = 1995 AND px.y = least(greatest(nd.y, 0), 63) AND px.x = least(greatest(nd.x, 0), 63)")
+@query("ras_sample", f"{_P}, {NODES_SQL} SELECT nd.tile, id, px.p FROM nd LEFT JOIN px ON px.tile = 1992 + nd.tile % 7 AND px.y = least(greatest(nd.y, 0), 63) AND px.x = least(greatest(nd.x, 0), 63)")
 def ras_sample(spark, folder):
-    """The raster's value at each node's clipped pixel."""
-    p = probability(spark, folder).filter("tile = 1995").select("y", "x", "p")
+    """The value of each tile's raster at each of its nodes' clipped pixel (seven years serve the tiles in turn)."""
+    p = probability(spark, folder).withColumnRenamed("tile", "year")
     clip = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(SIZE - 1)).cast("int").alias(c)
-    return nodes(spark, folder).select("tile", "id", clip("y"), clip("x")).join(p, ["y", "x"], "left").select("tile", "id", "p")
+    at = nodes(spark, folder).select("tile", (F.col("tile") % 7 + 1992).alias("year"), "id", clip("y"), clip("x"))
+    return at.join(p, ["year", "y", "x"], "left").select("tile", "id", "p")
 
 
-@query("ras_overlap", f"{_SEG}, {PX_SQL}, smp AS (SELECT tile, id, CAST(trunc(x0+(x1-x0)*i/31.0::DOUBLE) AS INTEGER) AS x, CAST(trunc(y0+(y1-y0)*i/31.0::DOUBLE) AS INTEGER) AS y FROM (SELECT *, unnest(range(0, 32)) AS i FROM sg)) SELECT smp.tile, id, round(avg(CASE WHEN p > 0.55 THEN 1.0::DOUBLE ELSE 0 END), 6) AS overlap FROM smp LEFT JOIN px ON px.tile = 1995 AND px.y = smp.y AND px.x = smp.x GROUP BY 1, 2")
+@query("ras_overlap", f"{_SEG}, {PX_SQL}, smp AS (SELECT tile, id, CAST(trunc(x0+(x1-x0)*i/31.0::DOUBLE) AS INTEGER) AS x, CAST(trunc(y0+(y1-y0)*i/31.0::DOUBLE) AS INTEGER) AS y FROM (SELECT *, unnest(range(0, 32)) AS i FROM sg)) SELECT smp.tile, id, round(avg(CASE WHEN p > 0.55 THEN 1.0::DOUBLE ELSE 0 END), 6) AS overlap FROM smp LEFT JOIN px ON px.tile = 1992 + smp.tile % 7 AND px.y = smp.y AND px.x = smp.x GROUP BY 1, 2")
 def ras_overlap(spark, folder):
-    """Share of 32 samples along a segment that lie on the mask."""
-    m = _mask(spark, folder).filter("tile = 1995").select("y", "x", F.lit(1.0).alias("on"))
+    """Share of 32 samples along a segment that lie on its tile's mask."""
+    m = _mask(spark, folder).select(F.col("tile").alias("year"), "y", "x", F.lit(1.0).alias("on"))
     s = _segments(spark, folder).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31))))
     at = lambda a, b: (F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / 31.0).cast("int")
-    s = s.select("tile", "id", at("x0", "x1").alias("x"), at("y0", "y1").alias("y")).join(m, ["y", "x"], "left")
+    s = s.select("tile", (F.col("tile") % 7 + 1992).alias("year"), "id", at("x0", "x1").alias("x"), at("y0", "y1").alias("y")).join(m, ["year", "y", "x"], "left")
     return s.groupBy("tile", "id").agg(F.round(F.avg(F.coalesce("on", F.lit(0.0))), 6).alias("overlap"))
 
 

@@ -85,8 +85,8 @@ SQL["channels"] = SQL["channels"].replace(
     WHEN greatest(r,g,b)=g THEN 120+60*(b-r)/(greatest(r,g,b)-least(r,g,b))::DOUBLE ELSE 240+60*(r-g)/(greatest(r,g,b)-least(r,g,b))::DOUBLE END AS h0 FROM (SELECT *,"""
 ) + ")"
 _add("chan_norm", *_lines(
-    lambda: {"rgb_mean": F.lit(S.channel_norm(["r", "g", "b"])[0][0]), "rgb_std": F.lit(S.channel_norm(["r", "g", "b"])[1][0]), "own_mean": F.lit(S.channel_norm(["r", "exg"])[0][0])},
-    "0.485::DOUBLE AS rgb_mean, 0.229::DOUBLE AS rgb_std, 0.5::DOUBLE AS own_mean",
+    lambda: {"rgb_mean": F.lit(S.channel_norm(["r", "g", "b"])[0][0]), "rgb_std": F.lit(S.channel_norm(["r", "g", "b"])[1][0]), "own_mean": F.lit(S.channel_norm(["r", "exg"])[0][0]), "extra_mean": F.lit(S.channel_norm(["r", "exg"])[0][1]), "blue_std": F.lit(S.channel_norm(["hue", "b"])[1][1])},
+    "0.485::DOUBLE AS rgb_mean, 0.229::DOUBLE AS rgb_std, 0.485::DOUBLE AS own_mean, 0.5::DOUBLE AS extra_mean, 0.225::DOUBLE AS blue_std",
 ))
 _add("normalise", *_lines(lambda: {"z": F.round(S.normalise(c.r, S.RGB_MEAN[0], S.RGB_STD[0]), 6)}, "round((r/255.0::DOUBLE - 0.485)/0.229, 6) AS z"))
 _add("denorm", *_lines(lambda: {"z": F.round(S.denormalise((c.r - 128) / 32.0, S.RGB_MEAN[0], S.RGB_STD[0]), 6)}, "round(least(greatest((r-128)/32.0::DOUBLE*0.229 + 0.485, 0.0), 1.0), 6) AS z"))
@@ -100,10 +100,10 @@ _add("line_offset", *_lines(
 _add("aligned", *_lines(
     lambda: {"ok": S.aligned(F.lit(0.0), F.lit(0.0), F.when(c.r > 10, c.r * 0.7), c.g - 128.0, c.b - 128.5, F.when(c.g > 10, c.b * 0.7), 35.0)},
     """(coalesce(least(d1,180-d1),0) <= 35 AND coalesce(least(d2,180-d2),0) <= 35) OR (coalesce(abs(qx*sin(radians(pa)) - qy*cos(radians(pa))),0) <= 16
-    AND coalesce(abs(qx*sin(radians(qa)) - qy*cos(radians(qa))),0) <= 16 AND coalesce(least(d3,180-d3),0) <= 35) AS ok""",
+    AND coalesce(abs(qx*sin(radians(qa)) - qy*cos(radians(qa))),0) <= 16) AS ok""",
 ))
 SQL["aligned"] = SQL["aligned"].replace(
-    "FROM (SELECT *,", """FROM (SELECT *, ((pa-gap)%180+180)%180 AS d1, ((qa-gap)%180+180)%180 AS d2, ((pa-qa)%180+180)%180 AS d3 FROM (SELECT *, ((degrees(atan2(qy,qx))%180)+180)%180 AS gap FROM (
+    "FROM (SELECT *,", """FROM (SELECT *, ((pa-gap)%180+180)%180 AS d1, ((qa-gap)%180+180)%180 AS d2 FROM (SELECT *, ((degrees(atan2(qy,qx))%180)+180)%180 AS gap FROM (
     SELECT *, CASE WHEN r>10 THEN (r*0.7)::DOUBLE END AS pa, CASE WHEN g>10 THEN (b*0.7)::DOUBLE END AS qa, (g-128.0)::DOUBLE AS qx, (b-128.5)::DOUBLE AS qy FROM (SELECT *,"""
 ) + ")))"
 _add("auto_k", *_lines(lambda: {"k": S.sampled_sources(c.r * 3)}, "CASE WHEN r*3 <= 450 THEN NULL ELSE least(r*3, 350) END AS k"))
@@ -129,11 +129,31 @@ _PTS = """(SELECT DISTINCT doc_key, i, pts FROM (SELECT doc_key, i, e.pts AS pts
  WHERE pts IS NOT NULL AND len(list_filter(pts, lambda p: p IS NULL OR len(p) < 2 OR p[1] IS NULL OR p[2] IS NULL)) = 0)"""
 _add("polyline_len", _docs(lambda: {"length": F.round(S.polyline_length(c.pts), 4)}), f"""SELECT doc_key, i, CASE WHEN len(pts) < 2 THEN 1.0::DOUBLE ELSE
  round(list_sum(list_transform(range(1, len(pts)), lambda k: sqrt(power(pts[k+1][1]-pts[k][1],2)+power(pts[k+1][2]-pts[k][2],2)))), 4) END AS length FROM {_PTS}""")
-_add("downsample", _docs(lambda: {"kept": F.size(S.thin_points(c.pts, 4)).cast("long"), "last": F.element_at(S.thin_points(c.pts, 4), -1)[0], "second": F.try_element_at(S.thin_points(c.pts, 4), F.lit(2))[0]}), f"""SELECT doc_key, i, CAST(least(len(pts), 4) AS BIGINT) AS kept,
- pts[len(pts)][1] AS "last", CASE WHEN len(pts) <= 4 THEN pts[2][1] ELSE pts[CAST(floor((len(pts)-1)/3) AS BIGINT)+1][1] END AS second FROM {_PTS} WHERE len(pts) > 0""")
-_base_down = QUERIES["downsample"]
-QUERIES["downsample"] = lambda spark, folder: _base_down(spark, folder).filter("kept > 0")
-_add("ll_step", _docs(lambda: {"kept": F.size(S.every_step(c.pts, 3)).cast("long")}), f"SELECT doc_key, i, CAST(ceil(len(pts)/greatest(floor(len(pts)/3), 1)) AS BIGINT) AS kept FROM {_PTS}")
+
+
+def downsample(spark, folder):
+    """Points of each drawn edge, thinned to 16, as x and y with one digit."""
+    t = _docs(lambda: {"kept": S.thin_points(c.pts)})(spark, folder)
+    return t.select("doc_key", "i", F.posexplode("kept").alias("j", "p")).select("doc_key", "i", F.col("j").cast("long").alias("j"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+_add("downsample", downsample, f"""WITH k AS (SELECT doc_key, i, pts, len(pts) AS n, unnest(range(0, least(len(pts), 16))) AS j FROM {_PTS}),
+ pk AS (SELECT doc_key, i, j, pts[CASE WHEN n <= 16 THEN j WHEN j = 15 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / 15.0::DOUBLE)) AS BIGINT) END + 1] AS p FROM k)
+ SELECT doc_key, i, j, round_even(p[2], 1) AS x, round_even(p[1], 1) AS y FROM pk""")
+
+
+def ll_step(spark, folder):
+    """Every k-th vertex of each reference line, k a twelfth of its vertices, to six digits."""
+    t = table(spark, folder, "export_web_geo").select("doc_key", "osm_lines").distinct().select("doc_key", F.posexplode("osm_lines").alias("i", "l"))
+    t = t.filter("l is not null and not exists(l, p -> p is null or size(p) < 2 or p[0] is null or p[1] is null)")
+    k = t.select("doc_key", F.col("i").cast("long").alias("i"), F.posexplode(S.every_step(F.col("l"))).alias("j", "p"))
+    return k.select("doc_key", "i", F.col("j").cast("long").alias("j"), F.col("p")[0].alias("lat"), F.col("p")[1].alias("lng"))
+
+
+_add("ll_step", ll_step, """WITH t AS (SELECT doc_key, unnest(osm_lines) AS l, CAST(generate_subscripts(osm_lines, 1) - 1 AS BIGINT) AS i FROM (SELECT DISTINCT doc_key, osm_lines FROM export_web_geo)),
+ k AS (SELECT doc_key, i, l, greatest(len(l) // 12, 1) AS s, unnest(range(0, len(l), greatest(len(l) // 12, 1))) AS v FROM t
+  WHERE l IS NOT NULL AND len(list_filter(l, lambda p: p IS NULL OR len(p) < 2 OR p[1] IS NULL OR p[2] IS NULL)) = 0)
+ SELECT doc_key, i, v // s AS j, round_even(l[v+1][1], 6) AS lat, round_even(l[v+1][2], 6) AS lng FROM k""")
 
 
 def bbox_intersects(spark, folder):
