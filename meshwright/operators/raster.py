@@ -70,6 +70,12 @@ def hysteresis(px: DataFrame, size: int, high: float, low: float) -> DataFrame:
     return per_tile_raster(px, size, lambda t, a: pixels(t, K.hysteresis(a, high, low)), PX, "p")
 
 
+def grown(px: DataFrame, size: int, seed, may) -> DataFrame:
+    """Pixels where ``may`` holds, of 4-connected regions that hold one where ``seed`` does too (conditions on ``px``)."""
+    coded = px.filter(may).select("tile", "y", "x", F.when(seed, 2.0).otherwise(1.0).alias("p"))
+    return hysteresis(coded, size, 2.0, 1.0)
+
+
 def skeletons(px: DataFrame, size: int, least: int = 80, square: int = 5) -> DataFrame:
     return per_tile_raster(px, size, lambda t, a: pixels(t, K.skeleton(a, least, square)), PX)
 

@@ -162,10 +162,18 @@ def ras_postproc(spark, folder):
     return R.without_small(R.close(_sparse(spark, folder), _SQ, SIZE), SIZE, 20)
 
 
-@query("ras_hyst", f"WITH RECURSIVE {PX_SQL}, m AS (SELECT tile, y, x FROM px WHERE p >= 0.6)" + _REG.format("m") + " SELECT tile, y, x FROM reg WHERE (tile, lab) IN (SELECT reg.tile, lab FROM reg JOIN px USING (tile, y, x) WHERE p >= 0.9)")
+#: Seed and growth thresholds, and the growth threshold under canopy.
+_HIGH, _LOW = 0.45, 0.23
+_CANOPY_LOW = round(max(0.08, _LOW - 0.08), 2)
+_CANOPY = f"c0 AS ({_COLOUR}), s0 AS (SELECT tile, greatest(12.0::DOUBLE, quantile_cont(exg, 0.78)) AS thr FROM c0 GROUP BY 1)"
+
+
+@query("ras_hyst", f"WITH RECURSIVE {PX_SQL}, {_CANOPY}, m AS (SELECT tile, y, x FROM c0 JOIN s0 USING (tile) WHERE p >= {_LOW} OR (p >= {_CANOPY_LOW} AND exg > thr))" + _REG.format("m") + f" SELECT tile, y, x FROM reg WHERE (tile, lab) IN (SELECT reg.tile, lab FROM reg JOIN px USING (tile, y, x) WHERE p >= {_HIGH})")
 def ras_hyst(spark, folder):
-    """Weak pixels of 4-connected regions that hold a strong one."""
-    return R.hysteresis(probability(spark, folder), SIZE, 0.9, 0.6)
+    """Weak pixels, weaker ones under canopy, of 4-connected regions that hold a strong one."""
+    dense = ras_canopy(spark, folder).select("tile", "y", "x", "dense")
+    p = probability(spark, folder).join(dense, ["tile", "y", "x"])
+    return R.grown(p, SIZE, F.col("p") >= _HIGH, (F.col("p") >= _LOW) | ((F.col("p") >= _CANOPY_LOW) & F.col("dense")))
 
 
 @query("ras_skel")
@@ -301,9 +309,19 @@ _THR = [round(0.2 + 0.025 * k, 3) for k in range(21)]
 _SWEEP = f"{_CELL}, sw AS (SELECT thr, {_RATIO} FROM (SELECT thr, {_CNT.format('p > thr')} FROM cell, (VALUES {', '.join(f'({t}::DOUBLE)' for t in _THR)}) t(thr) GROUP BY 1))"
 
 
+def by_threshold(scored, *keys):
+    """Counts tp, fp, fn of ``p`` > thr against ``g`` for every threshold: each pixel is counted once, by how
+    many thresholds lie below it, and the few counts are summed from above."""
+    above = F.size(F.filter(F.array(*map(F.lit, _THR)), lambda t: F.col("p") > t))
+    n = scored.groupBy(*keys, above.alias("above")).agg(F.count_if("g").alias("on"), F.count_if(~F.col("g")).alias("off"))
+    rows = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(_THR) - 1)))).withColumn("thr", F.element_at(F.array(*map(F.lit, _THR)), F.col("k") + 1))
+    over = F.col("above") > F.col("k")
+    pick = lambda c, on: F.sum(F.when(on, F.col(c)).otherwise(0))
+    return rows.groupBy(*keys, "thr").agg(pick("on", over).alias("tp"), pick("off", over).alias("fp"), pick("on", ~over).alias("fn"))
+
+
 def _sweep(spark, folder):
-    c = _cells(spark, folder).withColumn("thr", F.explode(F.array(*map(F.lit, _THR))))
-    return _ratios(c.groupBy("thr").agg(*_counts(F.col("p") > F.col("thr"))), "thr")
+    return _ratios(by_threshold(_cells(spark, folder)), "thr")
 
 
 @query("agg_sweep", _SWEEP + " SELECT * FROM sw")
@@ -357,16 +375,6 @@ def agg_hist(spark, folder):
     return probability(spark, folder).filter("p between 0 and 1").groupBy(F.least(F.floor(F.col("p") * 20), F.lit(19)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_BUCKET = "CASE WHEN iou >= 0.7 THEN 'good' WHEN iou >= 0.55 THEN 'fair' WHEN iou >= 0.4 THEN 'weak' ELSE 'poor' END"
-
-
-@query("agg_buckets", f"{_CELL.replace('AS tile, coalesce(p', 'AS tile, coalesce(px.y, gt.y) AS y, coalesce(p')}, t AS (SELECT tile, y, {_RATIO} FROM (SELECT tile, y, {_CNT.format('p > 0.5')} FROM cell GROUP BY 1, 2)) SELECT {_BUCKET} AS bucket, count(*) AS n FROM t GROUP BY 1")
-def agg_buckets(spark, folder):
-    """Rows of tiles by half-open quality buckets."""
-    t = _ratios(_cells(spark, folder).groupBy("tile", "y").agg(*_counts(F.col("p") > THR)), "tile", "y")
-    return t.groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("agg_running", f"{_CELL} SELECT round(sum(iou*k)/greatest(sum(k), 1), 6) AS mean FROM (SELECT tile, tp/(tp+fp+fn+1e-6) AS iou, k FROM (SELECT tile, count(*) AS k, {_CNT.format('p > 0.5')} FROM cell GROUP BY 1))")
 def agg_running(spark, folder):
     """Mean weighted by the number of cells."""
@@ -375,65 +383,6 @@ def agg_running(spark, folder):
     return t.agg(F.round(F.sum(iou * F.col("k")) / F.greatest(F.sum("k"), F.lit(1)), 6).alias("mean"))
 
 
-@query("agg_validate", f"{_CELL} SELECT round(-avg(CASE WHEN g THEN ln(greatest(p, 1e-6)) ELSE ln(greatest(1-p, 1e-6)) END), 6) AS loss, {_RATIO.replace('tp', 'any_value(tp)').replace('fp', 'any_value(fp)').replace('fn', 'any_value(fn)')} FROM cell, (SELECT {_CNT.format('p > 0.5')} FROM cell)")
-def agg_validate(spark, folder):
-    """Loss, IoU and Dice in one pass."""
-    p = F.col("p")
-    loss = F.when(F.col("g"), F.log(F.greatest(p, F.lit(1e-6)))).otherwise(F.log(F.greatest(1 - p, F.lit(1e-6))))
-    c = _cells(spark, folder).agg(*_counts(p > THR), F.round(-F.avg(loss), 6).alias("loss"))
-    return _ratios(c, "loss")
-
-
-@query("losses", f"{_CELL} SELECT round(1-(2*sum(p*g::INT)+1)/(sum(p)+sum(g::INT)+1), 6) AS soft_dice, round(-avg(CASE WHEN g THEN ln(greatest(p, 1e-6)) ELSE ln(greatest(1-p, 1e-6)) END), 6) AS bce, round(1-(sum(p*g::INT)+1)/(sum(p)+sum(g::INT)-sum(p*g::INT)+1), 6) AS soft_iou FROM cell")
-def losses(spark, folder):
-    """Values of the training losses (no gradients)."""
-    p, g = F.col("p"), F.col("g").cast("int")
-    both, sp, sg = F.sum(p * g), F.sum(p), F.sum(g)
-    bce = F.when(F.col("g"), F.log(F.greatest(p, F.lit(1e-6)))).otherwise(F.log(F.greatest(1 - p, F.lit(1e-6))))
-    return _cells(spark, folder).agg(
-        F.round(1 - (2 * both + 1) / (sp + sg + 1), 6).alias("soft_dice"), F.round(-F.avg(bce), 6).alias("bce"), F.round(1 - (both + 1) / (sp + sg - both + 1), 6).alias("soft_iou")
-    )
-
-
-_VOTE = f"{_PG}, {_MEMBERS}, ens AS (SELECT name, tile, y, x, p FROM (SELECT 'solo_' || k AS name, tile, y, x, p FROM mb UNION ALL SELECT 'vote', tile, y, x, avg(p) FROM mb GROUP BY tile, y, x))"
-
-
-@query("agg_ensemble", _VOTE + f" SELECT name, {_RATIO} FROM (SELECT name, {_CNT.format('p > 0.5')} FROM (SELECT name, p, gt.tile IS NOT NULL AS g FROM ens LEFT JOIN gt USING (tile, y, x)) GROUP BY 1)")
-def agg_ensemble(spark, folder):
-    """Each member alone and their vote, on the cells they score."""
-    m, k = _members(spark, folder), ["tile", "y", "x"]
-    every = m.select(F.concat(F.lit("solo_"), F.col("k")).alias("name"), *k, "p").unionByName(m.groupBy(*k).agg(F.avg("p").alias("p")).select(F.lit("vote").alias("name"), *k, "p"))
-    c = every.join(truth(spark, folder).withColumn("g", F.lit(True)), k, "left").withColumn("g", F.coalesce("g", F.lit(False)))
-    return _ratios(c.groupBy("name").agg(*_counts(F.col("p") > THR)), "name")
-
-
-@query("agg_greedy")
-def agg_greedy(spark, folder):
-    """Forward selection of members; one joins only on a strict gain. The loop is over members, not data."""
-    k = ["tile", "y", "x"]
-    wide = _members(spark, folder).groupBy(*k).pivot("k", [0, 1, 2]).agg(F.first("p")).join(truth(spark, folder).withColumn("g", F.lit(True)), k, "left")
-    wide = wide.withColumn("g", F.coalesce("g", F.lit(False)))
-    chosen, best, rows = [], 0.0, []
-    while True:
-        tries = {}
-        left = [m for m in range(3) if m not in chosen]
-        if not left:
-            break
-        aggs = []
-        for m in left:
-            on = sum((F.col(str(i)) for i in [*chosen, m]), F.lit(0.0)) / (len(chosen) + 1) > THR
-            aggs += [F.count_if(on & F.col("g")).alias(f"tp{m}"), F.count_if(on != F.col("g")).alias(f"bad{m}")]
-        r = wide.agg(*aggs).first()
-        tries = {m: r[f"tp{m}"] / (r[f"tp{m}"] + r[f"bad{m}"] + _EPS) for m in left}
-        top = max(left, key=lambda m: (tries[m], -m))
-        if tries[top] <= best:
-            break
-        chosen.append(top)
-        best = tries[top]
-        rows.append((len(chosen), top, round(best, 6)))
-    return spark.createDataFrame(rows, "step int, member int, iou double")
-
-
 @query("set_union", f"{_PG} SELECT tile, y, x FROM px WHERE p > 0.55 UNION SELECT * FROM gt")
 def set_union(spark, folder):
     return _mask(spark, folder).union(truth(spark, folder)).distinct()
