@@ -66,6 +66,11 @@ def read_merges(path: str) -> dict:
     return {"spelled": spelled, "merges": triples}
 
 
+#: Slots of the table of transitions between tokens (9 bytes each): a fixed size, whatever is encoded.
+ARC_SLOTS = 1 << 21
+_SPREAD, _SHIFT = 0x9E3779B97F4A7C15, 64 - 21
+
+
 class Automaton:
     """The compiled tables; see the module's text."""
 
@@ -88,7 +93,9 @@ class Automaton:
         self._keys = keys[order]
         self._ranks = np.fromiter(removed.values(), np.int64, len(removed))[order]
         self._removed = removed
-        self._arcs: dict[int, bool] = {}
+        # transitions met so far, by a hash of the pair: a pair and its verdict a slot, the later takes the slot
+        self._slot_pair = np.full(ARC_SLOTS, -1, np.int64)
+        self._slot_open = np.zeros(ARC_SLOTS, bool)
         self._compile_bytes()
 
     def _compile_bytes(self) -> None:
@@ -138,9 +145,10 @@ class Automaton:
     # -- arcs of the token automaton ---------------------------------------------------------
     def arc(self, u: int, v: int) -> bool:
         """Whether ``v`` may follow ``u``."""
-        known = self._arcs.get(u * self.size + v)
-        if known is not None:
-            return known
+        pair = u * self.size + v
+        slot = pair * _SPREAD % (1 << 64) >> _SHIFT
+        if self._slot_pair[slot] == pair:
+            return bool(self._slot_open[slot])
         x, y, until, found = u, v, 1 << 60, True
         while True:
             gone = self._removed.get(x * self.size + y)
@@ -156,12 +164,25 @@ class Automaton:
                 until, x = bx, int(self.right[x])
             else:
                 until, y = by + 1, int(self.left[y])
-        self._arcs[u * self.size + v] = found
+        self._slot_pair[slot], self._slot_open[slot] = pair, found
         return found
 
     def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """``arc`` for many pairs at once; each distinct pair is walked once."""
-        pairs, back = np.unique(u.astype(np.int64) * self.size + v, return_inverse=True)
+        """``arc`` for many pairs at once: read off the table, and worked out for pairs that it lacks."""
+        asked = u.astype(np.int64) * self.size + v
+        slot = ((asked.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(_SHIFT)).astype(np.int64)
+        verdict = self._slot_open[slot]
+        unknown = np.flatnonzero(self._slot_pair[slot] != asked)
+        if len(unknown):
+            pairs, at, back = np.unique(asked[unknown], return_index=True, return_inverse=True)
+            found = self._walk(pairs)
+            verdict[unknown] = found[back]
+            fresh = slot[unknown[at]]
+            self._slot_pair[fresh], self._slot_open[fresh] = pairs, found
+        return verdict
+
+    def _walk(self, pairs: np.ndarray) -> np.ndarray:
+        """The verdict on each distinct pair, by going back through the gadgets that made its tokens."""
         found = np.ones(len(pairs), bool)
         x, y = pairs // self.size, pairs % self.size
         until = np.full(len(pairs), 1 << 60, np.int64)
@@ -177,7 +198,7 @@ class Automaton:
             same, first = x == y, bx > by
             until = np.where(same | first, bx, by + 1)
             x, y = np.where(same | first, self.right[x], x), np.where(first & ~same, y, self.left[y])
-        return found[back]
+        return found
 
     # -- encoding ----------------------------------------------------------------------------
     def encode_word(self, word: bytes) -> list[int]:
@@ -204,8 +225,18 @@ class Automaton:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         pieces: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
         short = np.flatnonzero(sizes <= SIDE_BY_SIDE)
-        for k in np.flatnonzero(sizes > SIDE_BY_SIDE):
-            pieces[k] = np.array(self.encode_word(words[k]), np.int32)
+        # long words side by side too, as long as there are enough of about a size to pay for the steps
+        long_ = np.flatnonzero(sizes > SIDE_BY_SIDE)
+        long_ = long_[np.argsort(-sizes[long_], kind="stable")]
+        while len(long_):
+            rows = min(len(long_), max(1, 4_000_000 // int(sizes[long_[0]])))
+            part, long_ = long_[:rows], long_[rows:]
+            if rows >= 32 and 2 * sizes[part[rows // 2]] > sizes[part[0]]:
+                for k, ids in zip(part, self._together([words[k] for k in part], sizes[part])):
+                    pieces[k] = ids
+            else:
+                for k in part:
+                    pieces[k] = np.array(self.encode_word(words[k]), np.int32)
         order = short[np.argsort(-sizes[short], kind="stable")]
         for lo in range(0, len(order), 20_000):
             part = order[lo : lo + 20_000]

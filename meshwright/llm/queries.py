@@ -98,6 +98,15 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_room(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of ``p9_containers`` are, against the fewest that any packing needs."""
+    packed = packing.pack_texts(table(spark, folder, "documents"), "doc_id", "text").filter("piece_size > 0")
+    n, used = F.countDistinct("container_id"), F.sum("piece_size")
+    return packed.agg(n.alias("containers"), used.alias("tokens"), F.ceil(used / packing.CAPACITY).alias("fewest"), (n * packing.CAPACITY - used).alias("unused")).withColumn(
+        "unused_share", F.round(F.col("unused") / (F.col("containers") * packing.CAPACITY), 6)
+    )
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     marked = residue.mark_residue(table(spark, folder, "documents"), "doc_id", "text")
     return marked.filter("residue").select("doc_id").distinct()
@@ -119,7 +128,7 @@ def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_report": p6_report,
-    "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_room": p9_room, "p10_found": p10_found, "p10_clean": p10_clean,
     "p10_validation": p10_validation,
 }
 SQL = {"p4_found": P4_SQL, "p6_found": P6_SQL, "p6_report": P6_REPORT_SQL, "p7_found": P7_SQL}

@@ -147,3 +147,17 @@ def test_hosts_that_were_not_trained_on(spark):
     df = spark.createDataFrame(rows, "doc_id long, host string, text string")
     scores = residue.validate(df, "doc_id", "text", "host", folds=2)
     assert scores and all(s["accuracy"] > 0.97 for s in scores)
+
+
+def test_long_words_side_by_side(encoder, library):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé日") for _ in range(rng.randrange(250, 400))) for _ in range(60)] + ["ab" * 900, "日" * 300]
+    assert split(*encoder.encode(words)) == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
+def test_a_small_table_of_transitions_gives_the_same_ids(monkeypatch, library):
+    monkeypatch.setattr(bpe, "ARC_SLOTS", 1 << 4)
+    monkeypatch.setattr(bpe, "_SHIFT", 60)
+    small = bpe.TextEncoder(bpe.Automaton(**bpe.read_merges(bpe.DEFAULT_TOKENIZER)))
+    texts = ["The hinged lever 12 locks the porous seat 4, whatever the transitions.", "日本語の明細書です。", "x" * 300]
+    assert split(*small.encode(texts)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
