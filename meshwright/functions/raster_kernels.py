@@ -189,3 +189,21 @@ def cost_path(prob: np.ndarray, a: tuple[float, float], b: tuple[float, float],
     path.reverse()
     length = sum(float(np.hypot(p[0] - q[0], p[1] - q[1])) for p, q in zip(path, path[1:]))
     return path, float(np.mean([prob[p] for p in path])), max(1.0, length)
+
+
+def resize_bilinear(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A raster of another size, each place between the four pixels around it; pixel centres lie at halves."""
+
+    def axis(size: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(wanted) + 0.5) * size / wanted - 0.5, 0, size - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, size - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = axis(a.shape[0], height), axis(a.shape[1], width)
+    rows = a[y0] * (1 - fy)[:, None] + a[y1] * fy[:, None]
+    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+
+
+def crop_window(low: float, high: float) -> tuple[int, int]:
+    """Whole pixels of a fractional span, at least one."""
+    return round(low), max(round(high), round(low) + 1)

@@ -83,24 +83,6 @@ def flt_exclude(spark, folder):
     return b.select("doc_key").distinct().join(hit, "doc_key", "left_anti")
 
 
-#: Kinds of healing and confidences stand in for the road classes of map data.
-_CLASSES = ["geom", "trace"]
-
-
-@query("flt_road_type", "SELECT stem, u, v, hk FROM web_edges WHERE hk IN ('geom', 'trace') AND u IS NOT NULL AND v IS NOT NULL")
-def flt_road_type(spark, folder):
-    """Edges of the wanted classes whose both ends resolve."""
-    e = table(spark, folder, "web_edges").filter(F.col("hk").isin(_CLASSES) & F.col("u").isNotNull() & F.col("v").isNotNull())
-    return e.select("stem", "u", "v", "hk")
-
-
-@query("flt_tunnel", "SELECT stem, u, v, conf FROM web_edges WHERE conf IS NULL OR conf NOT IN ('low', 'medium')")
-def flt_tunnel(spark, folder):
-    """Unwanted tags dropped; a missing tag stays."""
-    e = table(spark, folder, "web_edges").filter(~F.coalesce(F.col("conf").isin("low", "medium"), F.lit(False)))
-    return e.select("stem", "u", "v", "conf")
-
-
 @query("flt_in_frame", "SELECT node_key, x, y FROM web_nodes WHERE x >= 0 AND x < 2048 AND y >= 0 AND y < 2048")
 def flt_in_frame(spark, folder):
     return table(spark, folder, "web_nodes").filter("x >= 0 and x < 2048 and y >= 0 and y < 2048").select("node_key", "x", "y")
@@ -113,14 +95,6 @@ def flt_pick(spark, folder):
     return e.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).filter("n > 8").orderBy(F.desc("n"), "stem").limit(4)
 
 
-@query("flt_nodata", "SELECT stem, round(avg(CASE WHEN bc > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM web_nodes WHERE stem IS NOT NULL GROUP BY 1 HAVING avg(CASE WHEN bc > 0.5 THEN 1.0::DOUBLE ELSE 0 END) <= 0.6")
-def flt_nodata(spark, folder):
-    """Crops with too large a share of empty pixels rejected (here: nodes above one half)."""
-    hot = F.when(F.col("bc") > 0.5, 1.0).otherwise(0.0)
-    t = table(spark, folder, "web_nodes").filter("stem is not null").groupBy("stem").agg(F.avg(hot).alias("s"))
-    return t.filter("s <= 0.6").select("stem", F.round("s", 6).alias("share"))
-
-
 @query("snk_manifest", """WITH d AS (SELECT stem, label, geo, len(edges) AS k FROM export_web_geo WHERE stem NOT LIKE 'live~_%' ESCAPE '~'),
  t AS (SELECT stem, max(label) AS label, bool_or(geo) AS geo, max(coalesce(k, 0)) AS edges FROM d GROUP BY 1), n AS (SELECT stem, count(DISTINCT id) AS nodes, max(CASE WHEN bc BETWEEN 0 AND 1 AND NOT isnan(bc) THEN bc END) AS gatekeeper_bc FROM web_nodes GROUP BY 1)
  SELECT t.stem, label, geo, coalesce(nodes, 0) AS nodes, edges, coalesce(gatekeeper_bc, 0) AS gatekeeper_bc, stem = (SELECT coalesce(min(stem) FILTER (WHERE NOT geo), arg_min(stem, (geo, stem))) FROM t) AS is_default FROM t LEFT JOIN n USING (stem)""")
@@ -293,13 +267,6 @@ def split_seed(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", F.when(h < 0.85 * 4294967296, "train").otherwise("val").alias("split"))
 
 
-@query("src_config", "SELECT 'max_gap' AS name, 60.0::DOUBLE AS value UNION ALL SELECT 'angle', 35.0::DOUBLE UNION ALL SELECT 'corridor', 16.0::DOUBLE")
-def src_config(spark, folder):
-    """Parameters as a table."""
-    g = H.Gates()
-    return spark.createDataFrame([(k, float(getattr(g, k))) for k in ("max_gap", "angle", "corridor")], "name string, value double")
-
-
 @query("api_http", "SELECT event_id, least(greatest(coalesce(CAST(value AS INTEGER), 8), 2), 16) AS grid FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN trunc(value) END AS value FROM events)")
 def api_http(spark, folder):
     """Requests' grid sizes brought into range."""
@@ -358,7 +325,7 @@ def g_heal_prob(spark, folder):
     """Healing with a probability raster: the rasters of seven years serve the tiles in turn."""
     n, e = _sparse(spark, folder)
     p = probability(spark, folder)
-    years = spark.createDataFrame([(t, 1992 + t % 7) for t in range(25)], "tile int, year int")
+    years = spark.createDataFrame([(t, 1995 + t % 7) for t in range(25)], "tile int, year int")
     prob = p.withColumnRenamed("tile", "year").join(years, "year").select("tile", "y", "x", "p")
     small = n.withColumns({"x": F.col("x") % 64, "y": F.col("y") % 64})
     return H.heal(small, e, H.Gates(max_gap=30.0, angle=50.0), prob, 64)
@@ -366,7 +333,7 @@ def g_heal_prob(spark, folder):
 
 def _of_years(spark, pixels):
     """Rasters of seven years for the tiles in turn."""
-    years = spark.createDataFrame([(t, 1992 + t % 7) for t in range(25)], "tile int, year int")
+    years = spark.createDataFrame([(t, 1995 + t % 7) for t in range(25)], "tile int, year int")
     return pixels.withColumnRenamed("tile", "year").join(years, "year").drop("year")
 
 
@@ -492,23 +459,6 @@ def ras_forward(spark, folder):
     return probability(spark, folder).select("tile", "y", "x", F.round(predict("p"), 6).alias("p"))
 
 
-@query("src_osm", "SELECT DISTINCT doc_key, count(*) AS ways FROM (SELECT doc_key, unnest(osm_lines) AS l FROM (SELECT DISTINCT doc_key, osm_lines FROM export_web_geo)) WHERE l IS NOT NULL AND len(l) >= 2 GROUP BY 1")
-def src_osm(spark, folder):
-    """Reference ways with at least two vertices, from their nested JSON."""
-    d = table(spark, folder, "export_web_geo").select("doc_key", F.to_json(F.struct("osm_lines")).alias("j")).distinct()
-    lines = F.from_json("j", "osm_lines array<array<array<double>>>").getField("osm_lines")
-    w = d.select("doc_key", F.explode(lines).alias("l")).filter("l is not null and size(l) >= 2")
-    return w.groupBy("doc_key").agg(F.count(F.lit(1)).alias("ways"))
-
-
-@query("src_geocode", "SELECT s.site_key, coalesce(m.label, s.site) AS name FROM (SELECT DISTINCT site_key, site FROM dataset_sites) s LEFT JOIN (SELECT stem, min(label) AS label FROM manifest WHERE stem IS NOT NULL GROUP BY 1) m ON m.stem = s.site")
-def src_geocode(spark, folder):
-    """Names looked up, with a fallback where there is no answer."""
-    s = table(spark, folder, "dataset_sites").select("site_key", "site").distinct()
-    m = table(spark, folder, "manifest").filter("stem is not null").groupBy("stem").agg(F.min("label").alias("label"))
-    return s.join(m, F.col("site") == F.col("stem"), "left").select("site_key", F.coalesce("label", "site").alias("name"))
-
-
 @query("heat_color", "SELECT DISTINCT node_key, CASE WHEN tier = 'critical' THEN 'red' WHEN tier = 'important' THEN 'orange' ELSE 'grey' END AS colour FROM web_nodes")
 def heat_color(spark, folder):
     """A styling column from the tier."""

@@ -243,22 +243,22 @@ def ras_polywide(spark, folder):
     return R.dilate(R.draw(_segments(spark, folder)), K.ellipse(2), SIZE)
 
 
-@query("ras_sample", f"{_P}, {NODES_SQL} SELECT nd.tile, id, px.p FROM nd LEFT JOIN px ON px.tile = 1992 + nd.tile % 7 AND px.y = least(greatest(nd.y, 0), 63) AND px.x = least(greatest(nd.x, 0), 63)")
+@query("ras_sample", f"{_P}, {NODES_SQL} SELECT nd.tile, id, px.p FROM nd LEFT JOIN px ON px.tile = 1995 + nd.tile % 7 AND px.y = least(greatest(nd.y, 0), 63) AND px.x = least(greatest(nd.x, 0), 63)")
 def ras_sample(spark, folder):
     """The value of each tile's raster at each of its nodes' clipped pixel (seven years serve the tiles in turn)."""
     p = probability(spark, folder).withColumnRenamed("tile", "year")
     clip = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(SIZE - 1)).cast("int").alias(c)
-    at = nodes(spark, folder).select("tile", (F.col("tile") % 7 + 1992).alias("year"), "id", clip("y"), clip("x"))
+    at = nodes(spark, folder).select("tile", (F.col("tile") % 7 + 1995).alias("year"), "id", clip("y"), clip("x"))
     return at.join(p, ["year", "y", "x"], "left").select("tile", "id", "p")
 
 
-@query("ras_overlap", f"{_SEG}, {PX_SQL}, smp AS (SELECT tile, id, CAST(trunc(x0+(x1-x0)*i/31.0::DOUBLE) AS INTEGER) AS x, CAST(trunc(y0+(y1-y0)*i/31.0::DOUBLE) AS INTEGER) AS y FROM (SELECT *, unnest(range(0, 32)) AS i FROM sg)) SELECT smp.tile, id, round(avg(CASE WHEN p > 0.55 THEN 1.0::DOUBLE ELSE 0 END), 6) AS overlap FROM smp LEFT JOIN px ON px.tile = 1992 + smp.tile % 7 AND px.y = smp.y AND px.x = smp.x GROUP BY 1, 2")
+@query("ras_overlap", f"{_SEG}, {PX_SQL}, smp AS (SELECT tile, id, CAST(trunc(x0+(x1-x0)*i/31.0::DOUBLE) AS INTEGER) AS x, CAST(trunc(y0+(y1-y0)*i/31.0::DOUBLE) AS INTEGER) AS y FROM (SELECT *, unnest(range(0, 32)) AS i FROM sg)) SELECT smp.tile, id, round(avg(CASE WHEN p > 0.55 THEN 1.0::DOUBLE ELSE 0 END), 6) AS overlap FROM smp LEFT JOIN px ON px.tile = 1995 + smp.tile % 7 AND px.y = smp.y AND px.x = smp.x GROUP BY 1, 2")
 def ras_overlap(spark, folder):
     """Share of 32 samples along a segment that lie on its tile's mask."""
     m = _mask(spark, folder).select(F.col("tile").alias("year"), "y", "x", F.lit(1.0).alias("on"))
     s = _segments(spark, folder).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31))))
     at = lambda a, b: (F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / 31.0).cast("int")
-    s = s.select("tile", (F.col("tile") % 7 + 1992).alias("year"), "id", at("x0", "x1").alias("x"), at("y0", "y1").alias("y")).join(m, ["year", "y", "x"], "left")
+    s = s.select("tile", (F.col("tile") % 7 + 1995).alias("year"), "id", at("x0", "x1").alias("x"), at("y0", "y1").alias("y")).join(m, ["year", "y", "x"], "left")
     return s.groupBy("tile", "id").agg(F.round(F.avg(F.coalesce("on", F.lit(0.0))), 6).alias("overlap"))
 
 
@@ -409,11 +409,3 @@ def win_norm(spark, folder):
     p = probability(spark, folder)
     top = p.groupBy("tile").agg(F.max("p").alias("m"))
     return p.join(top, "tile").select("tile", "y", "x", F.round(F.col("p") / F.when(F.col("m") > 0, F.col("m")).otherwise(1), 6).alias("share"))
-
-
-@query("flt_qc", _PG + " SELECT tile, round(count(gt.tile)/count(*), 6) AS road_share FROM px LEFT JOIN gt USING (tile, y, x) GROUP BY 1 HAVING round(count(gt.tile)/count(*), 6) BETWEEN 0.1 AND 0.9 AND avg((x*37+y*11)%256) >= 18")
-def flt_qc(spark, folder):
-    """Tiles with a plausible road share and enough brightness."""
-    c = probability(spark, folder).join(truth(spark, folder).withColumn("g", F.lit(1)), ["tile", "y", "x"], "left")
-    t = c.groupBy("tile").agg(F.round(F.count("g") / F.count(F.lit(1)), 6).alias("road_share"), F.avg(F.expr("(x*37+y*11)%256")).alias("light"))
-    return t.filter("road_share between 0.1 and 0.9 and light >= 18").select("tile", "road_share")
