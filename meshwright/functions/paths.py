@@ -15,6 +15,7 @@ class TileGraph:
         self.n = len(self.ids)
         self.u, self.v = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
         self.w = np.asarray(w, np.float64)
+        self.deep = False  # whether some shortest path was found to have too many edges for ``distances``
         self.near: list[list[tuple[int, float]]] = [[] for _ in range(self.n)]
         for a, b, c in zip(self.u.tolist(), self.v.tolist(), self.w.tolist()):
             self.near[a].append((b, c))
@@ -49,12 +50,12 @@ class TileGraph:
                         parent[b] = a
         return dist, parent, order, before, count
 
-    def distances(self, sources, gone: np.ndarray | None = None, rounds: int = 200) -> np.ndarray:
+    def distances(self, sources, gone: np.ndarray | None = None, rounds: int = 48) -> np.ndarray:
         """Distances from each source (a row each) to all nodes; inf where there is no path.
 
         All sources at once: every round takes each node's least distance over its neighbours, until
-        nothing changes. Graphs with longer chains than ``rounds`` edges fall back to one search a
-        source.
+        nothing changes. A graph with longer shortest paths than ``rounds`` edges falls back to one
+        search a source, from then on at once: many rounds cost more than the searches.
         """
         out = np.full((len(sources), self.n), np.inf)
         alive = [(i, s) for i, s in enumerate(sources) if gone is None or not gone[s]]
@@ -71,7 +72,7 @@ class TileGraph:
         first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
         at = head[first]
         live = np.array([i for i, _ in alive])
-        for _ in range(rounds):
+        for _ in range(0 if self.deep else rounds):
             near = np.minimum.reduceat(out[np.ix_(live, tail)] + w, first, axis=1)
             before = out[np.ix_(live, at)]
             changed = near < before
@@ -79,6 +80,7 @@ class TileGraph:
                 return out
             out[np.ix_(live, at)] = np.minimum(near, before)
             live = live[changed.any(axis=1)]
+        self.deep = True
         for i in live.tolist():
             out[i] = self.from_source(int(sources[i]), gone)[0]
         return out

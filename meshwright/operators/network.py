@@ -46,16 +46,18 @@ def per_source_block(nodes: DataFrame, edges: DataFrame, run, schema: str, block
     """``run(tile, sources, ids, edges)`` for every block of a tile's sources.
 
     The block count follows from the tile's node count; each block gets the tile's edges. A
-    boolean column ``active`` of ``nodes`` limits the sources.
+    boolean column ``active`` of ``nodes`` limits the sources; with a boolean column ``mark`` the
+    ids of marked nodes are a fifth argument.
     """
     base = nodes if "active" in nodes.columns else nodes.withColumn("active", F.lit(True))
     order = F.row_number().over(W.partitionBy("tile").orderBy("id")) - 1
-    ranked = base.select("tile", "id", "active").withColumn("home", F.floor(order / (block or BLOCK)))
+    mark = ["mark"] if "mark" in nodes.columns else []
+    ranked = base.select("tile", "id", "active", *mark).withColumn("home", F.floor(order / (block or BLOCK)))
     blocks = ranked.groupBy("tile").agg((F.max("home") + 1).alias("n"))
     copies = lambda df: _own(df.join(blocks, "tile").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
 
     def both(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        return run(key[0], n.id[n.own].tolist(), n.id.to_numpy(), e)
+        return run(key[0], n.id[n.own].tolist(), n.id.to_numpy(), e, *([n.id[n.mark].tolist()] if mark else []))
 
     of_block = copies(ranked).withColumn("own", (F.col("home") == F.col("b")) & F.col("active")).drop("home", "active")
     return of_block.groupBy("tile", "b").cogroup(copies(edges).groupBy("tile", "b")).applyInPandas(both, schema)
@@ -284,3 +286,35 @@ def stride_pairs(nodes: DataFrame, edges: DataFrame, samples: int = 40) -> DataF
         return pd.DataFrame({"tile": tile, "s": g.ids[s], "t": g.ids[np.array(t, np.int64)]})
 
     return per_tile(nodes, edges, run, "tile int, s long, t long")
+
+
+def longest_through(nodes: DataFrame, edges: DataFrame, through: DataFrame) -> DataFrame:
+    """(tile, src, dst, through, length): the longest shortest path over each tile's node in ``through`` (tile, id).
+
+    Of equal ones that with the least ends. A block hands out its best pair only.
+    """
+    marked = nodes.select("tile", "id").join(through.select("tile", "id").withColumn("mark", F.lit(True)), ["tile", "id"], "left")
+    columns = ["tile", "src", "dst", "through", "length"]
+
+    def run(tile, sources, ids, e, over):
+        g = TileGraph(ids, e.u, e.v, e.w)
+        rows = []
+        for gate in over:
+            k = int(np.searchsorted(g.ids, gate))
+            to_gate = g.distances([k])[0]
+            for lo in range(0, len(sources), 64):
+                s = np.searchsorted(g.ids, sources[lo : lo + 64])
+                d = g.distances(s)
+                on = np.isfinite(d) & (d[:, [k]] + to_gate == d) & (np.arange(g.n) > s[:, None])
+                on[:, k] = False
+                on[s == k] = False
+                if on.any():
+                    top = np.where(on, d, -1)
+                    i, j = np.unravel_index(int(np.argmax(top)), top.shape)  # the first in order of source, then end
+                    rows.append((tile, g.ids[s[i]], g.ids[j], gate, int(d[i, j])))
+        rows = sorted(rows, key=lambda r: (-r[4], r[1], r[2]))[:1]
+        return pd.DataFrame(rows, columns=columns)
+
+    best = per_source_block(marked.withColumn("mark", F.coalesce("mark", F.lit(False))), edges, run, "tile int, src long, dst long, through long, length long")
+    first = F.min(F.struct((-F.col("length")).alias("k"), "src", "dst", "through", "length")).alias("m")
+    return best.groupBy("tile").agg(first).select("tile", "m.src", "m.dst", "m.through", "m.length")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
-from meshwright.functions.paths import TileGraph
+from meshwright.functions.paths import EXACT_NODES, PIVOTS, TileGraph
 from meshwright.operators import network as N
 from meshwright.operators.ranges import nearest
 from meshwright.planning.lineage import materialise
@@ -148,8 +148,9 @@ bc AS (SELECT tile, id, round(coalesce(t, 0)/(CASE WHEN n > 2 THEN (n-1)*(n-2) E
 
 
 def _bc(spark, folder):
+    """Scores as the analysis takes them: exact in tiles of up to 450 nodes, from 350 pivots above."""
     n, e = _graph(spark, folder)
-    return n, e, N.betweenness(n, e)[0].select("tile", "id", F.round("bc", 8).alias("bc"))
+    return n, e, N.betweenness(n, e, pivots=PIVOTS, exact=EXACT_NODES)[0].select("tile", "id", F.round("bc", 8).alias("bc"))
 
 
 @query("g_node_bc", _AP + _BC + " SELECT * FROM bc")
@@ -161,7 +162,7 @@ def g_node_bc(spark, folder):
  JOIN e2 o ON (o.u = e.u AND o.v = e.v) OR (o.u = e.v AND o.v = e.u) JOIN sg a ON a.n = o.u JOIN sg b ON b.s = o.v JOIN sg st ON st.s = a.s AND st.n = b.n AND st.d = a.d + o.w + b.d GROUP BY 1, 2, 3""")
 def g_edge_bc(spark, folder):
     n, e = _graph(spark, folder)
-    return N.betweenness(n, e)[1].select("tile", "u", "v", F.round("bc", 8).alias("bc"))
+    return N.betweenness(n, e, pivots=PIVOTS, exact=EXACT_NODES)[1].select("tile", "u", "v", F.round("bc", 8).alias("bc"))
 
 
 @query("g_bc_sampled")
@@ -337,13 +338,7 @@ def g_od(spark, folder):
     """The longest shortest path through each tile's top gatekeeper."""
     n, e, bc = _bc(spark, folder)
     top = bc.withColumn("k", F.row_number().over(W.partitionBy("tile").orderBy(F.desc("bc"), "id"))).filter("k = 1").select("tile", F.col("id").alias("through"))
-    ap = N.all_pairs(n, e)
-    legs = ap.join(top, (ap.tile == top.tile) & (ap.n == top.through)).select(ap.tile, "through", F.col("s").alias("src"), F.col("d").alias("d1")).filter("src <> through")
-    other = legs.select("tile", F.col("src").alias("dst"), F.col("d1").alias("d2"))
-    whole = ap.select("tile", F.col("s").alias("src"), F.col("n").alias("dst"), F.col("d").alias("length"))
-    on = legs.join(other, "tile").filter("src < dst").join(whole, ["tile", "src", "dst"]).filter("d1 + d2 = length")
-    best = on.withColumn("k", F.row_number().over(W.partitionBy("tile").orderBy(F.desc("length"), "src", "dst"))).filter("k = 1")
-    return best.select("tile", "src", "dst", "through", "length")
+    return N.longest_through(n, e, top.withColumnRenamed("through", "id"))
 
 
 @query("g_snap", f"WITH {NODES_SQL} SELECT a.tile, a.id, b.id AS nearest, round(sqrt((a.x+2-b.x)*(a.x+2-b.x)+(a.y-1-b.y)*(a.y-1-b.y)), 6) AS distance FROM nd a JOIN nd b ON a.tile = b.tile AND b.id % 3 <> 0 AND (a.x+2-b.x)*(a.x+2-b.x)+(a.y-1-b.y)*(a.y-1-b.y) <= 2025 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.x+2-b.x)*(a.x+2-b.x)+(a.y-1-b.y)*(a.y-1-b.y), b.id) = 1")

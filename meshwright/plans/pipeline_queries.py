@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from meshwright.functions import raster_kernels as K
 from meshwright.operators import heal as H, network as N, raster as R
-from meshwright.operators.ranges import nearest
+from meshwright.operators.ranges import nearest, overlapping
 from meshwright.planning.lineage import materialise, new_path
 from meshwright.plans.fixtures import R as RADIUS, edges, edges_sql, nodes, probability
 from meshwright.plans.raster_queries import _mask, ras_canopy
@@ -73,14 +73,15 @@ _BOX = "north < 45.0 AND south > 20.0"
 def flt_exclude(spark, folder):
     """Documents whose bounds overlap none of the benchmark documents' (every tenth).
 
-    Boxes meet through one-degree grid cells, an equi-join, so neither side must fit a broadcast.
+    Documents of one tile share their bounds: distinct boxes meet, and are given back to their documents.
     """
     b = table(spark, folder, "export_web_geo").filter("bounds is not null").select("doc_key", "bounds.*").distinct()
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo), F.floor(hi)))
-    gridded = b.withColumn("cy", cells("south", "north")).withColumn("cx", cells("west", "east"))
-    x = gridded.filter("doc_key % 10 = 0").select("cy", "cx", *[F.col(c).alias(f"x_{c}") for c in ("north", "south", "east", "west")])
-    hit = gridded.join(x, ["cy", "cx"]).filter("x_west < east and west < x_east and x_south < north and south < x_north").select("doc_key").distinct()
-    return b.select("doc_key").distinct().join(hit, "doc_key", "left_anti")
+    sides = ["south", "north", "west", "east"]
+    twin = [F.col(c).alias(f"of_{c}") for c in sides]
+    boxes = b.select(*sides, *twin).distinct()
+    held = b.filter("doc_key % 10 = 0").select(*sides).distinct()
+    hit = overlapping(boxes, held).select(*[F.col(f"of_{c}").alias(c) for c in sides]).distinct()
+    return b.join(hit, sides, "left_anti").select("doc_key").distinct()
 
 
 @query("flt_in_frame", "SELECT node_key, x, y FROM web_nodes WHERE x >= 0 AND x < 2048 AND y >= 0 AND y < 2048")

@@ -66,3 +66,17 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(RuntimeError):
         lineage.shared_folder(Session())
+
+
+def test_overlapping_boxes_of_any_size(spark):
+    from meshwright.operators.ranges import overlapping
+
+    rng = random.Random(6)
+    box = lambda: (lambda y, x, h, w: (y, y + h, x, x + w))(rng.uniform(-60, 60), rng.uniform(-150, 150), 10 ** rng.uniform(-3, 1.8), 10 ** rng.uniform(-3, 1.8))
+    a, b = ([(k, *box()) for k in range(80)] for _ in range(2))
+    a += [(100, 0.0, 1.0, 0.0, 1.0), (101, None, 1.0, 0.0, 1.0)]
+    b += [(100, 1.0, 2.0, 0.0, 1.0), (101, 0.5, 0.6, 0.5, 0.6)]
+    named = lambda rows, k: spark.createDataFrame(rows, f"{k} int, south double, north double, west double, east double")
+    got = {(r.a, r.b) for r in overlapping(named(a, "a"), named(b, "b")).collect()}
+    want = {(p[0], q[0]) for p in a for q in b if None not in p and p[3] < q[4] and q[3] < p[4] and p[1] < q[2] and q[1] < p[2]}
+    assert got == want and (100, 101) in got and (100, 100) not in got
