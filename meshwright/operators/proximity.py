@@ -157,7 +157,11 @@ def nodes_near_lines(
 LEVELS = (-30, 8)
 
 
-def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float | None = None) -> DataFrame:
+#: Points of one cell that one task should hold.
+HOT_CELL = 200_000
+
+
+def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float | None = None, hot: int = HOT_CELL) -> DataFrame:
     """Pairs of a point and a polygon that holds it (even-odd rule, edges on the west and south in).
 
     ``points`` brings ``lat``, ``lng`` and keys; ``regions`` a key and ``ring`` (array of
@@ -167,7 +171,8 @@ def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float | None
     A region is entered in the cells of its bounding box on the level of cells as wide as its
     longer side: four cells at most, whatever its size. A point looks in its cell on every level
     that has regions (``LEVELS`` bounds their number); the ring decides. With ``cell_degrees`` all
-    cells are of that size.
+    cells are of that size. Cells with more than ``HOT_CELL`` points, of which there are at most
+    levels x points / ``HOT_CELL``, are split by a hash of the place, and their regions repeated.
     """
     boxed = regions.filter(F.size("ring") >= 3).withColumns(
         {
@@ -184,16 +189,21 @@ def in_regions(points: DataFrame, regions: DataFrame, cell_degrees: float | None
     used = sorted(r[0] for r in boxed.select("__level").distinct().collect())  # at most as many as LEVELS has
     here = points.filter(is_location(F.col("lat"), F.col("lng"))).withColumn("__level", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
     here = here.withColumns({"__cy": cell("lat"), "__cx": cell("lng")})
+    keys = ["__level", "__cy", "__cx"]
+    dense = here.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(*keys, F.ceil(F.col("__n") / hot).alias("__k"))
+    pieces = F.coalesce("__k", F.lit(1))
+    here = here.join(F.broadcast(dense), keys, "left").withColumn("__z", F.pmod(F.xxhash64("lat", "lng"), pieces)).drop("__k")
+    tiles = tiles.join(F.broadcast(dense), keys, "left").withColumn("__z", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("__k")
     n = F.size("ring")
     crossings = F.aggregate(
         F.sequence(F.lit(1), n), F.lit(0),
         lambda total, k: total + _crosses(F.element_at("ring", k), F.element_at("ring", F.pmod(k, n) + 1)),
     )
     return (
-        here.join(tiles, ["__level", "__cy", "__cx"])
+        here.join(tiles, [*keys, "__z"])
         .filter(F.col("lat").between(F.col("__s"), F.col("__n")) & F.col("lng").between(F.col("__w"), F.col("__e")))
         .filter(crossings % 2 == 1)
-        .drop("__level", "__cy", "__cx", "__s", "__n", "__w", "__e", "ring")
+        .drop(*keys, "__z", "__s", "__n", "__w", "__e", "ring")
     )
 
 

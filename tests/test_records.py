@@ -140,6 +140,7 @@ def test_regions_of_any_size_take_four_cells(spark):
     points = spark.createDataFrame(pts, "k long, lat double, lng double")
     got = {(r.k, r.name) for r in proximity.in_regions(points, regions).collect()}
     assert got == {(k, b[0]) for k, y, x in pts[:200] for b in boxes if b[1] <= y < b[3] and b[2] <= x < b[4]}
+    assert {(r.k, r.name) for r in proximity.in_regions(points, regions, hot=7).collect()} == got
     assert proximity.in_regions(points, regions.limit(0)).collect() == [] and proximity.in_regions(points.limit(0), regions).collect() == []
 
 
