@@ -60,13 +60,14 @@ def shred(df: DataFrame, key: str, columns: list[str]) -> dict[tuple[str, ...],
         ordinal = df.schema.fieldNames().index(column)
         base = df.select(
             F.col(key).alias("__key"), F.lit(str(ordinal)).alias("__label"), F.col(column).alias("__node"),
-            F.lit(None).cast("string").alias("__map_key"), F.lit(ordinal).alias("__ord"), F.lit("").alias("__parent"),
+            F.lit(None).cast("string").alias("__map_key"), F.lit(ordinal).alias("__ord"),
         )
-        _walk(base, field.dataType, (column,), key, tables)
+        _walk(base, field.dataType, (column,), key, tables, 1, 0)
     return tables
 
 
-def _own(frame: DataFrame, kind: T.DataType, key: str) -> DataFrame:
+def _own(frame: DataFrame, kind: T.DataType, key: str, above: int) -> DataFrame:
+    """A path's table; its rows' parents are their labels cut to the first ``above`` ordinals."""
     taken = {key, LABEL, PARENT, ORDINAL, MAP_KEY, FILLED}
     values = [F.col("__node").alias("value")]
     if isinstance(kind, T.StructType):
@@ -75,40 +76,43 @@ def _own(frame: DataFrame, kind: T.DataType, key: str) -> DataFrame:
             for f in kind.fields if _atomic(f.dataType)
         ]
     return frame.select(
-        F.col("__key").alias(key), F.col("__label").alias(LABEL), F.col("__parent").alias(PARENT),
+        F.col("__key").alias(key), F.col("__label").alias(LABEL), cut(F.col("__label"), above).alias(PARENT),
         F.col("__ord").alias(ORDINAL), F.col("__map_key").alias(MAP_KEY),
         holds_value(F.col("__node"), kind).alias(FILLED), *values,
     )
 
 
-def _walk(frame: DataFrame, kind: T.DataType, path: tuple[str, ...], key: str, tables: dict) -> None:
+def _walk(frame: DataFrame, kind: T.DataType, path: tuple[str, ...], key: str, tables: dict, depth: int, above: int) -> None:
+    """``depth`` ordinals make a label here, and the first ``above`` of them that of the row it belongs to."""
     if isinstance(kind, T.StructType):
-        tables[path] = _own(frame.filter(F.col("__node").isNotNull()) if len(path) == 1 else frame, kind, key)
+        tables[path] = _own(frame.filter(F.col("__node").isNotNull()) if len(path) == 1 else frame, kind, key, above)
         for i, f in enumerate(kind.fields):
             if not _atomic(f.dataType):
                 inner = frame.select(
                     "__key", F.concat("__label", F.lit(f".{i}")).alias("__label"),
-                    F.col("__node").getField(f.name).alias("__node"), F.lit(None).cast("string").alias("__map_key"),
-                    F.lit(i).alias("__ord"), F.col("__label").alias("__parent"),
+                    F.col("__node").getField(f.name).alias("__node"), F.lit(None).cast("string").alias("__map_key"), F.lit(i).alias("__ord"),
                 )
-                _walk(inner, f.dataType, (*path, f.name), key, tables)
+                _walk(inner, f.dataType, (*path, f.name), key, tables, depth + 1, depth)
     elif isinstance(kind, (T.ArrayType, T.MapType)):
         is_map = isinstance(kind, T.MapType)
         element = kind.valueType if is_map else kind.elementType
-        # the parent of an element is the nearest node that is a row itself
-        rows_above = F.col("__label") if path[-1] in ("[]", "{}") else F.col("__parent")
-        exploded = frame.select(
-            "__key", F.col("__label").alias("__above"), rows_above.alias("__parent"),
-            F.posexplode("__node").alias("__ord", *(("__mk", "__node") if is_map else ("__node",))),
-        )
+        exploded = frame.select("__key", F.col("__label").alias("__up"), F.posexplode("__node").alias("__ord", *(("__mk", "__node") if is_map else ("__node",))))
         step = (*path, "{}" if is_map else "[]")
         inner = exploded.select(
-            "__key", F.concat_ws(".", "__above", F.col("__ord").cast("string")).alias("__label"), "__node",
-            (F.col("__mk") if is_map else F.lit(None)).cast("string").alias("__map_key"), "__ord", "__parent",
+            "__key", F.concat_ws(".", "__up", F.col("__ord").cast("string")).alias("__label"), "__node",
+            (F.col("__mk") if is_map else F.lit(None)).cast("string").alias("__map_key"), "__ord",
         )
+        # the parent of an element is the nearest node that is a row itself
+        if path[-1] in ("[]", "{}"):
+            above = depth
         if not isinstance(element, T.StructType):
-            tables[step] = _own(inner, element, key)
-        _walk(inner, element, step, key, tables)
+            tables[step] = _own(inner, element, key, above)
+        _walk(inner, element, step, key, tables, depth + 1, above)
+
+
+def cut(label: Column, ordinals: int) -> Column:
+    """The label of the node so many ordinals below the root: its first ``ordinals``; the empty text for none."""
+    return F.substring_index(label, ".", ordinals)
 
 
 def parent_of(label: Column, steps: int = 1) -> Column:
