@@ -2,11 +2,95 @@
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
 
+class Climb:
+    """Shortest distances in one connected graph, over an elimination order of its nodes.
+
+    Nodes go one by one, least degree first; those next to a node are then joined by the way through it.
+    A shortest path thus climbs to later nodes and comes down again, so two passes over the nodes give
+    the distances of a whole batch of sources. ``built`` is false where too many ways would have to be
+    added (more than ``most`` a node); such a graph is searched source by source.
+    """
+
+    def __init__(self, n: int, u, v, w, most: int = 64):
+        near: list[dict[int, float]] = [{} for _ in range(n)]
+        for a, b, c in zip(u.tolist(), v.tolist(), w.tolist()):
+            if a != b and c < near[a].get(b, np.inf):
+                near[a][b] = near[b][a] = c
+        heap = [(len(x), k) for k, x in enumerate(near)]
+        heapify(heap)
+        order, left = [], most * n
+        self.rank = np.full(n, -1)
+        self.ways: list[list[tuple[int, float]]] = []
+        gone = [False] * n
+        while heap and left >= 0:
+            degree, k = heappop(heap)
+            if gone[k] or degree != len(near[k]):
+                continue
+            gone[k] = True
+            self.rank[k] = len(order)
+            order.append(k)
+            ways = list(near[k].items())
+            left -= len(ways)
+            self.ways.append(ways)
+            for i, (a, c) in enumerate(ways):
+                at = near[a]
+                del at[k]
+                for b, e in ways[:i]:
+                    if c + e < at.get(b, np.inf):
+                        at[b] = near[b][a] = c + e
+            for a, _ in ways:
+                heappush(heap, (len(near[a]), a))
+        self.built = left >= 0
+        self.order = np.array(order, np.int64)
+        if self.built:
+            rank = self.rank.tolist()
+            self.ways = [[(rank[a], c) for a, c in ways] for ways in self.ways]
+
+    def ranked(self, sources: np.ndarray) -> np.ndarray:
+        """Distances to every node (a row each, in the order of elimination) from the sources (a column each)."""
+        d = np.full((len(self.rank), len(sources)), np.inf)
+        start = self.rank[sources]
+        d[start, np.arange(len(sources))] = 0.0
+        reached = np.zeros(len(self.rank), bool)
+        reached[start] = True
+        reached = reached.tolist()
+        rows, add, least, way = list(d), np.add, np.minimum, np.empty(len(sources))
+        for k, ways in enumerate(self.ways):
+            if reached[k]:
+                row = rows[k]
+                for h, w in ways:
+                    add(row, w, out=way)
+                    least(rows[h], way, out=rows[h])
+                    reached[h] = True
+        for k in range(len(rows) - 1, -1, -1):
+            row = rows[k]
+            for h, w in self.ways[k]:
+                add(rows[h], w, out=way)
+                least(row, way, out=row)
+        return d
+
+
+def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node position of each node's component."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        while not np.array_equal(new, up := new[new]):
+            new = up
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 class TileGraph:
     """Adjacency by position; ``ids`` are the nodes in ascending order, isolated ones included."""
 
@@ -15,11 +99,44 @@ class TileGraph:
         self.n = len(self.ids)
         self.u, self.v = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
         self.w = np.asarray(w, np.float64)
-        self.deep = False  # whether some shortest path was found to have too many edges for ``distances``
-        self.near: list[list[tuple[int, float]]] = [[] for _ in range(self.n)]
+        self._parts: tuple[bytes | None, list] | None = None
+
+    @cached_property
+    def near(self) -> list[list[tuple[int, float]]]:
+        near: list[list[tuple[int, float]]] = [[] for _ in range(self.n)]
         for a, b, c in zip(self.u.tolist(), self.v.tolist(), self.w.tolist()):
-            self.near[a].append((b, c))
-            self.near[b].append((a, c))
+            near[a].append((b, c))
+            near[b].append((a, c))
+        return near
+
+    def parts(self, gone: np.ndarray | None = None) -> list[list]:
+        """The components, a list each: the positions of its nodes, the edges by place in these, and once it was asked for, its ``Climb``."""
+        key = None if gone is None else gone.tobytes()
+        if self._parts is None or self._parts[0] != key:
+            label = self.components(gone)
+            u, v, w = self.u, self.v, self.w
+            if gone is not None:
+                open_ = ~(gone[u] | gone[v])
+                u, v, w = u[open_], v[open_], w[open_]
+            by, of = np.argsort(label, kind="stable"), np.argsort(label[u], kind="stable")
+            by = by[np.searchsorted(label[by], 0) :]
+            u, v, w = u[of], v[of], w[of]
+            heads = np.unique(label[by])
+            cuts, edges = np.searchsorted(label[by], np.r_[heads, self.n]), np.searchsorted(label[u], np.r_[heads, self.n])
+            place = np.full(self.n, -1)
+            found = []
+            for i in range(len(heads)):
+                who, span = by[cuts[i] : cuts[i + 1]], slice(edges[i], edges[i + 1])
+                place[who] = np.arange(len(who))
+                found.append([who, place[u[span]], place[v[span]], w[span], None])
+            self._parts = (key, found)
+        return self._parts[1]
+
+    @staticmethod
+    def climb(part: list) -> Climb:
+        if part[4] is None:
+            part[4] = Climb(len(part[0]), *part[1:4])
+        return part[4]
 
     def from_source(self, source: int, gone: np.ndarray | None = None) -> tuple[list[float], list[int], list[int], list[list[int]], list[int]]:
         """Distances, parents (least node on ties), order of settling, all predecessors, path counts."""
@@ -50,47 +167,48 @@ class TileGraph:
                         parent[b] = a
         return dist, parent, order, before, count
 
-    def distances(self, sources, gone: np.ndarray | None = None, rounds: int = 48) -> np.ndarray:
+    def distances(self, sources, gone: np.ndarray | None = None, rounds: int | None = None) -> np.ndarray:
         """Distances from each source (a row each) to all nodes; inf where there is no path.
 
-        All sources at once: every round takes each node's least distance over its neighbours, until
-        nothing changes. A graph with longer shortest paths than ``rounds`` edges falls back to one
-        search a source, from then on at once: many rounds cost more than the searches.
+        Component by component, all sources of one at once. ``rounds`` bounds the ways that ``Climb`` may
+        add a node; components beyond it are searched source by source.
         """
         out = np.full((len(sources), self.n), np.inf)
-        alive = [(i, s) for i, s in enumerate(sources) if gone is None or not gone[s]]
-        for i, s in alive:
-            out[i, s] = 0.0
-        tail, head, w = np.r_[self.u, self.v], np.r_[self.v, self.u], np.r_[self.w, self.w]
-        if gone is not None:
-            open_ = ~(gone[tail] | gone[head])
-            tail, head, w = tail[open_], head[open_], w[open_]
-        if not len(head) or not alive:
-            return out
-        by = np.argsort(head, kind="stable")
-        tail, head, w = tail[by], head[by], w[by]
-        first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
-        at = head[first]
-        live = np.array([i for i, _ in alive])
-        for _ in range(0 if self.deep else rounds):
-            near = np.minimum.reduceat(out[np.ix_(live, tail)] + w, first, axis=1)
-            before = out[np.ix_(live, at)]
-            changed = near < before
-            if not changed.any():
-                return out
-            out[np.ix_(live, at)] = np.minimum(near, before)
-            live = live[changed.any(axis=1)]
-        self.deep = True
-        for i in live.tolist():
-            out[i] = self.from_source(int(sources[i]), gone)[0]
+        for which, who, d in self.batches(sources, gone, rounds):
+            out[np.ix_(which, who)] = d.T
         return out
 
-    def inverse_sum(self, sources, gone: np.ndarray | None = None, unit: float = 1.0, batch: int = 64) -> float:
+    def batches(self, sources, gone=None, rounds=None, cells: int = 1 << 22):
+        """(places in ``sources``, nodes, distances: a row a node, a column a source), a component and a batch of sources at a time."""
+        sources = np.asarray(sources, np.int64)
+        owner, place = np.full(self.n, -1), np.zeros(self.n, np.int64)
+        parts = self.parts(gone)
+        for k, part in enumerate(parts):
+            owner[part[0]], place[part[0]] = k, np.arange(len(part[0]))
+        of = owner[sources]
+        by = np.argsort(of, kind="stable")
+        for k in np.unique(of[of >= 0]).tolist():
+            part, mine = parts[k], by[np.searchsorted(of[by], k) : np.searchsorted(of[by], k, side="right")]
+            who = part[0]
+            if len(who) == 1:
+                yield mine, who, np.zeros((1, len(mine)))
+                continue
+            climb = self.climb(part) if rounds is None else Climb(len(who), *part[1:4], most=rounds)
+            step = max(1, min(1024, cells // len(who)))
+            for lo in range(0, len(mine), step):
+                some = mine[lo : lo + step]
+                if climb.built:
+                    yield some, who[climb.order], climb.ranked(place[sources[some]])
+                else:
+                    yield some, who, np.array([np.array(self.from_source(int(s), gone)[0])[who] for s in sources[some]]).T
+
+    def inverse_sum(self, sources, gone: np.ndarray | None = None, unit: float = 1.0) -> float:
         """Sum of unit/distance from the sources to all other nodes that they reach."""
         total = 0.0
-        for lo in range(0, len(sources), batch):
-            d = self.distances(sources[lo : lo + batch], gone)
-            total += float((unit / d[(d > 0) & np.isfinite(d)]).sum())
+        for _, _, d in self.batches(sources, gone):
+            d[d == 0] = np.inf
+            np.divide(unit, d, out=d)
+            total += float(d.sum())
         return total
 
     def dependencies(self, source: int, gone: np.ndarray | None, node: np.ndarray, edge: dict[tuple[int, int], float] | None) -> None:
@@ -132,16 +250,11 @@ class TileGraph:
 
     def components(self, gone: np.ndarray | None = None) -> np.ndarray:
         """The least node position of each node's component; -1 for nodes that are gone."""
-        label = np.full(self.n, -1)
-        for s in range(self.n):
-            if label[s] >= 0 or (gone is not None and gone[s]):
-                continue
-            label[s], stack = s, [s]
-            while stack:
-                for b, _ in self.near[stack.pop()]:
-                    if label[b] < 0 and not (gone is not None and gone[b]):
-                        label[b] = s
-                        stack.append(b)
+        if gone is None:
+            return labels(self.n, self.u, self.v)
+        open_ = ~(gone[self.u] | gone[self.v])
+        label = labels(self.n, self.u[open_], self.v[open_])
+        label[gone] = -1
         return label
 
     def largest(self, gone: np.ndarray | None = None) -> int:

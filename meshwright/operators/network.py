@@ -1,5 +1,6 @@
 """Network analytics over tiles. A tile is one image, so its graph is bounded by the image size
-and fits a task; work spreads over tiles and, for all-pairs work, over blocks of sources."""
+and fits a task; work spreads over tiles and, for all-pairs work, over blocks of sources in the
+components, as no path leaves one."""
 
 from __future__ import annotations
 
@@ -7,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from meshwright.functions.paths import TileGraph, ablate, flood
+from meshwright.functions.paths import TileGraph, ablate, flood, labels
 from meshwright.operators.ranges import within
+from meshwright.planning.lineage import materialise
 
-#: Sources of one tile that one task takes.
-BLOCK = 128
+#: Sources of one component that one task takes; smaller components share a task up to so many nodes.
+BLOCK = 2048
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -42,33 +44,70 @@ def _own(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together, in so many partitions that few heavy ones stay apart; their bytes do not tell how heavy they are."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def _placed(nodes: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """The active nodes' blocks: tile, id, and the piece of the tile that holds the node, its number of blocks and the node's own.
+
+    A piece is a component, or several small ones with up to ``block`` nodes. Nodes that are not
+    active have the block -1; pieces without an active node are left out.
+    """
+    mark = ["mark"] if "mark" in nodes.columns else []
+    kind = nodes.schema["tile"].dataType.simpleString()
+
+    def run(tile, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids = n.id.to_numpy()
+        label = labels(len(ids), np.searchsorted(ids, e.u), np.searchsorted(ids, e.v))
+        size = np.bincount(label, minlength=len(ids))[label]
+        by = np.lexsort((label, size))  # small ones first
+        first = np.r_[True, label[by][1:] != label[by][:-1]]
+        before = np.arange(len(by))[first]
+        shared = np.cumsum(np.r_[True, (before[1:] // block != before[:-1] // block) | (size[by][first][1:] > block)]) - 1
+        piece = np.empty(len(ids), np.int64)
+        piece[by] = shared[np.cumsum(first) - 1]
+        active = n.active.to_numpy(bool)
+        own = np.full(len(ids), -1)
+        at = np.flatnonzero(active)[np.argsort(piece[active], kind="stable")]
+        own[at] = (np.arange(len(at)) - np.searchsorted(piece[at], piece[at])) // block
+        blocks = -(-np.bincount(piece[active], minlength=piece.max() + 1) // block)[piece]
+        out = pd.DataFrame({"tile": tile, "id": ids, **{c: n[c].to_numpy() for c in mark}, "piece": piece, "home": own, "blocks": blocks})
+        return out[blocks > 0]
+
+    base = nodes if "active" in nodes.columns else nodes.withColumn("active", F.lit(True))
+    placed = per_tile(base.select("tile", "id", "active", *mark), edges, run, f"tile {kind}, id long, {'mark boolean, ' if mark else ''}piece long, home long, blocks long")
+    return materialise(placed, "pieces")
+
+
 def per_source_block(nodes: DataFrame, edges: DataFrame, run, schema: str, block: int | None = None) -> DataFrame:
-    """``run(tile, sources, ids, edges)`` for every block of a tile's sources.
+    """``run(tile, sources, ids, edges)`` for every block of sources of a piece of a tile; see ``_placed``.
 
-    The block count follows from the tile's node count; each block gets the tile's edges. A
+    Each block gets the nodes and edges of its piece only, as nothing else can be reached. A
     boolean column ``active`` of ``nodes`` limits the sources; with a boolean column ``mark`` the
-    ids of marked nodes are a fifth argument.
+    ids of the piece's marked nodes are a fifth argument. ``nodes`` holds the ends of all edges.
     """
-    base = nodes if "active" in nodes.columns else nodes.withColumn("active", F.lit(True))
-    order = F.row_number().over(W.partitionBy("tile").orderBy("id")) - 1
     mark = ["mark"] if "mark" in nodes.columns else []
-    ranked = base.select("tile", "id", "active", *mark).withColumn("home", F.floor(order / (block or BLOCK)))
-    blocks = ranked.groupBy("tile").agg((F.max("home") + 1).alias("n"))
-    copies = lambda df: _own(df.join(blocks, "tile").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
+    placed = _placed(nodes, edges, block or BLOCK)
+    copies = lambda df: _spread(df.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks"), "tile", "piece", "b")
 
     def both(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        return run(key[0], n.id[n.own].tolist(), n.id.to_numpy(), e, *([n.id[n.mark].tolist()] if mark else []))
+        n = n.sort_values("id")
+        return run(key[0], n.id[n.home == key[2]].tolist(), n.id.to_numpy(), e, *([n.id[n.mark].tolist()] if mark else []))
 
-    of_block = copies(ranked).withColumn("own", (F.col("home") == F.col("b")) & F.col("active")).drop("home", "active")
-    return of_block.groupBy("tile", "b").cogroup(copies(edges).groupBy("tile", "b")).applyInPandas(both, schema)
+    home = placed.select("tile", F.col("id").alias("u"), "piece", "blocks")
+    lines = copies(_own(edges.select("tile", "u", "v", "w")).join(home, ["tile", "u"]))
+    return copies(_own(placed)).groupBy("tile", "piece", "b").cogroup(lines.groupBy("tile", "piece", "b")).applyInPandas(both, schema)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(tile, id, comp): the least node of each node's component."""
 
     def run(tile, n, e):
-        g = TileGraph(n.id, e.u, e.v, e.w)
-        return pd.DataFrame({"tile": tile, "id": g.ids, "comp": g.ids[g.components()]})
+        ids = np.unique(np.concatenate([n.id, e.u, e.v]).astype(np.int64))
+        return pd.DataFrame({"tile": tile, "id": ids, "comp": ids[labels(len(ids), np.searchsorted(ids, e.u), np.searchsorted(ids, e.v))]})
 
     return per_tile(nodes, edges, run, "tile int, id long, comp long")
 
@@ -79,11 +118,15 @@ def all_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def run(tile, sources, ids, e):
         g = TileGraph(ids, e.u, e.v, e.w)
         at = np.searchsorted(g.ids, sources)
-        d = g.distances(at)
-        row, column = np.nonzero(np.isfinite(d))
-        return pd.DataFrame({"tile": tile, "s": g.ids[at[row]], "n": g.ids[column], "d": d[row, column].astype(np.int64)})
+        s, n, far = [], [], []
+        for which, who, d in g.batches(at):  # of one component, so each has a path
+            s.append(np.tile(g.ids[at[which]], len(who)))
+            n.append(np.repeat(g.ids[who], len(which)))
+            far.append(d.ravel().astype(np.int64))
+        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pd.DataFrame({"tile": tile, "s": whole(s), "n": whole(n), "d": whole(far)})
 
-    return per_source_block(nodes, edges, run, "tile int, s long, n long, d long")
+    return per_source_block(nodes, edges, run, "tile int, s long, n long, d long", min(BLOCK, 256))
 
 
 def inverse_sums(nodes: DataFrame, edges: DataFrame, unit: float = 1000.0) -> DataFrame:
@@ -136,7 +179,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, s
         order = F.row_number().over(W.partitionBy("tile").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
         count = F.count(F.lit(1)).over(W.partitionBy("tile"))
         sources = sources.withColumn("active", (count <= exact) | (order <= pivots))
-    parts = per_source_block(sources, edges, run, "tile int, u long, v long, part double, used long")
+    parts = per_source_block(sources, edges, run, "tile int, u long, v long, part double, used long", min(BLOCK, 64))
     size = sources.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     scale = F.lit(1.0) if not pivots else F.when(F.col("n") <= exact, 1.0).otherwise(F.col("n") / F.least(F.col("n"), F.lit(pivots)))
     sums = parts.groupBy("tile", "u", "v").agg(F.sum("part").alias("t")).join(size, "tile")
@@ -176,10 +219,11 @@ def service(scores: DataFrame, demand: DataFrame) -> DataFrame:
 
 def k_hops(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     """(tile, id, near): every node at most ``hops`` edges away, the start too."""
-    both = ends(edges).select("tile", F.col("a").alias("near"), F.col("b").alias("next"))
+    beyond = ends(edges).groupBy("tile", F.col("a").alias("near")).agg(F.collect_list("b").alias("beyond"))
     seen = starts.select("tile", "id", F.col("id").alias("near"))
-    for _ in range(hops):
-        seen = seen.unionByName(seen.join(both, ["tile", "near"]).select("tile", "id", F.col("next").alias("near"))).distinct()
+    for _ in range(hops):  # a node stands for itself and its neighbours, so a hop reads the one before once
+        step = F.explode(F.concat(F.array("near"), F.coalesce("beyond", F.array().cast("array<long>"))))
+        seen = seen.join(_own(beyond), ["tile", "near"], "left").select("tile", "id", step.alias("near")).distinct()
     return seen
 
 
@@ -302,8 +346,10 @@ def longest_through(nodes: DataFrame, edges: DataFrame, through: DataFrame) -> D
         for gate in over:
             k = int(np.searchsorted(g.ids, gate))
             to_gate = g.distances([k])[0]
-            for lo in range(0, len(sources), 64):
-                s = np.searchsorted(g.ids, sources[lo : lo + 64])
+            owner = g.components()
+            reach = [s for s in np.searchsorted(g.ids, sources).tolist() if owner[s] == owner[k]]
+            for lo in range(0, len(reach), 64):
+                s = np.array(reach[lo : lo + 64])
                 d = g.distances(s)
                 on = np.isfinite(d) & (d[:, [k]] + to_gate == d) & (np.arange(g.n) > s[:, None])
                 on[:, k] = False

@@ -32,9 +32,13 @@ _COMP = ",\ncomp AS (SELECT s AS id, min(n) AS comp FROM ap GROUP BY s)"
 
 
 def _graph(spark, folder):
-    """Linked nodes with their places, and edges: what a traced graph consists of."""
-    e = edges(spark, folder)
-    return nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), e
+    """Linked nodes with their places, and edges: what a traced graph consists of. Written once, as most queries read both often."""
+    e = _edges(spark, folder)
+    return materialise(nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), "nodes"), e
+
+
+def _edges(spark, folder):
+    return materialise(edges(spark, folder), "edges")
 
 
 @query("g_degree", _ED + " SELECT tile, id, count(*) AS degree FROM (SELECT tile, u AS id FROM ed UNION ALL SELECT tile, v FROM ed) GROUP BY 1, 2")
@@ -224,7 +228,7 @@ def _tips(e):
 @query("g_khop", _ED + _HOPS + " SELECT * FROM h3")
 def g_khop(spark, folder):
     """Nodes within three edges of each loose end."""
-    e = edges(spark, folder)
+    e = _edges(spark, folder)
     return N.k_hops(e, _tips(e))
 
 
@@ -232,7 +236,7 @@ def g_khop(spark, folder):
  a AS (SELECT tile, id, 2*(n*xy-sx*sy) AS c, (n*xx-sx*sx)-(n*yy-sy*sy) AS f FROM s)
  SELECT tile, id, CASE WHEN c <> 0 OR f <> 0 THEN round(((degrees(atan2(c::DOUBLE, f::DOUBLE))/2)%180+180)%180, 6) END AS angle FROM a""")
 def g_angle(spark, folder):
-    e = edges(spark, folder)
+    e = _edges(spark, folder)
     return N.directions(nodes(spark, folder), e, _tips(e)).select("tile", "id", F.round("angle", 6).alias("angle"))
 
 
