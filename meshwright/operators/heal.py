@@ -15,8 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshwright.functions.raster_kernels import cost_path
-from meshwright.operators.network import _own, gap_pairs, linked_nodes
+from meshwright.functions.raster_kernels import cost_path, cost_paths
+from meshwright.operators.network import _own, _spread, gap_pairs, linked_nodes
 from meshwright.planning.lineage import materialise
 
 
@@ -205,15 +205,15 @@ def span_paths(spans: DataFrame, prob: DataFrame, size: int) -> DataFrame:
         raster = np.zeros((size, size))
         raster[px.y, px.x] = px.p
         rows = []
-        for r in s.itertuples():
-            pts, evidence, walked = cost_path(raster, (r.xa, r.ya), (r.xb, r.yb))
-            rows.append((key[0], r.a, r.b, evidence, walked, [[float(y), float(x)] for y, x in pts]))
+        for a, own in s.groupby("a"):
+            found = cost_paths(raster, (own.xa.iloc[0], own.ya.iloc[0]), list(zip(own.xb, own.yb)))
+            rows += [(key[0], a, b, evidence, walked, [[float(y), float(x)] for y, x in pts]) for b, (pts, evidence, walked) in zip(own.b, found)]
         return pd.DataFrame(rows, columns=["tile", "a", "b", "evidence", "walked", "pts"])
 
     pixels = prob.select("tile", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("p").cast("double").alias("p"))
     kind = spans.schema["tile"].dataType.simpleString()
     schema = f"tile {kind}, a long, b long, evidence double, walked double, pts array<array<double>>"
-    return _own(spans).groupBy("tile").cogroup(_own(pixels).groupBy("tile")).applyInPandas(run, schema)
+    return _spread(_own(spans), "tile").groupBy("tile").cogroup(_spread(_own(pixels), "tile").groupBy("tile")).applyInPandas(run, schema)
 
 
 def candidates(nodes: DataFrame, edges: DataFrame, gates: Gates, prob: DataFrame | None, size: int, canopy: DataFrame | None, wrap: bool) -> DataFrame:
