@@ -313,7 +313,8 @@ _GATES = H.Gates(max_gap=95.0, angle=50.0)
 
 
 def _sparse(spark, folder):
-    return nodes(spark, folder), edges(spark, folder, 60)
+    """Nodes and the sparser edges, written once: healing reads both often."""
+    return materialise(nodes(spark, folder), "nodes"), materialise(edges(spark, folder, 60), "edges")
 
 
 @query("g_heal")
@@ -355,7 +356,7 @@ def g_conn_report(spark, folder):
     """Components and largest shares before and after healing."""
     n, e = _sparse(spark, folder)
     linked = n.join(N.linked_nodes(e), ["tile", "id"], "left_semi")
-    made = H.heal(n, e, _GATES)
+    made = materialise(H.heal(n, e, _GATES), "bridges")
     after = e.unionByName(made.select("tile", "u", "v", F.round(F.col("weight") * 1000).cast("long").alias("w")))
 
     def shares(edges_, tag):
@@ -369,8 +370,8 @@ def g_conn_report(spark, folder):
 
 def _benchmark(spark, folder):
     """The truth graph, and the thinned one that stands in for a model's."""
-    e = edges(spark, folder)
-    return nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), e, e.filter("(u + v) % 7 <> 0")
+    e = materialise(edges(spark, folder), "edges")
+    return materialise(nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), "nodes"), e, e.filter("(u + v) % 7 <> 0")
 
 
 def _draws(benchmark, n: int = 200, snap: float = 45.0, seed: int = 42):
@@ -409,7 +410,7 @@ def agg_ple(spark, folder, n: int = 200, res_m: float = 0.6):
 
     ``res_m``: metres a pixel. A tile without a pair keeps its row, with null errors.
     """
-    truth, e, thin = (materialise(df, "benchmark") for df in _benchmark(spark, folder))  # each is read several times
+    truth, e, thin = _benchmark(spark, folder)
     drawn = materialise(_draws((truth, e, thin), n), "draws")
 
     def distances(graph, source, name):
