@@ -46,7 +46,7 @@ def scans(df) -> int:
 
 
 #: Files scans that a query may plan; before, tables were planned again for every use of the graph.
-SCANS = {"g_eff": 4, "g_khop": 8, "g_heal": 8}
+SCANS = {"g_eff": 4, "g_khop": 8, "g_heal": 8, "g_conn_report": 10}
 
 
 @pytest.mark.parametrize("name", sorted(SCANS))
