@@ -178,7 +178,7 @@ class TileGraph:
             out[np.ix_(which, who)] = d.T
         return out
 
-    def batches(self, sources, gone=None, rounds=None, cells: int = 1 << 22):
+    def batches(self, sources, gone=None, rounds=None, cells: int = 1 << 24):
         """(places in ``sources``, nodes, distances: a row a node, a column a source), a component and a batch of sources at a time."""
         sources = np.asarray(sources, np.int64)
         owner, place = np.full(self.n, -1), np.zeros(self.n, np.int64)
@@ -231,15 +231,23 @@ class TileGraph:
         With ``pivots``, a graph of more than ``exact`` nodes uses so many sources, evenly by a hash
         of their ids, and scales up.
         """
+        left, sources = self.pivots(gone, pivots, exact)
         score = np.zeros(self.n)
-        left = np.flatnonzero(~gone) if gone is not None else np.arange(self.n)
-        n, sources = len(left), left
-        if pivots and n > exact and n > pivots:
-            mixed = (self.ids[left].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(42)
-            sources = left[np.argsort(mixed, kind="stable")[:pivots]]
         for s in sources.tolist():
             self.dependencies(s, gone, score, None)
-        score *= n / max(1, len(sources))
+        return self.normalised(score, len(left), len(sources))
+
+    def pivots(self, gone: np.ndarray | None, pivots: int | None, exact: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that are left, and the sources of betweenness among them."""
+        left = np.flatnonzero(~gone) if gone is not None else np.arange(self.n)
+        if pivots and len(left) > exact and len(left) > pivots:
+            mixed = (self.ids[left].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(42)
+            return left, left[np.argsort(mixed, kind="stable")[:pivots]]
+        return left, left
+
+    @staticmethod
+    def normalised(score: np.ndarray, n: int, sources: int) -> np.ndarray:
+        score = score * (n / max(1, sources))
         return score / ((n - 1) * (n - 2)) if n > 2 else score
 
     def efficiency(self, n_ref: int, gone: np.ndarray | None = None, unit: float = 1.0) -> float:
@@ -266,20 +274,60 @@ class TileGraph:
 EXACT_NODES, PIVOTS = 450, 350
 
 
+class _Piece:
+    """A component in a removal curve; what was worked out of it stays good until a node of it goes."""
+
+    def __init__(self, who: np.ndarray, graph: TileGraph, unit: float):
+        self.who, self.graph = who, graph
+        self.total = graph.inverse_sum(np.arange(graph.n), None, unit) if graph.n > 1 else 0.0
+        self.asked: list[int] | None = None
+        self.score = np.zeros(graph.n)
+
+    def scores(self, pivots: list[int]) -> np.ndarray:
+        """Shares of betweenness that the pivots (places in the component) give its nodes."""
+        if pivots != self.asked:
+            self.asked, self.score = pivots, np.zeros(self.graph.n)
+            for s in pivots if self.graph.n > 2 else ():
+                self.graph.dependencies(s, None, self.score, None)
+        return self.score
+
+    def split(self, unit: float, gone: np.ndarray | None = None) -> list[_Piece]:
+        g = self.graph
+        return [_Piece(self.who[who], TileGraph(g.ids[who], g.ids[who[u]], g.ids[who[v]], w), unit) for who, u, v, w, _ in g.parts(gone)]
+
+
 def ablate(graph: TileGraph, top_k: int, unit: float = 1.0) -> list[tuple]:
-    """Remove the most central node again and again: (step, removed, bc, R, efficiency, lcc share)."""
+    """Remove the most central node again and again: (step, removed, bc, R, efficiency, lcc share).
+
+    Only the component that lost a node is worked out again.
+    """
     gone = np.zeros(graph.n, bool)
-    base, lcc = graph.efficiency(graph.n, gone, unit), graph.largest(gone)
+    every = _Piece.__new__(_Piece)
+    every.who, every.graph = np.arange(graph.n), graph
+    pieces = every.split(unit)
+    mean = lambda: sum(p.total for p in pieces) / (graph.n * (graph.n - 1)) if graph.n > 1 else 0.0
+    largest = lambda: max((len(p.who) for p in pieces), default=0)
+    base, lcc = mean(), largest()
     out = [(0, None, None, 1.0, round(base, 6), 1.0)]
     for step in range(1, top_k + 1):
         if (~gone).sum() < 3:
             break
-        bc = graph.node_betweenness(gone, PIVOTS, EXACT_NODES)
-        bc[gone] = -1
+        left, sources = graph.pivots(gone, PIVOTS, EXACT_NODES)
+        owner, place = np.full(graph.n, -1), np.zeros(graph.n, np.int64)
+        for k, p in enumerate(pieces):
+            owner[p.who], place[p.who] = k, np.arange(len(p.who))
+        by = np.argsort(owner[sources], kind="stable")
+        cuts = np.searchsorted(owner[sources][by], np.arange(len(pieces) + 1))
+        bc = np.full(graph.n, -1.0)
+        for k, p in enumerate(pieces):
+            bc[p.who] = p.scores(place[sources[by[cuts[k] : cuts[k + 1]]]].tolist())
+        bc[left] = graph.normalised(bc[left], len(left), len(sources))
         worst = int(np.argmax(bc))
         gone[worst] = True
-        eff = graph.efficiency(graph.n, gone, unit)
-        share = graph.largest(gone) / lcc if lcc else 0.0
+        hit = pieces.pop(int(owner[worst]))
+        pieces += hit.split(unit, np.arange(len(hit.who)) == place[worst])
+        eff = mean()
+        share = largest() / lcc if lcc else 0.0
         out.append((step, int(graph.ids[worst]), round(float(bc[worst]), 4), round(eff / base, 4) if base else 0.0, round(eff, 6), round(share, 4)))
     return out
 
