@@ -46,7 +46,7 @@ def scans(df) -> int:
 
 
 #: Files scans that a query may plan; before, tables were planned again for every use of the graph.
-SCANS = {"g_eff": 4, "g_khop": 8, "g_heal": 8, "g_conn_report": 10, "g_heal_counts": 8, "g_pairs": 6, "g_angle": 10, "g_tiers": 8, "g_service": 9, "g_whatif": 9, "g_cached_curve": 15, "whatif_resilience": 9, "g_od": 3}
+SCANS = {"g_eff": 4, "g_khop": 8, "g_heal": 8, "g_conn_report": 10, "g_heal_counts": 8, "g_pairs": 6, "g_angle": 10, "g_tiers": 8, "g_service": 9, "g_whatif": 9, "g_cached_curve": 15, "whatif_resilience": 9, "g_od": 3, "g_travel": 9}
 
 
 @pytest.mark.parametrize("name", sorted(SCANS))
