@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from meshwright.functions.paths import TileGraph, ablate, flood, labels
 from meshwright.operators.ranges import within
+from meshwright.planning.joins import merged
 from meshwright.planning.lineage import materialise
 
 #: Sources of one component that one task takes; smaller components share a task up to so many nodes.
@@ -98,7 +99,7 @@ def per_source_block(nodes: DataFrame, edges: DataFrame, run, schema: str, block
         return run(key[0], n.id[n.home == key[2]].tolist(), n.id.to_numpy(), e, *([n.id[n.mark].tolist()] if mark else []))
 
     home = placed.select("tile", F.col("id").alias("u"), "piece", "blocks")
-    lines = copies(_own(edges.select("tile", "u", "v", "w")).join(home, ["tile", "u"]))
+    lines = copies(_own(edges.select("tile", "u", "v", "w")).join(merged(home), ["tile", "u"]))
     return copies(_own(placed)).groupBy("tile", "piece", "b").cogroup(lines.groupBy("tile", "piece", "b")).applyInPandas(both, schema)
 
 
@@ -202,18 +203,18 @@ def road_density(nodes: DataFrame, edges: DataFrame, radius: float = 150.0) -> D
     at = nodes.select("tile", "id", "x", "y")
     a = at.select("tile", F.col("id").alias("u"), F.col("x").alias("xu"), F.col("y").alias("yu"))
     b = at.select("tile", F.col("id").alias("v"), F.col("x").alias("xv"), F.col("y").alias("yv"))
-    mid = edges.join(a, ["tile", "u"]).join(b, ["tile", "v"]).select(
+    mid = edges.join(merged(a), ["tile", "u"]).join(merged(b), ["tile", "v"]).select(
         "tile", ((F.col("xu") + F.col("xv")) / 2).alias("x"), ((F.col("yu") + F.col("yv")) / 2).alias("y"), "w"
     )
     near = within(at, ["tile"], radius, mid).groupBy("tile", F.col("id_a").alias("id")).agg(F.sum("w_b").alias("total"))
-    return at.select("tile", "id").join(near, ["tile", "id"], "left").select("tile", "id", F.coalesce("total", F.lit(0)).alias("demand"))
+    return at.select("tile", "id").join(merged(near), ["tile", "id"], "left").select("tile", "id", F.coalesce("total", F.lit(0)).alias("demand"))
 
 
 def service(scores: DataFrame, demand: DataFrame) -> DataFrame:
     """(tile, id, demand, svc): score weighed by demand, both by the tile's maximum (a zero maximum counts as 1)."""
     w = W.partitionBy("tile")
     top = lambda c: F.when(F.max(c).over(w) > 0, F.max(c).over(w)).otherwise(1)
-    raw = scores.join(demand, ["tile", "id"]).withColumn("raw", F.col("bc") * (F.col("demand") / top("demand")))
+    raw = scores.join(merged(demand), ["tile", "id"]).withColumn("raw", F.col("bc") * (F.col("demand") / top("demand")))
     return raw.select("tile", "id", "demand", F.round(F.col("raw") / top("raw"), 4).alias("svc"))
 
 
@@ -223,14 +224,14 @@ def k_hops(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     seen = starts.select("tile", "id", F.col("id").alias("near"))
     for _ in range(hops):  # a node stands for itself and its neighbours, so a hop reads the one before once
         step = F.explode(F.concat(F.array("near"), F.coalesce("beyond", F.array().cast("array<long>"))))
-        seen = seen.join(_own(beyond), ["tile", "near"], "left").select("tile", "id", step.alias("near")).distinct()
+        seen = seen.join(merged(_own(beyond)), ["tile", "near"], "left").select("tile", "id", step.alias("near")).distinct()
     return seen
 
 
 def directions(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     """(tile, id, angle): principal direction of the neighbourhood in degrees, [0, 180); null if it has none."""
     at = nodes.select("tile", F.col("id").alias("near"), "x", "y")
-    s = k_hops(edges, starts, hops).join(at, ["tile", "near"]).groupBy("tile", "id").agg(
+    s = k_hops(edges, starts, hops).join(merged(at), ["tile", "near"]).groupBy("tile", "id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("xx"),
         F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("y")).alias("xy"),
     )
@@ -243,8 +244,8 @@ def directions(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int
 def gap_pairs(nodes: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
     """Endpoint pairs of different components at most ``radius`` apart: tile, a, b, d2."""
     tips = degrees(edges).filter("degree = 1").select("tile", "id")
-    known = nodes.select("tile", "id", "x", "y").join(tips, ["tile", "id"], "left_semi")
-    known = known.join(components(linked_nodes(edges), edges), ["tile", "id"])
+    known = nodes.select("tile", "id", "x", "y").join(merged(tips), ["tile", "id"], "left_semi")
+    known = known.join(merged(components(linked_nodes(edges), edges)), ["tile", "id"])
     d2 = (F.col("x_a") - F.col("x_b")) * (F.col("x_a") - F.col("x_b")) + (F.col("y_a") - F.col("y_b")) * (F.col("y_a") - F.col("y_b"))
     return within(known, ["tile"], radius).filter("id_a < id_b and comp_a <> comp_b").select(
         "tile", F.col("id_a").alias("a"), F.col("id_b").alias("b"), d2.alias("d2")
@@ -292,13 +293,13 @@ def flooding(nodes: DataFrame, edges: DataFrame, levels: int = 12, low: float =
 def without(edges: DataFrame, disabled: DataFrame) -> DataFrame:
     """Edges with neither end among the disabled (tile, id)."""
     for end in ("u", "v"):
-        edges = edges.join(disabled.select("tile", F.col("id").alias(end)).distinct(), ["tile", end], "left_anti")
+        edges = edges.join(merged(disabled.select("tile", F.col("id").alias(end)).distinct()), ["tile", end], "left_anti")
     return edges.select("tile", "u", "v", "w")
 
 
 def what_if(nodes: DataFrame, edges: DataFrame, disabled: DataFrame) -> DataFrame:
     """Per tile: efficiency before and after closing nodes, and their ratio (0 where there was none)."""
-    left = nodes.join(disabled.select("tile", "id").distinct(), ["tile", "id"], "left_anti")
+    left = nodes.join(merged(disabled.select("tile", "id").distinct()), ["tile", "id"], "left_anti")
     base = mean_inverse(nodes, edges).select("tile", "n", F.col("eff").alias("base"))
     after = inverse_sums(left, without(edges, disabled))
     eff = F.when(F.col("n") > 1, F.coalesce("t", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from meshwright.planning.joins import merged
+
 
 def within(points: DataFrame, keys: list[str], radius: float, others: DataFrame | None = None) -> DataFrame:
     """Ordered pairs of points with equal ``keys`` at most ``radius`` apart, a point with itself too.
@@ -18,7 +20,7 @@ def within(points: DataFrame, keys: list[str], radius: float, others: DataFrame
     around = F.array(*[F.struct((cell("x_b") + i).alias("cx"), (cell("y_b") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     b = b.withColumn("__c", F.explode(around)).withColumns({"__cx": F.col("__c.cx"), "__cy": F.col("__c.cy")}).drop("__c")
     near = (F.col("x_a") - F.col("x_b")) * (F.col("x_a") - F.col("x_b")) + (F.col("y_a") - F.col("y_b")) * (F.col("y_a") - F.col("y_b"))
-    return a.join(b, [*keys, "__cx", "__cy"]).filter(near <= radius * radius).drop("__cx", "__cy")
+    return a.join(merged(b), [*keys, "__cx", "__cy"]).filter(near <= radius * radius).drop("__cx", "__cy")
 
 
 def nearest(points: DataFrame, keys: list[str], radius: float, others: DataFrame, other_id: str, point_id: str) -> DataFrame:
