@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwright.functions.raster_kernels import cost_path, cost_paths
 from meshwright.operators.network import _own, _spread, gap_pairs, linked_nodes
+from meshwright.planning.joins import merged
 from meshwright.planning.lineage import materialise
 
 
@@ -195,7 +196,7 @@ def span_overlap(spans: DataFrame, dense: DataFrame, size: int, wrap: bool = Fal
 
     places = spans.withColumn("i", step).select("tile", "a", "b", at("y"), at("x"))
     marked = dense.select("tile", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(1.0).alias("on")).distinct()
-    return places.join(marked, ["tile", "y", "x"], "left").groupBy("tile", "a", "b").agg(F.avg(F.coalesce("on", F.lit(0.0))).alias("over"))
+    return places.join(merged(marked), ["tile", "y", "x"], "left").groupBy("tile", "a", "b").agg(F.avg(F.coalesce("on", F.lit(0.0))).alias("over"))
 
 
 def span_paths(spans: DataFrame, prob: DataFrame, size: int) -> DataFrame:
@@ -221,19 +222,19 @@ def candidates(nodes: DataFrame, edges: DataFrame, gates: Gates, prob: DataFrame
     reach = gates.max_gap if canopy is None else max(gates.max_gap, gates.wide[0])
     place = lambda end: nodes.select("tile", F.col("id").alias(end), F.col("x").cast("double").alias(f"x{end}"), F.col("y").cast("double").alias(f"y{end}"))
     spans = gap_pairs(nodes, edges, reach).select("tile", "a", "b", F.sqrt(F.col("d2").cast("double")).alias("dist"))
-    spans = spans.join(place("a"), ["tile", "a"]).join(place("b"), ["tile", "b"])
+    spans = spans.join(merged(place("a")), ["tile", "a"]).join(merged(place("b")), ["tile", "b"])
     out, keys = spans, ["tile", "a", "b"]
     if canopy is None:
         out = out.withColumns({"over": F.lit(-1.0), "green": F.lit(0.0)})
     else:
         green = canopy.groupBy("tile").agg(F.max("green_frac").alias("green"))
-        out = out.join(span_overlap(spans, canopy.filter("dense"), size, wrap), keys).join(green, "tile", "left")
+        out = out.join(merged(span_overlap(spans, canopy.filter("dense"), size, wrap)), keys).join(green, "tile", "left")
         # a tile that the canopy table lacks stays strict
         out = out.withColumns({"over": F.when(F.col("green").isNull(), -1.0).otherwise(F.col("over")), "green": F.coalesce("green", F.lit(0.0))})
     if prob is None:
         out = out.withColumns({"evidence": F.lit(-1.0), "walked": F.lit(0.0), "pts": F.lit(None).cast("array<array<double>>")})
     else:
-        out = out.join(span_paths(spans, prob, size), keys)
+        out = out.join(merged(span_paths(spans, prob, size)), keys)
     return out.withColumns(classify(gates, *map(F.col, ("dist", "over", "green", "evidence", "walked")))).filter("traced or plain")
 
 
@@ -250,7 +251,7 @@ def heal(
     found = materialise(candidates(nodes, edges, gates, prob, size, canopy, wrap), "gaps")  # read by the pass and by its result
     nothing = lambda kind: F.lit(None).cast(kind)
     rows = found.select("tile", F.lit("g").alias("t"), "a", "b", F.col("dist").alias("x"), F.col("angle").alias("y"), "traced")
-    at = nodes.join(linked_nodes(edges), ["tile", "id"], "left_semi").select(
+    at = nodes.join(merged(linked_nodes(edges)), ["tile", "id"], "left_semi").select(
         "tile", F.lit("n").alias("t"), F.col("id").alias("a"), nothing("long").alias("b"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), nothing("boolean").alias("traced")
     )
     lines = edges.select("tile", F.lit("e").alias("t"), F.col("u").alias("a"), F.col("v").alias("b"), nothing("double").alias("x"), nothing("double").alias("y"), nothing("boolean").alias("traced"))
@@ -268,7 +269,7 @@ def heal(
     tiles = _own(found.select("tile").distinct())
     pool = _own(rows).unionByName(at.unionByName(lines).join(tiles, "tile", "left_semi"))
     made = pool.groupBy("tile").applyInPandas(run, f"tile {kind}, a long, b long")
-    return _own(found).join(_own(made), ["tile", "a", "b"]).select(
+    return _own(found).join(merged(_own(made)), ["tile", "a", "b"]).select(
         "tile", F.col("a").alias("u"), F.col("b").alias("v"), "weight", "heal_kind", "conf", F.round(F.greatest("over", F.lit(0.0)), 3).alias("canopy_frac"),
         F.when(F.col("evidence") >= 0, F.round("evidence", 3)).alias("evidence"), F.when(F.col("traced"), F.col("pts")).alias("pts"),
     )

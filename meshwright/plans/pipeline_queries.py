@@ -9,6 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from meshwright.functions import raster_kernels as K
 from meshwright.operators import heal as H, network as N, raster as R
 from meshwright.operators.ranges import nearest, overlapping
+from meshwright.planning.joins import merged
 from meshwright.planning.lineage import materialise, new_path
 from meshwright.plans.fixtures import R as RADIUS, edges, edges_sql, nodes, probability
 from meshwright.plans.raster_queries import _mask, ras_canopy
@@ -355,7 +356,7 @@ def g_heal_counts(spark, folder):
 def g_conn_report(spark, folder):
     """Components and largest shares before and after healing."""
     n, e = _sparse(spark, folder)
-    linked = n.join(N.linked_nodes(e), ["tile", "id"], "left_semi")
+    linked = n.join(merged(N.linked_nodes(e)), ["tile", "id"], "left_semi")
     made = materialise(H.heal(n, e, _GATES), "bridges")
     after = e.unionByName(made.select("tile", "u", "v", F.round(F.col("weight") * 1000).cast("long").alias("w")))
 
@@ -371,7 +372,7 @@ def g_conn_report(spark, folder):
 def _benchmark(spark, folder):
     """The truth graph, and the thinned one that stands in for a model's."""
     e = materialise(edges(spark, folder), "edges")
-    return materialise(nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), "nodes"), e, e.filter("(u + v) % 7 <> 0")
+    return materialise(nodes(spark, folder).join(merged(N.linked_nodes(e)), ["tile", "id"], "left_semi"), "nodes"), e, e.filter("(u + v) % 7 <> 0")
 
 
 def _draws(benchmark, n: int = 200, snap: float = 45.0, seed: int = 42):
@@ -379,8 +380,8 @@ def _draws(benchmark, n: int = 200, snap: float = 45.0, seed: int = 42):
     have model nodes ``ms``, ``mt`` within ``snap``; those without are kept too, with a null."""
     truth, e, thin = benchmark
     places = truth.select("tile", "id", "x", "y")
-    model = places.join(N.linked_nodes(thin), ["tile", "id"], "left_semi")
-    known = N.components(truth, e).join(nearest(places, ["tile"], snap, model, "id", "id").select("tile", "id", "nearest"), ["tile", "id"], "left")
+    model = places.join(merged(N.linked_nodes(thin)), ["tile", "id"], "left_semi")
+    known = N.components(truth, e).join(merged(nearest(places, ["tile"], snap, model, "id", "id").select("tile", "id", "nearest")), ["tile", "id"], "left")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, rng, rows, snapped = pdf.sort_values("id"), np.random.default_rng(seed), [], 0
@@ -415,10 +416,10 @@ def agg_ple(spark, folder, n: int = 200, res_m: float = 0.6):
 
     def distances(graph, source, name):
         starts = drawn.select("tile", F.col(source).alias("id")).distinct().withColumn("active", F.lit(True))
-        own = truth.select("tile", "id").join(starts, ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        own = truth.select("tile", "id").join(merged(starts), ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
         return N.all_pairs(own, graph).filter("d > 0").select("tile", F.col("s").alias(source), F.col("n").alias(source.replace("s", "t")), F.col("d").alias(name))
 
-    r = drawn.join(distances(e, "s", "d0"), ["tile", "s", "t"]).join(distances(thin, "ms", "d1"), ["tile", "ms", "mt"], "left")
+    r = drawn.join(merged(distances(e, "s", "d0")), ["tile", "s", "t"]).join(merged(distances(thin, "ms", "d1")), ["tile", "ms", "mt"], "left")
     good = F.col("ms").isNotNull() & F.col("mt").isNotNull()
     err = F.abs(F.col("d1") - F.col("d0")) / F.col("d0") * 100
     found = r.groupBy("tile").agg(
