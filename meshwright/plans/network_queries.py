@@ -8,6 +8,7 @@ from pyspark.sql import Window as W, functions as F
 from meshwright.functions.paths import EXACT_NODES, PIVOTS, TileGraph
 from meshwright.operators import network as N
 from meshwright.operators.ranges import nearest
+from meshwright.planning.joins import merged
 from meshwright.planning.lineage import materialise
 from meshwright.plans.fixtures import APSP_SQL, NODES_SQL, edges, edges_sql, nodes
 from meshwright.sources.tables import table
@@ -34,7 +35,7 @@ _COMP = ",\ncomp AS (SELECT s AS id, min(n) AS comp FROM ap GROUP BY s)"
 def _graph(spark, folder):
     """Linked nodes with their places, and edges: what a traced graph consists of. Written once, as most queries read both often."""
     e = _edges(spark, folder)
-    return materialise(nodes(spark, folder).join(N.linked_nodes(e), ["tile", "id"], "left_semi"), "nodes"), e
+    return materialise(nodes(spark, folder).join(merged(N.linked_nodes(e)), ["tile", "id"], "left_semi"), "nodes"), e
 
 
 def _edges(spark, folder):
@@ -59,7 +60,7 @@ def flt_spur(spark, folder):
     e = edges(spark, folder)
     d = N.degrees(e)
     a, b = (d.select("tile", F.col("id").alias(c), F.col("degree").alias(f"k{c}")) for c in "uv")
-    return e.join(a, ["tile", "u"]).join(b, ["tile", "v"]).filter("not (w < 40000 and (ku = 1 or kv = 1))").select("tile", "u", "v", "w")
+    return e.join(merged(a), ["tile", "u"]).join(merged(b), ["tile", "v"]).filter("not (w < 40000 and (ku = 1 or kv = 1))").select("tile", "u", "v", "w")
 
 
 @query("g_components", _AP + _COMP + " SELECT tile, comp.id, comp FROM comp JOIN (SELECT DISTINCT tile, u AS id FROM e2) h ON h.id = comp.id")
@@ -93,7 +94,7 @@ def g_lcc_sub(spark, folder):
     n, e = _graph(spark, folder)
     c = N.components(n, e)
     top = c.groupBy("tile", "comp").count().withColumn("r", F.row_number().over(W.partitionBy("tile").orderBy(F.desc("count"), "comp"))).filter("r = 1")
-    keep = c.join(top, ["tile", "comp"], "left_semi").select("tile", "id")
+    keep = merged(c.join(top, ["tile", "comp"], "left_semi").select("tile", "id"))
     return e.join(keep.withColumnRenamed("id", "u"), ["tile", "u"], "left_semi").join(keep.withColumnRenamed("id", "v"), ["tile", "v"], "left_semi").select("tile", "u", "v", "w")
 
 
@@ -324,11 +325,11 @@ def g_travel(spark, folder):
     starts = pairs.select("tile", F.col("s").alias("id")).distinct().withColumn("active", F.lit(True))
 
     def routed(nodes_, edges_, name):
-        own = nodes_.select("tile", "id").join(starts, ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        own = nodes_.select("tile", "id").join(merged(starts), ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
         return N.all_pairs(own, edges_).select("tile", "s", F.col("n").alias("t"), F.col("d").alias(name))
 
-    left = n.join(gone, ["tile", "id"], "left_anti")
-    both = pairs.join(routed(n, e, "d0"), ["tile", "s", "t"]).join(routed(left, N.without(e, gone), "d1"), ["tile", "s", "t"], "left")
+    left = n.join(merged(gone), ["tile", "id"], "left_anti")
+    both = pairs.join(merged(routed(n, e, "d0")), ["tile", "s", "t"]).join(merged(routed(left, N.without(e, gone), "d1")), ["tile", "s", "t"], "left")
     cut = F.count_if(F.col("d1").isNull())
     return both.groupBy("tile").agg(
         F.count(F.lit(1)).alias("routes"), cut.alias("severed"), F.floor(F.lit(100.0) * cut / F.count(F.lit(1)) + 0.5).cast("long").alias("cut_pct"),
