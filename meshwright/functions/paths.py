@@ -132,6 +132,17 @@ class TileGraph:
             self._parts = (key, found)
         return self._parts[1]
 
+    def part(self, who: np.ndarray) -> TileGraph:
+        """The graph of some whole components (positions of their nodes, ascending), with their ``Climb``s."""
+        place = np.full(self.n, -1)
+        place[who] = np.arange(len(who))
+        own = place[self.u] >= 0
+        out = TileGraph(self.ids[who], self.ids[self.u[own]], self.ids[self.v[own]], self.w[own])
+        for part in out.parts():
+            if len(part[0]) > 1:
+                self.climb(part)
+        return out
+
     @staticmethod
     def climb(part: list) -> Climb:
         if part[4] is None:

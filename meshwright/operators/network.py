@@ -4,8 +4,11 @@ components, as no path leaves one."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from meshwright.functions.paths import TileGraph, ablate, flood, labels
@@ -16,6 +19,9 @@ from meshwright.planning.lineage import materialise
 #: Sources of one component that one task takes; smaller components share a task up to so many nodes.
 BLOCK = 2048
 
+#: Pairs that a block of ``all_pairs`` hands out, and a batch of them.
+PAIRS, BATCH = 1 << 23, 1 << 19
+
 
 def ends(edges: DataFrame) -> DataFrame:
     """Both directions of each edge: tile, a, b, w."""
@@ -46,7 +52,7 @@ def _own(df: DataFrame) -> DataFrame:
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of equal keys together, in so many partitions that few heavy ones stay apart; their bytes do not tell how heavy they are."""
+    """Rows of equal keys together (without keys: in turn), in so many partitions that few heavy ones stay apart; their bytes do not tell how heavy they are."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
 
@@ -115,20 +121,49 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def all_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tile, s, n, d) of every ordered pair with a path, s itself included (of the active sources only)."""
+    """(tile, s, n, d) of every ordered pair with a path, s itself included (of the active sources only).
 
-    def run(tile, sources, ids, e):
-        g = TileGraph(ids, e.u, e.v, e.w)
-        at = np.searchsorted(g.ids, sources)
-        s, n, far = [], [], []
-        for which, who, d in g.batches(at):  # of one component, so each has a path
-            s.append(np.tile(g.ids[at[which]], len(who)))
-            n.append(np.repeat(g.ids[who], len(which)))
-            far.append(d.ravel().astype(np.int64))
-        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pd.DataFrame({"tile": tile, "s": whole(s), "n": whole(n), "d": whole(far)})
-
-    return per_source_block(nodes, edges, run, "tile int, s long, n long, d long", min(BLOCK, 256))
+    A tile's task works out each component once; blocks of about ``PAIRS`` pairs then share what it found, and hand
+    their pairs out in batches, so that no task holds a block's pairs. ``nodes`` holds the ends of all edges.
+    """
+
+    def pieces(tile, n, e):
+        g = TileGraph(n.id, e.u, e.v, e.w)
+        active = n.active.to_numpy(bool)
+        held, size, rows = [], 0, []
+        parts = sorted((p for p in g.parts() if active[p[0]].any()), key=lambda p: len(p[0]))  # small ones first, they share a piece
+        for k, part in enumerate(parts):
+            held.append(part[0])
+            size += len(part[0])
+            if k + 1 == len(parts) or size + len(parts[k + 1][0]) > BLOCK:
+                own = g.part(np.sort(np.concatenate(held)))
+                sources = np.flatnonzero(active[np.searchsorted(g.ids, own.ids)])
+                rows.append((tile, pickle.dumps((own, sources)), min(len(sources), max(1, len(sources) * size // PAIRS))))
+                held, size = [], 0
+        return pd.DataFrame(rows, columns=["tile", "piece", "blocks"])
+
+    def run(batches):
+        rows, count = [], 0
+        for batch in batches:
+            for at in batch.to_pylist():
+                g, sources = pickle.loads(at["piece"])
+                lo, hi = (len(sources) * k // at["blocks"] for k in (at["b"], at["b"] + 1))
+                for which, who, d in g.batches(sources[lo:hi]):
+                    from_, to = g.ids[sources[lo:hi][which]], g.ids[who]
+                    step = max(1, BATCH // len(who))
+                    for j in range(0, len(which), step):
+                        far = d[:, j : j + step].T.astype(np.int64).ravel()
+                        rows.append((np.full(len(far), at["tile"], np.int32), np.repeat(from_[j : j + step], len(who)), np.tile(to, len(far) // len(who)), far))
+                        count += len(far)
+                        if count >= BATCH:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["tile", "s", "n", "d"])
+                            rows, count = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["tile", "s", "n", "d"])
+
+    base = nodes if "active" in nodes.columns else nodes.withColumn("active", F.lit(True))
+    found = materialise(per_tile(base.select("tile", "id", "active"), edges.select("tile", "u", "v", "w"), pieces, "tile int, piece binary, blocks long"), "pieces")
+    return _spread(found.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))).mapInArrow(run, "tile int, s long, n long, d long")
 
 
 def inverse_sums(nodes: DataFrame, edges: DataFrame, unit: float = 1000.0) -> DataFrame:
