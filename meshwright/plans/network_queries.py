@@ -153,9 +153,9 @@ bc AS (SELECT tile, id, round(coalesce(t, 0)/(CASE WHEN n > 2 THEN (n-1)*(n-2) E
 
 
 def _bc(spark, folder):
-    """Scores as the analysis takes them: exact in tiles of up to 450 nodes, from 350 pivots above."""
+    """Scores from every source, whatever a tile's size."""
     n, e = _graph(spark, folder)
-    return n, e, N.betweenness(n, e, pivots=PIVOTS, exact=EXACT_NODES)[0].select("tile", "id", F.round("bc", 8).alias("bc"))
+    return n, e, N.node_betweenness(n, e).select("tile", "id", F.round("bc", 8).alias("bc"))
 
 
 @query("g_node_bc", _AP + _BC + " SELECT * FROM bc")
