@@ -281,9 +281,12 @@ class TileGraph:
         return int(np.bincount(label[label >= 0]).max()) if (label >= 0).any() else 0
 
 
-#: Betweenness is exact up to so many nodes, and sampled from so many above.
+#: Sampled betweenness is exact up to so many nodes, and sampled from so many above.
 EXACT_NODES, PIVOTS = 450, 350
 
+#: A removal curve searches components of up to so many nodes source by source; larger ones are taken apart first.
+WHOLE = 64
+
 
 class _Piece:
     """A component in a removal curve; what was worked out of it stays good until a node of it goes."""
@@ -291,15 +294,19 @@ class _Piece:
     def __init__(self, who: np.ndarray, graph: TileGraph, unit: float | None):
         self.who, self.graph = who, graph
         self.total = graph.inverse_sum(np.arange(graph.n), None, unit) if graph.n > 1 and unit else 0.0
-        self.asked: list[int] | None = None
-        self.score = np.zeros(graph.n)
-
-    def scores(self, pivots: list[int]) -> np.ndarray:
-        """Shares of betweenness that the pivots (places in the component) give its nodes."""
-        if pivots != self.asked:
-            self.asked, self.score = pivots, np.zeros(self.graph.n)
-            for s in pivots if self.graph.n > 2 else ():
-                self.graph.dependencies(s, None, self.score, None)
+        self.score: np.ndarray | None = None
+
+    def scores(self) -> np.ndarray:
+        """The pairs that each node of the component carries, from every source."""
+        if self.score is None:
+            g, self.score = self.graph, np.zeros(self.graph.n)
+            if g.n > WHOLE:
+                from meshwright.functions.centrality import carried  # which is built on this module
+
+                self.score = carried(g)
+            elif g.n > 2:
+                for s in range(g.n):
+                    g.dependencies(s, None, self.score, None)
         return self.score
 
     def split(self, unit: float | None, gone: np.ndarray | None = None) -> list[_Piece]:
@@ -310,7 +317,7 @@ class _Piece:
 def ablate(graph: TileGraph, top_k: int, unit: float | None = 1.0) -> list[tuple]:
     """Remove the most central node again and again: (step, removed, bc, R, efficiency, lcc share).
 
-    Only the component that lost a node is worked out again. Without a ``unit`` the efficiencies are left at 0,
+    Scores are exact at any size. Only the component that lost a node is worked out again. Without a ``unit`` the efficiencies are left at 0,
     as which node goes does not depend on them.
     """
     gone = np.zeros(graph.n, bool)
@@ -324,16 +331,13 @@ def ablate(graph: TileGraph, top_k: int, unit: float | None = 1.0) -> list[tuple
     for step in range(1, top_k + 1):
         if (~gone).sum() < 3:
             break
-        left, sources = graph.pivots(gone, PIVOTS, EXACT_NODES)
+        left = int((~gone).sum())
         owner, place = np.full(graph.n, -1), np.zeros(graph.n, np.int64)
-        for k, p in enumerate(pieces):
-            owner[p.who], place[p.who] = k, np.arange(len(p.who))
-        by = np.argsort(owner[sources], kind="stable")
-        cuts = np.searchsorted(owner[sources][by], np.arange(len(pieces) + 1))
         bc = np.full(graph.n, -1.0)
         for k, p in enumerate(pieces):
-            bc[p.who] = p.scores(place[sources[by[cuts[k] : cuts[k + 1]]]].tolist())
-        bc[left] = graph.normalised(bc[left], len(left), len(sources))
+            owner[p.who], place[p.who] = k, np.arange(len(p.who))
+            bc[p.who] = np.round(p.scores(), 4)  # equal ones stay equal, the first of them goes
+        bc = graph.normalised(bc, left, left)
         worst = int(np.argmax(bc))
         gone[worst] = True
         hit = pieces.pop(int(owner[worst]))
