@@ -103,6 +103,14 @@ class _Ends:
     def apart(self, a: int, b: int) -> bool:
         return self.group[a] is not self.group[b]
 
+    def bridged(self, a: int, b: int, traced: bool, angle: float, gates: Gates) -> bool:
+        """Join two ends that are apart, if they may be: traced, or facing each other."""
+        p, q = self.at[a], self.at[b]
+        if not traced and not _face_each_other(p, q, self.facing(a, gates.hops), self.facing(b, gates.hops), angle, gates.corridor):
+            return False
+        self.add(a, b)
+        return True
+
     def facing(self, node: int, hops: int) -> float | None:
         """Principal axis of the places within ``hops`` edges, in [0, 180); null if there is none."""
         seen, rim = {node}, [node]
@@ -132,14 +140,7 @@ def settle(at: dict, edges: list[tuple[int, int]], rows: list[tuple[float, int,
     net = _Ends(at)
     for u, v in edges:
         net.add(u, v)
-    made = []
-    for _, a, b, traced, angle in sorted(rows):
-        if not net.apart(a, b):
-            continue
-        if traced or _face_each_other(at[a], at[b], net.facing(a, gates.hops), net.facing(b, gates.hops), angle, gates.corridor):
-            net.add(a, b)
-            made.append((a, b))
-    return made
+    return [(a, b) for _, a, b, traced, angle in sorted(rows) if net.apart(a, b) and net.bridged(a, b, traced, angle, gates)]
 
 
 @dataclass
@@ -217,6 +218,95 @@ def span_paths(spans: DataFrame, prob: DataFrame, size: int) -> DataFrame:
     return _spread(_own(spans), "tile").groupBy("tile").cogroup(_spread(_own(pixels), "tile").groupBy("tile")).applyInPandas(run, schema)
 
 
+#: Distances by which a tile's gaps are looked for, ring by ring, and pairs of loose ends that are held at a time.
+RINGS, PAIRS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), 1 << 21
+
+
+def _gaps_by_rings(ids: np.ndarray, xy: np.ndarray, group, reach: float):
+    """Gaps (distance, a, b) between ends of different groups, a < b, by distance, then a and b.
+
+    ``group()`` tells the ends' groups as they are by now: those joined before a ring is reached are not listed in it, as
+    none of them can become a bridge any more. A ring of more than ``PAIRS`` gaps is cut into thinner ones.
+    """
+    low, tops = -1.0, sorted({r for r in RINGS if r < reach} | {reach}, reverse=True)
+    while tops:
+        own, top = group(), tops[-1]
+        _, which, size = np.unique(own, return_inverse=True, return_counts=True)
+        few = np.flatnonzero(which != size.argmax()) if len(size) else []  # every gap has an end outside the largest group
+        if not len(few):
+            return
+        thin = top - max(low, 0.0) > 1e-6
+        found, count = [], 0
+        for lo in range(0, len(few), step := max(1, PAIRS // len(ids))):
+            i = few[lo : lo + step]
+            dx, dy = xy[i, 0][:, None] - xy[:, 0], xy[i, 1][:, None] - xy[:, 1]
+            d = np.sqrt(dx * dx + dy * dy)
+            k, j = np.nonzero((d > low) & (d <= top) & (own[i][:, None] != own))
+            found.append((d[k, j], np.minimum(ids[i[k]], ids[j]), np.maximum(ids[i[k]], ids[j])))
+            count += len(k)
+            if count > PAIRS and thin:
+                break
+        if count > PAIRS and thin:
+            tops.append((max(low, 0.0) + top) / 2)
+            continue
+        d, a, b = (np.concatenate(c) for c in zip(*found))
+        by = np.lexsort((b, a, d))
+        d, a, b = d[by], a[by], b[by]
+        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        yield from zip(d[once].tolist(), a[once].tolist(), b[once].tolist())
+        low = tops.pop()
+
+
+def along_raster(at: dict, edges: list[tuple[int, int]], raster: np.ndarray, gates: Gates) -> list[tuple]:
+    """The bridges of one tile by a probability raster: (a, b, weight, kind, conf, evidence, points or None).
+
+    A gap's path is searched only when its turn comes and its ends are still apart; all others stay unbridged whatever their path.
+    """
+    net, degree = _Ends(at), dict.fromkeys(at, 0)
+    for u, v in edges:
+        net.add(u, v)
+        degree[u] += 1
+        degree[v] += 1
+    tips = np.array(sorted(k for k, n in degree.items() if n == 1), np.int64)
+    xy = np.array([at[k] for k in tips.tolist()], float).reshape(-1, 2)
+    made = []
+    for d, a, b in _gaps_by_rings(tips, xy, lambda: np.array([id(net.group[k]) for k in tips.tolist()]), gates.max_gap):
+        if not net.apart(a, b):
+            continue
+        pts, evidence, walked = cost_paths(raster, at[a], [at[b]])[0]
+        facts = {k: v.item() for k, v in classify(gates, *(np.array([x]) for x in (d, -1.0, 0.0, evidence, walked))).items()}
+        if (facts["traced"] or facts["plain"]) and net.bridged(a, b, facts["traced"], facts["angle"], gates):
+            points = [[float(y), float(x)] for y, x in pts] if facts["traced"] else None
+            made.append((a, b, float(facts["weight"]), facts["heal_kind"], facts["conf"], evidence, points))
+    return made
+
+
+def _healed_along(nodes: DataFrame, edges: DataFrame, gates: Gates, prob: DataFrame, size: int) -> DataFrame:
+    """``heal`` with a probability raster alone: gaps are as many as pairs of loose ends, so none is written before it is a bridge."""
+    nothing = lambda kind: F.lit(None).cast(kind)
+    at = nodes.join(merged(linked_nodes(edges)), ["tile", "id"], "left_semi")
+    pool = at.select("tile", F.col("id").alias("a"), nothing("long").alias("b"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).unionByName(
+        edges.select("tile", F.col("u").alias("a"), F.col("v").alias("b"), nothing("double").alias("x"), nothing("double").alias("y"))
+    )
+    pixels = prob.select("tile", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("p").cast("double").alias("p"))
+    kind = nodes.schema["tile"].dataType.simpleString()
+
+    def run(key, p: pd.DataFrame, px: pd.DataFrame) -> pd.DataFrame:
+        raster = np.zeros((size, size))
+        raster[px.y, px.x] = px.p
+        n, e = p[p.b.isna()].sort_values("a"), p[p.b.notna()]
+        rows = along_raster(dict(zip(n.a, zip(n.x, n.y))), sorted(zip(e.a, e.b.astype("int64"))), raster, gates)
+        out = pd.DataFrame(rows, columns=["u", "v", "weight", "heal_kind", "conf", "evidence", "pts"])
+        out.insert(0, "tile", key[0])
+        return out
+
+    schema = f"tile {kind}, u long, v long, weight double, heal_kind string, conf string, evidence double, pts array<array<double>>"
+    made = _spread(_own(pool), "tile").groupBy("tile").cogroup(_spread(_own(pixels), "tile").groupBy("tile")).applyInPandas(run, schema)
+    return made.select(
+        "tile", "u", "v", "weight", "heal_kind", "conf", F.lit(0.0).alias("canopy_frac"), F.when(F.col("evidence") >= 0, F.round("evidence", 3)).alias("evidence"), "pts"
+    )
+
+
 def candidates(nodes: DataFrame, edges: DataFrame, gates: Gates, prob: DataFrame | None, size: int, canopy: DataFrame | None, wrap: bool) -> DataFrame:
     """Gaps that may become bridges, with all that can be said of them before any is made."""
     reach = gates.max_gap if canopy is None else max(gates.max_gap, gates.wide[0])
@@ -248,6 +338,8 @@ def heal(
     give no row. Without ``prob`` and ``canopy`` the decision is geometric. Candidates reach to the
     wider gap where there is canopy; a tile that ``canopy`` lacks stays strict.
     """
+    if prob is not None and canopy is None:
+        return _healed_along(nodes, edges, gates, prob, size)
     found = materialise(candidates(nodes, edges, gates, prob, size, canopy, wrap), "gaps")  # read by the pass and by its result
     nothing = lambda kind: F.lit(None).cast(kind)
     rows = found.select("tile", F.lit("g").alias("t"), "a", "b", F.col("dist").alias("x"), F.col("angle").alias("y"), "traced")
