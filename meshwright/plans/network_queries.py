@@ -312,28 +312,18 @@ def g_sector(spark, folder):
     return N.stride_pairs(*_graph(spark, folder))
 
 
-@query("g_travel", _AP + _CLOSED + _PAIRS + """ SELECT pr.tile, count(*) AS routes, count(*) FILTER (WHERE aq.d IS NULL) AS severed, CAST(floor(100.0::DOUBLE*count(*) FILTER (WHERE aq.d IS NULL)/count(*) + 0.5) AS BIGINT) AS cut_pct, round(coalesce(avg(aq.d*1.0::DOUBLE/ap.d - 1), 0), 6) AS delay
+_ROUTES = """, pr AS (SELECT tile, s, n AS t FROM ap JOIN home ON home.id = ap.s WHERE n > s)"""
+
+
+@query("g_travel", _AP + _CLOSED + _ROUTES + """ SELECT pr.tile, count(*) AS routes, count(*) FILTER (WHERE aq.d IS NULL) AS severed, CAST(floor(100.0::DOUBLE*count(*) FILTER (WHERE aq.d IS NULL)/count(*) + 0.5) AS BIGINT) AS cut_pct, round(coalesce(avg(aq.d*1.0::DOUBLE/ap.d - 1), 0), 6) AS delay
  FROM pr JOIN ap ON ap.s = pr.s AND ap.n = pr.t LEFT JOIN aq ON aq.s = pr.s AND aq.n = pr.t GROUP BY 1""")
 def g_travel(spark, folder):
-    """Routes, routes cut, their share, and the mean relative delay on open ones, after closing nodes.
-
-    Only the sampled sources are routed from.
-    """
+    """Routes between all reachable pairs, routes cut, their share, and the mean relative delay on open ones, after closing nodes."""
     n, e = _graph(spark, folder)
-    gone = _closed(n)
-    pairs = materialise(N.stride_pairs(n, e), "routes")
-    starts = pairs.select("tile", F.col("s").alias("id")).distinct().withColumn("active", F.lit(True))
-
-    def routed(nodes_, edges_, name):
-        own = nodes_.select("tile", "id").join(merged(starts), ["tile", "id"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
-        return N.all_pairs(own, edges_).select("tile", "s", F.col("n").alias("t"), F.col("d").alias(name))
-
-    left = n.join(merged(gone), ["tile", "id"], "left_anti")
-    both = pairs.join(merged(routed(n, e, "d0")), ["tile", "s", "t"]).join(merged(routed(left, N.without(e, gone), "d1")), ["tile", "s", "t"], "left")
-    cut = F.count_if(F.col("d1").isNull())
-    return both.groupBy("tile").agg(
-        F.count(F.lit(1)).alias("routes"), cut.alias("severed"), F.floor(F.lit(100.0) * cut / F.count(F.lit(1)) + 0.5).cast("long").alias("cut_pct"),
-        F.round(F.coalesce(F.avg(F.col("d1") / F.col("d0") - 1), F.lit(0.0)), 6).alias("delay"),
+    whole, cut = F.col("routes"), F.col("severed")
+    return N.trips(n, e, _closed(n)).filter("routes > 0").select(
+        "tile", "routes", "severed", F.floor(F.lit(100.0) * cut / whole + 0.5).cast("long").alias("cut_pct"),
+        F.round(F.when(whole > cut, F.col("delay") / (whole - cut)).otherwise(0.0), 6).alias("delay"),
     )
 
 
